@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colscope.operators import greedy
 from colscope.operators.catalog import FILE, columns_in_files, columns_in_files_members, list_files
 from colscope.operators.search import contains_ignoring_case
-from colscope.operators.shapes import FILE_KEY, Shapes, shape_pairs, shapes_of
+from colscope.operators.shapes import Shapes, file_key, shape_pairs, shapes_of
 from colscope.operators.similar_sets import DistinctSets, distinct_sets, similar_pairs
 from colscope.session import cut_lineage
 
@@ -31,7 +31,7 @@ def common_column_files(catalog: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def _column_sets(catalog: DataFrame) -> DistinctSets:
-    files = catalog.groupBy(FILE_KEY.alias("file")).agg(F.collect_set("column_name").alias("columns"))
+    files = catalog.groupBy(file_key().alias("file")).agg(F.collect_set("column_name").alias("columns"))
     return distinct_sets(files, "file", "columns")
 
 
@@ -75,7 +75,7 @@ def group_sets(distinct: DistinctSets, threshold: float) -> DataFrame:
 def schema_group_files(catalog: DataFrame, threshold: float = SCHEMA_THRESHOLD) -> DataFrame:
     """file, leader: the similar-schema group of every file, also of files alone in theirs."""
     if threshold <= 0:
-        files = catalog.select(FILE_KEY.alias("file")).distinct()
+        files = catalog.select(file_key().alias("file")).distinct()
         first = files.agg(F.min("file").alias("file")).select("file.*").first()
         leader = F.struct(F.lit(first.file_name).alias("file_name"), F.lit(first.file_path).alias("file_path"))
         return files.withColumn("leader", leader)
@@ -90,7 +90,7 @@ def schema_groups(catalog: DataFrame, threshold: float = SCHEMA_THRESHOLD) -> Da
     members = cut_lineage(schema_group_files(catalog, threshold))
     sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("file_count")).filter("file_count > 1")
     columns = (
-        catalog.select(FILE_KEY.alias("file"), "column_name")
+        catalog.select(file_key().alias("file"), "column_name")
         .join(members, "file")
         .join(sizes, "leader")
     )

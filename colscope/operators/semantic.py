@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from colscope.functions import names as N
 from colscope.operators import greedy, similarity
 from colscope.operators.catalog import FILE
+from colscope.operators.joins import posting_pairs
 from colscope.operators.relationships import (
     differences_of,
     listed,
@@ -32,8 +33,10 @@ NAMING_THRESHOLD = 0.8
 ABBREVIATION_GAP = 3
 _SLACK = 1e-9
 
-# Where a column stands in the catalog: by file, then by name.
-_POSITION = F.struct("file_name", "file_path", "column_name")
+
+def _position() -> Column:
+    """Where a column stands in the catalog: by file, then by name."""
+    return F.struct("file_name", "file_path", "column_name")
 
 
 def concepts_of_names(texts: DataFrame, name: str, threshold: float = GROUP_THRESHOLD) -> DataFrame:
@@ -316,16 +319,15 @@ def name_groups(
 
 
 def _first_positions(catalog: DataFrame) -> DataFrame:
-    return catalog.groupBy(F.col("column_name").alias("name")).agg(F.min(_POSITION).alias("first"))
+    return catalog.groupBy(F.col("column_name").alias("name")).agg(F.min(_position()).alias("first"))
 
 
-def _leaders(catalog: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Decide the greedy walk over all columns per name.
+def _leading_columns(catalog: DataFrame, edges: DataFrame) -> DataFrame:
+    """name1, position of the columns that lead a greedy walk over all columns, decided per name.
 
     ``edges`` (name1, name2, similarity): a leader called name1 claims later columns called name2. The first column of
     a name leads iff no leading name before it claims the name; if it does, so does every further column of
-    the name that stands before the first claim. Returns (leaders: name1, first) and the leading columns
-    (name1, position).
+    the name that stands before the first claim.
     """
     firsts = cut_lineage(_first_positions(catalog))
     one = firsts.select(F.col("name").alias("name1"), F.col("first").alias("first1"))
@@ -340,17 +342,12 @@ def _leaders(catalog: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
         .agg(F.min("first1").alias("claimed_at"))
     )
     until = leaders.join(claims, "name1", "left")
-    columns = catalog.select(F.col("column_name").alias("name1"), _POSITION.alias("position"))
+    columns = catalog.select(F.col("column_name").alias("name1"), _position().alias("position"))
+    # A column at the claiming position is the claimant itself; what comes after it is claimed.
     leading = skew_join(columns, until, "name1").filter(
-        F.col("claimed_at").isNull() | (F.col("position") <= F.greatest("claimed_at", "first1"))
-    )
-    # A column at the claiming position itself is the claimant, or comes after it.
-    leading = leading.filter(
-        F.col("claimed_at").isNull()
-        | (F.col("position") < F.col("claimed_at"))
-        | (F.col("position") == F.col("first1"))
+        F.col("claimed_at").isNull() | (F.col("position") <= F.col("claimed_at"))
     )
-    return leaders, leading.select("name1", "position")
+    return leading.select("name1", "position")
 
 
 def naming_inconsistency_members(
@@ -358,13 +355,11 @@ def naming_inconsistency_members(
 ) -> DataFrame:
     """Greedy groups of like columns: leader (position), member (position), similarity; the leader included."""
     edges = cut_lineage(similarity.name_pairs(catalog, "column_name", threshold, enrich))
-    _, leading = _leaders(catalog, edges)
-    leading = cut_lineage(leading)
-    columns = catalog.select(F.col("column_name").alias("name2"), _POSITION.alias("member"))
-    followers = (
-        skew_join(columns, edges.join(leading, "name1"), "name2")
-        .filter(F.col("position") < F.col("member"))
-        .select(F.col("position").alias("leader"), "member", "similarity")
+    leading = _leading_columns(catalog, edges)
+    columns = catalog.select(F.col("column_name").alias("name2"), _position().alias("member"))
+    led = cut_lineage(edges.join(leading, "name1"))
+    followers = posting_pairs(columns, led, "name2", F.col("position") < F.col("member")).select(
+        F.col("position").alias("leader"), "member", "similarity"
     )
     followers = cut_lineage(followers)
     alone = followers.select("leader").distinct()
@@ -413,9 +408,10 @@ def abbreviations(
     edges = cut_lineage(
         similarity.name_pairs(catalog, "column_name", threshold, enrich).filter(gap >= ABBREVIATION_GAP)
     )
-    _, leading = _leaders(catalog, edges)
-    columns = catalog.select(F.col("column_name").alias("name2"), _POSITION.alias("member"))
-    found = skew_join(columns, cut_lineage(edges.join(leading, "name1")), "name2")
+    leading = _leading_columns(catalog, edges)
+    columns = catalog.select(F.col("column_name").alias("name2"), _position().alias("member"))
+    led = cut_lineage(edges.join(leading, "name1"))
+    found = posting_pairs(columns, led, "name2", F.lit(True))
     first_is_short = F.length("name1") < F.length("name2")
 
     def either(when_first: str, otherwise: str) -> Column:

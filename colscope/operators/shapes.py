@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.operators.joins import pairs_of
 from colscope.session import cut_lineage
 
-# The order of files, and the id of a shape (its first file).
-FILE_KEY = F.struct("file_name", "file_path")
+
+def file_key() -> Column:
+    """The order of files, and the id of a shape (its first file)."""
+    return F.struct("file_name", "file_path")
 
 
 @dataclass
@@ -32,7 +34,7 @@ def shapes_of(catalog: DataFrame, with_types: bool = True) -> Shapes:
         F.col("column_name").alias("name"), (F.col("data_type") if with_types else F.lit("")).alias("type")
     )
     files = (
-        catalog.select(FILE_KEY.alias("file"), column.alias("column"))
+        catalog.select(file_key().alias("file"), column.alias("column"))
         .groupBy("file")
         .agg(F.array_sort(F.collect_set("column")).alias("columns"))
         .withColumn("key", F.sha2(F.to_json("columns"), 256))
