@@ -1,7 +1,9 @@
-"""Column names as text: enrichment, normal form, character trigrams, naming styles."""
+"""Column names as text: enrichment, normal form, naming styles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,28 +78,9 @@ def normal_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.replace(split, F.lit("_"), F.lit(" "))), "[ \t\r\n]+", " "))
 
 
-def trigrams(text: Column) -> Column:
-    """All 3-character windows of each word, two blanks before it and one after."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    return F.flatten(
-        F.transform(
-            words,
-            lambda w: F.transform(
-                F.sequence(F.lit(1), F.length(w) + 1),
-                lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)),
-            ),
-        )
-    )
-
-
-def gram_vector(grams: Column) -> Column:
-    """Array of (gram, weight): counts scaled to unit length."""
-    counted = F.transform(
-        F.array_distinct(grams),
-        lambda g: F.struct(g.alias("gram"), F.size(F.filter(grams, lambda x: x == g)).cast("double").alias("n")),
-    )
-    length = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda total, c: total + c["n"] * c["n"]))
-    return F.transform(counted, lambda c: F.struct(c["gram"].alias("gram"), (c["n"] / length).alias("weight")))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often a lambda in the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def has_underscore(name: Column) -> Column:

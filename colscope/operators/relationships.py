@@ -139,9 +139,9 @@ def listed(columns: Column) -> Column:
 
 def differences_of(pairs: DataFrame) -> DataFrame:
     """Adds common, only1, only2 and mismatches to pairs of shapes, each inside the row."""
-    types2 = F.map_from_entries("columns2")
     return (
-        pairs.withColumn("common", F.array_intersect(names_of("columns1"), names_of("columns2")))
+        pairs.withColumn("types2", F.map_from_entries("columns2"))
+        .withColumn("common", F.array_intersect(names_of("columns1"), names_of("columns2")))
         .withColumn("only1", without_names("columns1", F.col("common")))
         .withColumn("only2", without_names("columns2", F.col("common")))
         .withColumn(
@@ -152,13 +152,14 @@ def differences_of(pairs: DataFrame) -> DataFrame:
                     lambda c: F.struct(
                         c["name"].alias("name"),
                         c["type"].alias("type1"),
-                        F.try_element_at(types2, c["name"]).alias("type2"),
+                        F.try_element_at("types2", c["name"]).alias("type2"),
                     ),
                 ),
                 lambda m: m["type1"] != m["type2"],
             ),
         )
         .withColumn("united", F.size("common") + F.size("only1") + F.size("only2"))
+        .drop("types2")
     )
 
 

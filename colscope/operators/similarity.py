@@ -34,9 +34,38 @@ def target_text(name: Column, enrich: str = TARGET) -> Column:
     return N.normal_form(N.enrich(name) if enrich == TARGET else name)
 
 
+def gram_counts(texts: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """keys, gram, n: the 3-character windows of each word, two blanks before it and one after, counted.
+
+    ``texts`` that are already distributed by one of the keys are not shuffled again.
+    """
+    words = texts.select(*keys, F.explode(F.split(text, " ")).alias("_word")).filter("_word <> ''")
+    padded = words.select(*keys, F.concat(F.lit("  "), "_word", F.lit(" ")).alias("_word"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("_word") - 2))
+    windows = padded.select(*keys, "_word", starts.alias("_start"))
+    return (
+        windows.select(*keys, F.substring(F.col("_word"), F.col("_start"), F.lit(3)).alias("gram"))
+        .groupBy(*keys, "gram")
+        .agg(F.count(F.lit(1)).cast("double").alias("n"))
+    )
+
+
 def vectors(texts: DataFrame, text: Column, name: str) -> DataFrame:
-    """``name`` and its trigram vector; texts without a word have none and are left out."""
-    return texts.select(name, N.gram_vector(N.trigrams(text)).alias("vector")).filter(F.size("vector") > 0)
+    """``name`` and its unit-length trigram vector; texts without a word have none and are left out."""
+    return (
+        gram_counts(texts, [name], text)
+        .groupBy(name)
+        .agg(
+            F.collect_list(F.struct("gram", "n")).alias("counts"),
+            F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"),
+        )
+        .select(
+            name,
+            F.transform(
+                "counts", lambda c: F.struct(c["gram"].alias("gram"), (c["n"] / F.col("length")).alias("weight"))
+            ).alias("vector"),
+        )
+    )
 
 
 def term_matches(
@@ -44,23 +73,27 @@ def term_matches(
 ) -> DataFrame:
     """Similarity of every distinct ``name`` with the terms (term, ...) of a list.
 
-    A list that is ``fixed`` (a constant of the code) or counted to be short is broadcast; the texts then
-    stay where they are until the sums are shuffled.
+    A list that is ``fixed`` (a constant of the code) or counted to be short is broadcast. The distinct names
+    are shuffled once, by name; grams, lengths and sums then stay in their partition.
     """
     _check(threshold)
-    term_grams = terms.select(
-        "*", F.inline(N.gram_vector(N.trigrams(N.normal_form(F.col("term")))))
-    ).withColumnRenamed("weight", "term_weight")
-    text_grams = vectors(texts.select(name).distinct(), target_text(F.col(name), enrich), name).select(
-        name, F.inline("vector")
+    term_vectors = vectors(terms.select("term").distinct(), N.normal_form(F.col("term")), "term")
+    term_grams = term_vectors.select("term", F.inline("vector")).withColumnRenamed("weight", "term_weight")
+    distinct = texts.select(name).distinct()
+    counts = gram_counts(distinct, [name], target_text(F.col(name), enrich))
+    lengths = counts.groupBy(name).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
+    products = (
+        counts.join(F.broadcast(term_grams) if fixed else broadcast_if_small(term_grams), "gram")
+        .groupBy(name, "term")
+        .agg(F.sum(F.col("n") * F.col("term_weight")).alias("product"))
     )
-    similarity = F.round(F.sum(F.col("weight") * F.col("term_weight")), DIGITS)
-    return (
-        text_grams.join(F.broadcast(term_grams) if fixed else broadcast_if_small(term_grams), "gram")
-        .groupBy(name, *terms.columns)
-        .agg(similarity.alias("similarity"))
+    similarity = F.round(F.col("product") / F.col("length"), DIGITS)
+    matches = (
+        products.join(lengths, name)
+        .select(name, "term", similarity.alias("similarity"))
         .filter(F.col("similarity") >= threshold)
     )
+    return matches.join(F.broadcast(terms) if fixed else terms, "term").select(name, *terms.columns, "similarity")
 
 
 def terms_frame(spark, concepts: dict[str, list[str]]) -> DataFrame:
@@ -108,11 +141,13 @@ def _rare_first(vectors_: DataFrame, name: str, frequent: DataFrame, threshold:
 
 def _dot(left: str, right: str) -> Column:
     """Dot product of two sparse vectors."""
-    weights = F.map_from_entries(right)
-    return F.aggregate(
-        left,
-        F.lit(0.0),
-        lambda total, g: total + g["weight"] * F.coalesce(F.try_element_at(weights, g["gram"]), F.lit(0.0)),
+    return N.let(
+        F.map_from_entries(right),
+        lambda weights: F.aggregate(
+            left,
+            F.lit(0.0),
+            lambda total, g: total + g["weight"] * F.coalesce(F.try_element_at(weights, g["gram"]), F.lit(0.0)),
+        ),
     )
 
 
