@@ -2,7 +2,7 @@
 
 (file_path, column_name) is unique in a catalog, so counting rows of a name counts its files. Distinct
 counts are taken by grouping twice, never by several DISTINCT aggregates, which would copy every row and end in
-a single task. Lists of files are returned as rows: the files of a common name are unbounded.
+a single task. Lists of files are returned as rows, in no order: the files of a common name are unbounded.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def type_mismatch_files(catalog: DataFrame) -> DataFrame:
     mismatched = _types_of_names(catalog).filter(F.size("types") > 1).select("column_name")
     return skew_join(
         catalog.select("column_name", "data_type", *FILE), mismatched, "column_name", "left_semi"
-    ).orderBy("column_name", "data_type", *FILE)
+    )
 
 
 def columns_in_files(catalog: DataFrame, at_least: int = 2) -> DataFrame:
@@ -98,9 +98,7 @@ def columns_in_files_members(catalog: DataFrame, at_least: int = 2) -> DataFrame
     frequent = _types_of_names(catalog).filter(F.col("total_files") >= at_least).select(
         "column_name", F.col("total_files").alias("file_count")
     )
-    return skew_join(
-        catalog.select("column_name", "data_type", *FILE), frequent, "column_name"
-    ).orderBy(F.desc("file_count"), "column_name", *FILE)
+    return skew_join(catalog.select("column_name", "data_type", *FILE), frequent, "column_name")
 
 
 def database_stats(catalog: DataFrame) -> DataFrame:

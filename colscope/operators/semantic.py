@@ -130,9 +130,7 @@ def concept_type_columns(catalog: DataFrame, threshold: float = CLASS_THRESHOLD)
     """The columns behind ``concept_types``, one row each."""
     mixed = concept_types(catalog, threshold).select("concept")
     names = classify_names(catalog, "column_name", threshold).join(F.broadcast(mixed), "concept", "left_semi")
-    return skew_join(catalog.select(*FILE, "column_name", "data_type"), names, "column_name").orderBy(
-        "concept", *FILE, "column_name"
-    )
+    return skew_join(catalog.select(*FILE, "column_name", "data_type"), names, "column_name")
 
 
 def _shape_columns(found: Shapes) -> DataFrame:
@@ -262,7 +260,6 @@ def matching_concepts(
             F.col("m.best").alias("similarity"),
         )
         .join(concepts, "column1")
-        .orderBy("file1", "path1", "file2", "path2", "column1")
     )
 
 

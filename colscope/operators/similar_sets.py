@@ -2,7 +2,8 @@
 
 Equal sets are collapsed first, so any number of copies is one item. Elements are ordered from rare to frequent;
 two sets that reach the threshold must share an element among their first ``size - ceil(t*size) + 1``, so only
-those are joined, under a length and a position bound. Candidates are then verified on the whole sets.
+those are joined. What the prefixes share bounds what the sets can share; the candidates that are left are verified on
+the whole sets.
 """
 
 from __future__ import annotations
@@ -63,34 +64,60 @@ def _rare_first(sets: DataFrame) -> DataFrame:
     return ranked.groupBy("set_key", "rep", "size").agg(F.array_sort(F.collect_list(rank)).alias("ranked"))
 
 
+def _prefix_postings(sets: DataFrame, threshold: float) -> DataFrame:
+    """rep, size, prefix (length), last (its last element), position, code: the prefix of every set, element by element."""
+    prefix = (F.col("size") - F.ceil(F.col("size") * threshold - _SLACK) + 1).cast("int")
+    return (
+        _rare_first(sets)
+        .withColumn("prefix", prefix)
+        .select(
+            "rep",
+            "size",
+            "prefix",
+            F.get("ranked", F.col("prefix") - 1).alias("last"),
+            F.posexplode(F.slice("ranked", F.lit(1), F.col("prefix"))).alias("position", "element"),
+        )
+        .withColumn("code", F.col("element.code"))
+        .drop("element")
+    )
+
+
+def _side(postings: DataFrame, number: int) -> DataFrame:
+    return postings.select(
+        "code", *[F.col(c).alias(f"{c}{number}") for c in ("rep", "size", "prefix", "last", "position")]
+    )
+
+
 def similar_pairs(distinct: DistinctSets, threshold: float) -> DataFrame:
     """rep1 < rep2, size1, size2, copies1, copies2, shared, united, jaccard of the distinct sets that reach ``threshold``."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     sets = distinct.sets
-    size = F.col("size")
-    prefix = (size - F.ceil(size * threshold - _SLACK) + 1).cast("int")
-    # With the third of a set that is rarest in front, any order serves; this one keeps posting lists short.
-    postings = _rare_first(sets).select(
-        "rep", "size", F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias("position", "element")
-    ).select("rep", "size", "position", F.col("element.code").alias("code"))
-    postings = cut_lineage(postings)
-    left = postings.select(
-        "code", F.col("rep").alias("rep1"), F.col("size").alias("size1"), F.col("position").alias("position1")
-    )
-    right = postings.select(
-        "code", F.col("rep").alias("rep2"), F.col("size").alias("size2"), F.col("position").alias("position2")
-    )
     needed = (F.col("size1") + F.col("size2")) * (threshold / (1 + threshold)) - _SLACK
-    reachable = 1 + F.least(
-        F.col("size1") - F.col("position1") - 1, F.col("size2") - F.col("position2") - 1
-    )
+    postings = cut_lineage(_prefix_postings(sets, threshold))
+    left, right = (_side(postings, n) for n in (1, 2))
+    # A match at (position1, position2) leaves room for at most this many shared elements in all.
+    room1, room2 = (F.col(f"size{n}") - F.col(f"position{n}") - 1 for n in (1, 2))
     possible = (
         (F.col("rep1") < F.col("rep2"))
         & (F.least("size1", "size2") >= F.greatest("size1", "size2") * threshold - _SLACK)
-        & (reachable >= needed)
+        & (F.least("position1", "position2") + 1 + F.least(room1, room2) >= needed)
+    )
+    # All matches within the prefixes are known. The prefix that ends at the rarer element holds no further
+    # shared one, so behind the last match only the remainder of that set counts.
+    rest1, rest2 = (F.col(f"size{n}") - F.col(f"prefix{n}") for n in (1, 2))
+    behind = F.when(
+        F.col("last1") <= F.col("last2"), F.least(rest1, F.col("size2") - F.col("at2") - 1)
+    ).otherwise(F.least(rest2, F.col("size1") - F.col("at1") - 1))
+    candidates = (
+        posting_pairs(left, right, "code", possible)
+        .groupBy("rep1", "rep2", "size1", "size2", "prefix1", "prefix2", "last1", "last2")
+        .agg(
+            F.count(F.lit(1)).alias("matches"), F.max("position1").alias("at1"), F.max("position2").alias("at2")
+        )
+        .filter(F.col("matches") + behind >= needed)
+        .select("rep1", "rep2")
     )
-    candidates = posting_pairs(left, right, "code", possible).select("rep1", "rep2").distinct()
     one = sets.select(
         F.col("rep").alias("rep1"), F.col("codes").alias("codes1"), F.col("copies").alias("copies1")
     )
