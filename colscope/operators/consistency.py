@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colscope.operators.catalog import FILE, type_mismatch_files, type_mismatches
 from colscope.operators.joins import posting_pairs
+from colscope.session import cut_lineage
 
 # Fixed value: characters of a prefix or suffix that two names must share.
 AFFIX = 4
@@ -61,7 +62,8 @@ def naming_patterns(catalog: DataFrame, name: str = "column_name") -> DataFrame:
     twice and none has to be removed. A name shorter than four characters is itself the affix to be matched, so
     the other side offers all its affixes up to that length.
     """
-    names = catalog.select(F.col(name).alias("name")).distinct().withColumn("lower", F.lower("name"))
+    distinct = catalog.select(F.col(name).alias("name")).distinct()
+    names = cut_lineage(distinct.withColumn("lower", F.lower("name")))
     left = names.select(F.col("name").alias("a"), F.col("lower").alias("la"))
     right = names.select(F.col("name").alias("b"), F.col("lower").alias("lb"))
     reason = similarity_reason(F.col("la"), F.col("lb"))

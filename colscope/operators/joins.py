@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colscope.session import HOT_KEYS
+from colscope.session import HOT_KEYS, holds_at_most
 
 # Postings of one key that a task compares with each other.
 BLOCK_POSTINGS = 2_000
@@ -39,6 +39,8 @@ def posting_pairs(left: DataFrame, right: DataFrame, key: str, condition: Column
 
     Column names of the two sides are disjoint but for ``key``. The result is the plain join's.
     """
+    if holds_at_most(left, BLOCK_POSTINGS) and holds_at_most(right, BLOCK_POSTINGS):
+        return left.join(right, key).filter(condition)
     split = F.broadcast(_split_keys(left, right, key))
 
     def blocks(side: DataFrame, own: str, other: str, own_first: bool) -> DataFrame:

@@ -10,7 +10,7 @@ from colscope.operators.catalog import FILE, columns_in_files, columns_in_files_
 from colscope.operators.search import contains_ignoring_case
 from colscope.operators.shapes import Shapes, file_key, shape_pairs, shapes_of
 from colscope.operators.similar_sets import DistinctSets, distinct_sets, similar_pairs
-from colscope.session import cut_lineage
+from colscope.session import cut_lineage, skew_join
 
 SCHEMA_THRESHOLD = 0.3
 
@@ -69,7 +69,7 @@ def group_sets(distinct: DistinctSets, threshold: float) -> DataFrame:
     leaders = distinct.sets.select("rep", "set_key").join(joined, "rep", "left").select(
         "set_key", F.coalesce("leader", "rep").alias("leader")
     )
-    return distinct.members.select("id", "set_key").join(leaders, "set_key").select("id", "leader")
+    return distinct.of_members(leaders).select("id", "leader")
 
 
 def schema_group_files(catalog: DataFrame, threshold: float = SCHEMA_THRESHOLD) -> DataFrame:
@@ -89,11 +89,8 @@ def schema_groups(catalog: DataFrame, threshold: float = SCHEMA_THRESHOLD) -> Da
     """
     members = cut_lineage(schema_group_files(catalog, threshold))
     sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("file_count")).filter("file_count > 1")
-    columns = (
-        catalog.select(file_key().alias("file"), "column_name")
-        .join(members, "file")
-        .join(sizes, "leader")
-    )
+    grouped = skew_join(members, sizes, "leader")
+    columns = catalog.select(file_key().alias("file"), "column_name").join(grouped, "file")
     widths = (
         columns.groupBy("leader", "file")
         .agg(F.count(F.lit(1)).alias("width"))
@@ -199,7 +196,7 @@ def schema_differences(catalog: DataFrame) -> DataFrame:
 def shape_members(catalog: DataFrame, with_types: bool = True) -> DataFrame:
     """file_name, file_path, and the first file of the same schema, which stands for it in pairs."""
     found: Shapes = shapes_of(catalog, with_types)
-    return found.members.select(
+    return found.members().select(
         "file.*", F.col("rep.file_name").alias("first_file"), F.col("rep.file_path").alias("first_path")
     )
 

@@ -149,7 +149,7 @@ def _shape_scores(found: Shapes, pairs: DataFrame, threshold: float) -> DataFram
     holders = columns.groupBy(F.col("name").alias("name2")).agg(F.count(F.lit(1)).alias("holders"))
     reach = pairs.join(holders, "name2").groupBy(F.col("name1").alias("name")).agg(F.sum("holders").alias("reach"))
     ranked = (
-        columns.join(reach, "name", "left")
+        skew_join(columns, reach, "name", "left")
         .groupBy("rep", "width")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("reach", F.lit(0)).alias("reach"), "name"))).alias("r"))
     )
@@ -158,9 +158,8 @@ def _shape_scores(found: Shapes, pairs: DataFrame, threshold: float) -> DataFram
         F.col("rep").alias("rep1"), F.explode(F.transform(F.slice("r", F.lit(1), probes), lambda c: c["name"])).alias("name1")
     )
     of_two = columns.select(F.col("rep").alias("rep2"), F.col("name").alias("name2"))
-    candidates = (
-        probed.join(pairs.select("name1", "name2"), "name1").join(of_two, "name2").select("rep1", "rep2").distinct()
-    )
+    wanted = cut_lineage(probed.join(pairs.select("name1", "name2"), "name1").select("rep1", "name2").distinct())
+    candidates = posting_pairs(wanted, of_two, "name2", F.lit(True)).select("rep1", "rep2").distinct()
     of_one = columns.select(F.col("rep").alias("rep1"), "width", F.col("name").alias("name1"))
     best = (
         candidates.join(of_one, "rep1")
@@ -192,8 +191,9 @@ def _scored_files(
     pairs = cut_lineage(similarity.name_pairs(catalog, "column_name", threshold, enrich))
     scores = _shape_scores(found, pairs, threshold)
     if per_file:
-        ones = found.members.select(F.col("file").alias("file1"), F.col("rep").alias("rep1"))
-        twos = found.members.select(F.col("file").alias("file2"), F.col("rep").alias("rep2"))
+        members = cut_lineage(found.members())
+        ones = members.select(F.col("file").alias("file1"), F.col("rep").alias("rep1"))
+        twos = members.select(F.col("file").alias("file2"), F.col("rep").alias("rep2"))
         copies = F.lit(1).cast("bigint")
         return (
             scores.join(ones, "rep1")
@@ -326,13 +326,13 @@ def _leading_columns(catalog: DataFrame, edges: DataFrame) -> DataFrame:
     a name leads iff no leading name before it claims the name; if it does, so does every further column of
     the name that stands before the first claim.
     """
-    firsts = cut_lineage(_first_positions(catalog))
+    firsts = _first_positions(catalog)
     one = firsts.select(F.col("name").alias("name1"), F.col("first").alias("first1"))
     two = firsts.select(F.col("name").alias("name2"), F.col("first").alias("first2"))
     placed = cut_lineage(edges.select("name1", "name2").join(one, "name1").join(two, "name2"))
     forward = placed.filter(F.col("first1") < F.col("first2"))
     claimed = greedy.claimed_items(forward.select(F.col("first1").alias("src"), F.col("first2").alias("dst")))
-    leaders = cut_lineage(one.join(claimed.select(F.col("id").alias("first1")), "first1", "left_anti"))
+    leaders = one.join(claimed.select(F.col("id").alias("first1")), "first1", "left_anti")
     claims = (
         placed.join(leaders.select("name1"), "name1", "left_semi")
         .groupBy(F.col("name2").alias("name1"))

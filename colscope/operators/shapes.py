@@ -1,7 +1,7 @@
 """Shapes: the distinct schemas of a catalog.
 
 Most files of a lake share their schema with others. Whatever compares files compares shapes, each named by
-its first file and weighted by its copies; ``members`` leads back to the files.
+its first file and weighted by its copies; ``members`` lead back to the files.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.operators.joins import pairs_of
-from colscope.session import cut_lineage
+from colscope.session import cut_lineage, skew_join
 
 
 def file_key() -> Column:
@@ -22,10 +22,14 @@ def file_key() -> Column:
 
 @dataclass
 class Shapes:
-    """``shapes``: rep, columns (array of name/type, by name), copies. ``members``: file, rep."""
+    """``shapes``: key, rep, columns (array of name/type, by name), copies. ``files``: file, key."""
 
     shapes: DataFrame
-    members: DataFrame
+    files: DataFrame
+
+    def members(self) -> DataFrame:
+        """file, rep of every file; a third of the files may share one shape."""
+        return skew_join(cut_lineage(self.files), self.shapes.select("key", "rep"), "key").select("file", "rep")
 
 
 def shapes_of(catalog: DataFrame, with_types: bool = True) -> Shapes:
@@ -44,8 +48,7 @@ def shapes_of(catalog: DataFrame, with_types: bool = True) -> Shapes:
             F.min("file").alias("rep"), F.first("columns").alias("columns"), F.count(F.lit(1)).alias("copies")
         )
     )
-    members = files.select("file", "key").join(classes.select("key", "rep"), "key").select("file", "rep")
-    return Shapes(classes.select("rep", "columns", "copies"), members)
+    return Shapes(classes, files.select("file", "key"))
 
 
 def shape_pairs(shapes: DataFrame) -> DataFrame:

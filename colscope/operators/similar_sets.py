@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colscope.operators.joins import posting_pairs
-from colscope.session import cut_lineage
+from colscope.session import cut_lineage, skew_join
 
 # Elements whose frequency is looked up; the others count as rare. Any number is right, this one is bounded.
 FREQUENT_ELEMENTS = 10_000
@@ -23,11 +23,15 @@ _SLACK = 1e-9
 
 @dataclass
 class DistinctSets:
-    """``sets``: rep, codes, size, copies, one row per distinct set. ``members``: id, set_key, rep."""
+    """``sets``: set_key, rep, codes, size, copies, one row per distinct set. ``members``: id, set_key of all sets."""
 
     sets: DataFrame
     members: DataFrame
 
+    def of_members(self, per_set: DataFrame) -> DataFrame:
+        """``per_set`` (set_key, ...) carried to every set; one set may have any number of copies."""
+        return skew_join(self.members, per_set, "set_key").drop("set_key")
+
 
 def distinct_sets(sets: DataFrame, id_column: str, elements: str) -> DistinctSets:
     """Collapse equal sets; the smallest id stands for its copies. Empty sets are similar to nothing and left out.
@@ -44,7 +48,7 @@ def distinct_sets(sets: DataFrame, id_column: str, elements: str) -> DistinctSet
             F.min("id").alias("rep"), F.first("codes").alias("codes"), F.count(F.lit(1)).alias("copies")
         )
     )
-    members = keyed.select("id", "set_key").join(classes.select("set_key", "rep"), "set_key")
+    members = cut_lineage(keyed.select("id", "set_key"))
     return DistinctSets(
         classes.select("rep", "codes", F.size("codes").alias("size"), "copies", "set_key"), members
     )

@@ -169,8 +169,11 @@ def name_pairs(texts: DataFrame, name: str, threshold: float, enrich: str = TARG
         .orderBy(F.desc("frequency"), "gram")
         .limit(FREQUENT_GRAMS)
     )
-    left = _rare_first(query, name, frequent, threshold).withColumnRenamed(name, "name1")
-    right = _rare_first(target, name, frequent, threshold).withColumnRenamed(name, "name2")
+    right = cut_lineage(_rare_first(target, name, frequent, threshold).withColumnRenamed(name, "name2"))
+    if enrich == NONE:
+        left = right.withColumnRenamed("name2", "name1")
+    else:
+        left = cut_lineage(_rare_first(query, name, frequent, threshold).withColumnRenamed(name, "name1"))
     candidates = posting_pairs(left, right, "gram", F.lit(True)).select("name1", "name2").distinct()
     one = query.select(F.col(name).alias("name1"), F.col("vector").alias("vector1"))
     two = target.select(F.col(name).alias("name2"), F.col("vector").alias("vector2"))

@@ -12,6 +12,8 @@ BROADCAST_ROWS = 100_000
 # Keys treated as hot by skew_join. A bound by construction: every key beyond the N most frequent
 # holds at most 1/(N+1) of the rows.
 HOT_KEYS = 1_000
+# Up to here a relation as a whole is less than a task's work, so no key in it can be hot.
+SMALL_ROWS = 10_000
 
 
 def build_session(app_name: str = "colscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -73,8 +75,11 @@ def skew_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner")
 
     The ``HOT_KEYS`` most frequent keys are joined by broadcast, so their rows stay where
     they are; every other key holds at most ``1/(HOT_KEYS+1)`` of the rows and is shuffled.
-    ``lookup`` holds a bounded number of rows per key. ``how`` is ``inner`` or ``left_semi``.
+    ``lookup`` holds a bounded number of rows per key. ``how`` is ``inner``, ``left`` or ``left_semi``. ``rows`` is
+    read three times and should be stored or cheap.
     """
+    if holds_at_most(rows, SMALL_ROWS):
+        return rows.join(lookup, key, how)
     hot = (
         rows.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -83,6 +88,7 @@ def skew_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner")
         .select(key)
     )
     hot_lookup = lookup.join(F.broadcast(hot), key, "left_semi")
-    on_hot = rows.join(F.broadcast(hot_lookup), key, how)
+    hot_rows = rows.join(F.broadcast(hot), key, "left_semi") if how == "left" else rows
+    on_hot = hot_rows.join(F.broadcast(hot_lookup), key, how)
     on_cold = rows.join(F.broadcast(hot), key, "left_anti").join(lookup, key, how)
     return on_hot.unionByName(on_cold)

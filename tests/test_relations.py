@@ -40,7 +40,7 @@ def test_similar_sets_equal_brute_force(spark, threshold, monkeypatch):
     sets[90], sets[91] = set(sets[3]), set(sets[3])
     frame = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()], "id long, s array<string>")
     distinct = similar_sets.distinct_sets(frame, "id", "s")
-    rep = {r.id: r.rep for r in distinct.members.select("id", "rep").collect()}
+    rep = {r.id: r.rep for r in distinct.of_members(distinct.sets.select("set_key", "rep")).collect()}
     assert rep == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets if sets[i]}
     found = {
         (r.rep1, r.rep2): (r.shared, r.united) for r in similar_sets.similar_pairs(distinct, threshold).collect()
