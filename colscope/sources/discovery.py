@@ -29,14 +29,11 @@ def parent_folder(uri: Column) -> Column:
     return F.regexp_replace(uri, r"(/[^/=]+=[^/]*)*/[^/]*$", "")
 
 
-def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """Supported files below ``folder``: uri, file_path, file_name, format, size_bytes, modified_at.
+def describe(listing: DataFrame) -> DataFrame:
+    """uri, file_path, file_name, format, size_bytes, modified_at of the supported files of a ``binaryFile`` source.
 
-    Only the listing is read; the ``content`` column of the source is pruned.
+    The ``content`` column of the source is pruned, so only the listing is read.
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob_safe(folder))
-    )
     name = F.regexp_extract(F.col("file_path"), r"[^/]*$", 0)
     return (
         listing.select(
@@ -52,6 +49,13 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def discover(spark: SparkSession, folder: str) -> DataFrame:
+    """Supported files below ``folder``, at any depth."""
+    return describe(
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob_safe(folder))
+    )
+
+
 def tables_of(files: DataFrame, layout: str = TABLE_PER_FILE) -> DataFrame:
     """Group files into tables: each file, or each folder of part files of one format."""
     if layout == TABLE_PER_FILE:

@@ -198,18 +198,19 @@ def scan_folder(
     all rows. ``layout="folder"`` takes each folder of part files as one table.
     """
     tables = discovery.tables_of(discovery.discover(spark, folder), layout)
-    return _scan(spark, tables, layout, max_file_size_mb, sample_rows, labels_mode, exact)
+    return scan_tables(spark, tables, layout, max_file_size_mb, sample_rows, labels_mode, exact)
 
 
-def _scan(
+def scan_tables(
     spark: SparkSession,
     tables: DataFrame,
-    layout: str,
-    max_file_size_mb: float | None,
-    sample_rows: int | None,
-    labels_mode: str,
-    exact: bool,
+    layout: str = discovery.TABLE_PER_FILE,
+    max_file_size_mb: float | None = None,
+    sample_rows: int | None = None,
+    labels_mode: str = labels.NATIVE,
+    exact: bool = True,
 ) -> ScanResult:
+    """``scan_folder`` of a given list of tables (``discovery.tables_of``)."""
     if sample_rows is not None and sample_rows <= 0:
         sample_rows = None
     accepted, oversize = discovery.size_gate(tables, max_file_size_mb)
@@ -253,7 +254,7 @@ def scan_file(
         raise FileNotFoundError(f"File not found: {path}") from error
     if not found:
         raise FileNotFoundError(f"File not found: {path}")
-    result = _scan(spark, tables, discovery.TABLE_PER_FILE, max_file_size_mb, sample_rows, labels_mode, True)
+    result = scan_tables(spark, tables, discovery.TABLE_PER_FILE, max_file_size_mb, sample_rows, labels_mode)
     for problem in result.rejected.take(1):
         raise ValueError(problem.reason)
     return result.schema_info

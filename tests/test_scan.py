@@ -7,6 +7,7 @@ from colscope.sources import discovery, exports
 from colscope.sources.catalog_store import CatalogStore
 from colscope.sources.csv_tables import column_names
 from colscope.sources.scan import scan_file, scan_folder
+from colscope.streaming.rescan import rescan_arrivals
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +146,18 @@ def test_exports(spark, tmp_path):
     path = exports.export_large(spark.range(21), "Show me ALL the files!", root)
     assert "query_slug=show-me-all-the-files" in path and spark.read.parquet(path).count() == 21
     assert exports.export_stats(spark, root).first().asDict() == {"total_exports": 1, "day_folders": 1}
+
+
+def test_arrivals_update_the_catalog(spark, tmp_path):
+    folder, store = tmp_path / "in", CatalogStore(spark, str(tmp_path / "catalog"))
+    folder.mkdir()
+
+    def arrive(name, content):
+        (folder / name).write_text(content)
+        rescan_arrivals(spark, str(folder), store, str(tmp_path / "progress")).awaitTermination()
+        return {(r.file_name, r.column_name, r.total_rows) for r in store.read().collect()}
+
+    assert arrive("one.csv", "a,b\n1,2\n") == {("one.csv", "a", 1), ("one.csv", "b", 1)}
+    assert arrive("two.csv", "c,d\n1,2\n3,4\n") == {
+        ("one.csv", "a", 1), ("one.csv", "b", 1), ("two.csv", "c", 2), ("two.csv", "d", 2)
+    }
