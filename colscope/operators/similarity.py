@@ -74,23 +74,18 @@ def term_matches(
     """Similarity of every distinct ``name`` with the terms (term, ...) of a list.
 
     A list that is ``fixed`` (a constant of the code) or counted to be short is broadcast. The distinct names
-    are shuffled once, by name; grams, lengths and sums then stay in their partition.
+    are shuffled once, by name; grams, vectors and sums then stay in their partition.
     """
     _check(threshold)
     term_vectors = vectors(terms.select("term").distinct(), N.normal_form(F.col("term")), "term")
     term_grams = term_vectors.select("term", F.inline("vector")).withColumnRenamed("weight", "term_weight")
     distinct = texts.select(name).distinct()
-    counts = gram_counts(distinct, [name], target_text(F.col(name), enrich))
-    lengths = counts.groupBy(name).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    products = (
-        counts.join(F.broadcast(term_grams) if fixed else broadcast_if_small(term_grams), "gram")
-        .groupBy(name, "term")
-        .agg(F.sum(F.col("n") * F.col("term_weight")).alias("product"))
-    )
-    similarity = F.round(F.col("product") / F.col("length"), DIGITS)
+    text_grams = vectors(distinct, target_text(F.col(name), enrich), name).select(name, F.inline("vector"))
+    similarity = F.round(F.sum(F.col("weight") * F.col("term_weight")), DIGITS)
     matches = (
-        products.join(lengths, name)
-        .select(name, "term", similarity.alias("similarity"))
+        text_grams.join(F.broadcast(term_grams) if fixed else broadcast_if_small(term_grams), "gram")
+        .groupBy(name, "term")
+        .agg(similarity.alias("similarity"))
         .filter(F.col("similarity") >= threshold)
     )
     return matches.join(F.broadcast(terms) if fixed else terms, "term").select(name, *terms.columns, "similarity")

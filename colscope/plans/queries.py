@@ -29,7 +29,7 @@ from colscope.operators import (
 from colscope.operators.profile import profile_tables
 from colscope.plans import tools
 from colscope.plans.tenants import TABLES, given_table, tenant_views
-from colscope.session import cut_lineage, shared_folder
+from colscope.session import cut_lineage, shared_folder, spread
 from colscope.sources import discovery, exports, scan
 from colscope.sources.catalog_store import CatalogStore
 
@@ -69,7 +69,7 @@ def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """The words of the documents as catalog rows: a document is a file, a word a column, the language its type."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), WORD), lambda w: w != ""))
     document = F.col("doc_id").cast("string")
-    return given_table(spark, folder, "documents").select(
+    return spread(given_table(spark, folder, "documents").select("doc_id", "lang", "text")).select(
         document.alias("file_name"),
         document.alias("file_path"),
         F.col("lang").alias("data_type"),
@@ -83,7 +83,8 @@ def distinct_words(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_sets(spark: SparkSession, folder: str) -> similar_sets.DistinctSets:
     words = F.filter(F.split(F.lower("text"), WORD), lambda w: w != "")
-    sets = given_table(spark, folder, "documents").select("doc_id", words.alias("words"))
+    documents = spread(given_table(spark, folder, "documents").select("doc_id", "text"))
+    sets = documents.select("doc_id", words.alias("words"))
     return similar_sets.distinct_sets(sets, "doc_id", "words")
 
 

@@ -60,6 +60,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a source that arrives in fewer pieces than there are cores.
+
+    For work that is heavy per row, on few large row groups. A source of many pieces is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def holds_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; never counts further than that."""
     return df.limit(rows + 1).count() <= rows
