@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.operators import greedy
-from colscope.operators.catalog import FILE, columns_in_files, columns_in_files_members, list_files
+from colscope.operators.catalog import columns_in_files, columns_in_files_members, list_files
 from colscope.operators.search import contains_ignoring_case
 from colscope.operators.shapes import Shapes, file_key, shape_pairs, shapes_of
 from colscope.operators.similar_sets import DistinctSets, distinct_sets, similar_pairs

@@ -6,6 +6,9 @@ six digits before it is compared with a threshold, so that it does not depend on
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,3 +212,45 @@ def similar_vectors(queries: DataFrame, items: DataFrame, threshold: float) -> D
     return found.select("query_id", "item_id", similarity.alias("similarity")).filter(
         F.col("similarity") >= threshold
     )
+
+
+def embed(texts: DataFrame, text: Column, name: str, load: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+    """``name`` and the dense unit vector of ``text``, from a model the caller brings.
+
+    ``load`` returns a function from texts to vectors; it is called once per Python worker, not per batch.
+    """
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            yield pd.Series([[float(x) for x in v] for v in model(batch.tolist())])
+
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
+    return (
+        texts.select(name, encode(text).alias("vector"))
+        .withColumn("length", length)
+        .filter("length > 0")
+        .select(name, F.transform("vector", lambda x: x / F.col("length")).alias("vector"))
+    )
+
+
+def similar_columns_dense(
+    catalog: DataFrame,
+    term: str,
+    load: Callable[[], Callable[[list[str]], list]],
+    threshold: float = 0.6,
+) -> DataFrame:
+    """``similar_columns`` by the vectors of a model; every distinct name is embedded once."""
+    _check(threshold)
+    names = catalog.select("column_name").distinct()
+    items = embed(names, N.enrich(F.col("column_name")), "column_name", load)
+    asked = embed(catalog.sparkSession.createDataFrame([(term,)], "term string"), F.col("term"), "term", load)
+    matches = similar_vectors(
+        asked.select(F.col("term").alias("query_id"), F.col("vector").alias("query_vector")),
+        items.select(F.col("column_name").alias("item_id"), F.col("vector").alias("item_vector")),
+        threshold,
+    ).select(F.col("item_id").alias("column_name"), "similarity")
+    return skew_join(catalog, matches, "column_name").orderBy(
+        F.desc("similarity"), "file_name", "file_path", "column_name"
+    )

@@ -362,6 +362,17 @@ def oracles() -> dict[str, str]:
         "count(*) AS shared FROM rw a JOIN rw b ON a.w = b.w AND a.rep < b.rep "
         "AND least(a.n, b.n) >= 0.69 * greatest(a.n, b.n) GROUP BY ALL) "
     )
+    document_groups = (
+        document_sets.replace("WITH ", "WITH RECURSIVE ", 1)
+        + ", items AS (SELECT row_number() OVER (ORDER BY rep) AS i, rep, ws FROM cls), "
+        "ie AS (SELECT a.i, b.i AS j, 1 AS similarity FROM ov JOIN items a ON a.rep = rep1 JOIN items b ON b.rep = rep2 "
+        "WHERE shared / (n1 + n2 - shared) >= 0.7), "
+        + _walk("items", "ie", later_only=True)
+        + ", att AS (SELECT j, min(i) AS leader FROM led GROUP BY j), "
+        "ld AS (SELECT x.ws, coalesce(l.rep, x.rep) AS leader FROM items x LEFT JOIN att ON att.j = x.i "
+        "LEFT JOIN items l ON l.i = att.leader) "
+        "SELECT doc_id, leader AS leader_doc_id FROM ds JOIN ld USING (ws)"
+    )
     return {
         "profile_catalog": given + f" SELECT {_COUNTS} FROM cat",
         "profile_nulls": tenants + f" SELECT {_COUNTS} FROM cat",
@@ -569,6 +580,7 @@ def oracles() -> dict[str, str]:
         "doc_jaccard_pairs": document_sets
         + "SELECT rep1, rep2, copies1, copies2, shared, n1 + n2 - shared AS united, round(shared / (n1 + n2 - shared), 6) AS jaccard "
         "FROM ov WHERE shared / (n1 + n2 - shared) >= 0.7",
+        "doc_groups": document_groups,
         "vector_similar": "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), "
         "m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL), "
         "q AS (SELECT label, list(m ORDER BY i) AS v, sqrt(sum(m * m)) AS n FROM m GROUP BY label) "

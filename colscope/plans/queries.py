@@ -24,7 +24,6 @@ from colscope.operators import (
     semantic,
     similar_sets,
     similarity,
-    stats,
 )
 from colscope.operators.profile import profile_tables
 from colscope.plans import tools

@@ -185,3 +185,24 @@ def test_long_query_lists_give_the_same_result(spark, monkeypatch):
     monkeypatch.setattr(similarity, "QUERY_ROWS", 7)
     monkeypatch.setattr(similarity, "ITEM_ROWS", 9)
     assert sorted(similarity.similar_vectors(queries, items, 0.5).collect()) == short and short
+
+
+def load_letter_counts():
+    return lambda texts: [[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+def test_dense_search_by_a_model_of_the_caller(make_catalog, tenants):
+    def unit(text):
+        counts = load_letter_counts()([text])[0]
+        length = math.sqrt(sum(n * n for n in counts))
+        return [n / length for n in counts]
+
+    expected = {
+        c: round(s, 6)
+        for f in tenants.values()
+        for c in f
+        if (s := sum(a * b for a, b in zip(unit("customer"), unit(enriched(c))))) >= 0.7
+    }
+    found = similarity.similar_columns_dense(make_catalog(tenants), "customer", load_letter_counts, 0.7).collect()
+    assert {r.column_name: pytest.approx(r.similarity, abs=2e-6) for r in found} == expected and expected
+    assert [r.similarity for r in found] == sorted((r.similarity for r in found), reverse=True)
