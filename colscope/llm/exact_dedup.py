@@ -63,6 +63,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
+        b = batch(_RUN, *b.columns)
         rows = pa.Table.from_batches([held, b] if held is not None else [b]).combine_chunks().to_batches()[0]
         raw = rows.column(1)
         begin = raw.offset * KEY_BYTES

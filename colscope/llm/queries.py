@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import chat, exact_dedup, mixing, packing, quality
+from colscope.llm import ann, chat, exact_dedup, mixing, packing, quality, substring_dedup
 from colscope.llm.common import remainder, table
 
 
@@ -18,6 +18,10 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("document.doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given conversations and conversation -7 as an event log; assistant texts arrive as streamed deltas."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -47,4 +51,10 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_tree_merge_dedup, op4_curriculum_mix, op6_event_sourced_chat, op8_pu_quality, op9_vector_packing)}
+def op10_super_k_mer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op3_tree_merge_dedup, op4_curriculum_mix, op5_adaptive_scan_ann, op6_event_sourced_chat, op8_pu_quality, op9_vector_packing, op10_super_k_mer_dedup)}

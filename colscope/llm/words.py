@@ -135,13 +135,19 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     return _mix(out)
 
 
-def sliding_min(values: np.ndarray, k: int) -> np.ndarray:
-    """The least of every ``k`` consecutive values."""
-    n, span, low = len(values) - k + 1, 1, values
+def sliding_min(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every ``k`` consecutive values, and where it stands first."""
+
+    def lesser(left, left_at, right, right_at):
+        take = right < left
+        return np.where(take, right, left), np.where(take, right_at, left_at)
+
+    n, span, low, at = len(values) - k + 1, 1, values, np.arange(len(values))
     while span * 2 <= k:
-        low = np.minimum(low[: len(low) - span], low[span:])
+        low, at = lesser(low[:-span], at[:-span], low[span:], at[span:])
         span *= 2
-    return np.minimum(low[:n], low[k - span : k - span + n])
+    last = k - span
+    return lesser(low[:n], at[:n], low[last : last + n], at[last : last + n])
 
 
 def signed(h: np.ndarray) -> np.ndarray:
