@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import ann, chat, exact_dedup, mixing, packing, quality, substring_dedup
+from colscope.llm import ann, chat, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, substring_dedup
 from colscope.llm.common import remainder, table
 
 
+def op2_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,12 @@ def op6_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.reconstruct(conversation_events(spark, sf_dir))))
 
 
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select(
+        "document.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     learn = remainder("doc_id", 3) != 1
@@ -57,4 +67,4 @@ def op10_super_k_mer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_tree_merge_dedup, op4_curriculum_mix, op5_adaptive_scan_ann, op6_event_sourced_chat, op8_pu_quality, op9_vector_packing, op10_super_k_mer_dedup)}
+QUERIES = {f.__name__: f for f in (op2_parity_sketch_join, op3_tree_merge_dedup, op4_curriculum_mix, op5_adaptive_scan_ann, op6_event_sourced_chat, op7_fuzzy_line_dedup, op8_pu_quality, op9_vector_packing, op10_super_k_mer_dedup)}
