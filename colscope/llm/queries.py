@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import ann, chat, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, substring_dedup
+from colscope.llm import ann, chat, class_ngrams, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, substring_dedup
 from colscope.llm.common import remainder, table
 
 
+def op1_brown_class_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ngrams.scores(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
 def op2_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -67,4 +71,4 @@ def op10_super_k_mer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_parity_sketch_join, op3_tree_merge_dedup, op4_curriculum_mix, op5_adaptive_scan_ann, op6_event_sourced_chat, op7_fuzzy_line_dedup, op8_pu_quality, op9_vector_packing, op10_super_k_mer_dedup)}
+QUERIES = {f.__name__: f for f in (op1_brown_class_score, op2_parity_sketch_join, op3_tree_merge_dedup, op4_curriculum_mix, op5_adaptive_scan_ann, op6_event_sourced_chat, op7_fuzzy_line_dedup, op8_pu_quality, op9_vector_packing, op10_super_k_mer_dedup)}
