@@ -13,8 +13,10 @@ No vocabulary is gathered: texts are encoded in chunks, each with its own sorted
 their counts and classes by a shuffle on the word's hash and return to the chunk. What reaches the driver is
 bounded by ``CORE`` and the number of classes. Words are told apart by 64-bit hashes.
 
-Defined cases: a null or empty text is the end alone; equal rows count as often as they occur; a word unseen in training
-is emitted by the class with most words seen once; a null key is held out or not like the empty text; no
+A word unseen in training can come from every class, each of which keeps the mass of one more word for it: its
+probability is the sum over them, and what follows it is drawn from the classes' overall shares.
+
+Defined cases: a null or empty text is the end alone; equal rows count as often as they occur; a null key is held out or not like the empty text; no
 training rows: all words are unknown and classes uniform; no rows in, no rows out. Only key and text are read.
 """
 
@@ -349,19 +351,17 @@ def scores(documents: DataFrame, held_out: Column, key: str = "doc_id", classes:
     encoded = _encoded(rows, core)
     placed = _placed(encoded, table, classes)
     # words and tokens of every class
-    size, tokens, once = (np.zeros(classes) for _ in range(3))
+    size, tokens = np.ones(classes), np.zeros(classes)
     np.add.at(size, core.classes, 1)
     np.add.at(tokens, core.classes, core.counts)
     of_class = placed.filter("first AND class >= 0").groupBy("class").agg(
-        F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens"), F.count_if(F.col("n") == 1).alias("once")
+        F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")
     )
     for r in of_class.collect():
         size[r["class"]] += r.words
         tokens[r["class"]] += r.tokens
-        once[r["class"]] += r.once
-    unknown = int(np.argmax(once))
-    size[unknown] += 1
-    emitted = np.log10(tokens + EMISSION * size + 1e-300)
+    unknown, wide = classes + 1, classes + 2  # symbols after the classes: the end, an unseen word
+    emitted = np.append(np.log10(tokens + EMISSION * size), [0.0, 0.0])
     base = np.log10(total + 0.1 * (vocabulary + 1))
     per_text = "key bigint, held boolean, n_tokens bigint, n_known bigint, base double, emission double, classes binary"
     schema = pa.schema(
@@ -380,7 +380,7 @@ def scores(documents: DataFrame, held_out: Column, key: str = "doc_id", classes:
         count[at], class_[at] = lexicon.column("n").to_numpy(), lexicon.column("class").to_numpy()
         class_[class_ < 0] = unknown
         known = count > 0
-        by_word = np.stack([known, np.log10(count + 0.1) - base, np.log10(count + EMISSION) - emitted[class_]])
+        by_word = np.stack([known, np.log10(count + 0.1) - base, np.where(known, np.log10(count + EMISSION) - emitted[class_], 0)])
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         sums = [np.diff(np.concatenate([[0], np.cumsum(v[codes])])[bounds]) for v in by_word]
         end = np.log10(ends + 0.1) - base
@@ -393,10 +393,9 @@ def scores(documents: DataFrame, held_out: Column, key: str = "doc_id", classes:
     texts = encoded.filter("word = -1").select("chunk", "bytes", "keys", "held", "sizes")
     lexicon = placed.select("chunk", "word", "n", "class")
     known = stored(texts.groupBy("chunk").cogroup(lexicon.groupBy("chunk")).applyInArrow(attach, per_text))
-    wide = classes + 1
 
     def transitions(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all transitions of a batch, and where each text's begin; the end is the last class."""
+        """Codes of all transitions of a batch, and where each text's begin."""
         column = part.column("classes")
         sizes = pa.compute.binary_length(column).to_numpy().astype(np.int64)
         data = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
@@ -415,8 +414,14 @@ def scores(documents: DataFrame, held_out: Column, key: str = "doc_id", classes:
     counted = known.filter("NOT held").select("classes").mapInArrow(count, "key bigint, n bigint")
     for key_, n_ in counted.groupBy("key").agg(F.sum("n")).collect():
         seen[key_] = n_
-    seen = seen.reshape(wide, wide)
-    step = (np.log10(seen + TRANSITION) - np.log10(seen.sum(1, keepdims=True) + TRANSITION * wide)).ravel()
+    seen = seen.reshape(wide, wide)[: classes + 1, : classes + 1]
+    chance = np.vstack([seen, seen.sum(0)]) + TRANSITION  # after an unseen word: the overall shares
+    chance /= chance.sum(1, keepdims=True)
+    unseen = chance[:, :classes] @ (EMISSION / (tokens + EMISSION * size))
+    steps = np.full((wide, wide), -np.inf)
+    rows_of = [*range(classes + 1), unknown]
+    steps[rows_of, : classes + 1], steps[rows_of, unknown] = np.log10(chance), np.log10(unseen)
+    step = steps.ravel()
     out = pa.schema(
         [("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
          ("base_score", pa.float64()), ("score", pa.float64())]
