@@ -3,7 +3,7 @@
 Trusted positives and a sample of unlabelled texts are described by features of their bytes and words; a linear
 model minimises ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` with the logistic loss, stepping
 against the negative part when it falls below zero. The class prior is estimated first: a plain positive-versus-
-unlabelled model is fitted on one half, and on the other the share of unlabelled texts above a score, divided
+unlabelled model is fitted on each half, and on the other half the share of unlabelled texts above a score, divided
 by the share of positives above it, is least where only positives are; that ratio bounds the prior from above.
 
 Bounds: ``POSITIVES`` and ``UNLABELLED`` texts are sampled (by a hash of the key, in expectation) and only their features
@@ -29,6 +29,8 @@ from colscope.llm.words import Words, blocks
 
 POSITIVES, UNLABELLED = 4_000, 8_000
 PAIRS = 512
+# Weight decay; least spread of a feature, so that rare ones are not blown up.
+DECAY, FLOOR = 1e-2, 1e-2
 _SCALE = 1 << 20
 
 
@@ -75,10 +77,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 300, decay: float = 1e-4):
+def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 300, decay: float = DECAY):
     """Adam on the non-negative risk; without a prior, plain logistic regression of positives against the rest."""
     x = np.vstack([positive, unlabelled])
-    centre, spread = x.mean(0), x.std(0) + 1e-3
+    centre, spread = x.mean(0), x.std(0) + FLOOR
     p, u = (positive - centre) / spread, (unlabelled - centre) / spread
     w, first, second = (np.zeros(x.shape[1] + 1) for _ in range(3))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -102,14 +104,16 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, step
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The least ratio of unlabelled to positive texts above a score, on the half not fitted to."""
+    """The least ratio of unlabelled to positive texts above a score; each half is judged by a model of the other."""
     if len(positive) < 4 or len(unlabelled) < 4:
         return 0.5
-    weights, bias = _fit(positive[::2], unlabelled[::2], None)
-    p, u = positive[1::2] @ weights + bias, unlabelled[1::2] @ weights + bias
-    cuts = np.quantile(p, np.arange(0.02, 0.81, 0.02))
-    ratios = [(u >= c).mean() / (p >= c).mean() for c in cuts]
-    return float(np.clip(min(ratios), 0.05, 0.98))
+    found = []
+    for fold in (0, 1):
+        weights, bias = _fit(positive[fold::2], unlabelled[fold::2], None)
+        p, u = positive[1 - fold :: 2] @ weights + bias, unlabelled[1 - fold :: 2] @ weights + bias
+        cuts = np.quantile(p, np.arange(0.05, 0.61, 0.05))
+        found.append(min((u >= c).mean() / (p >= c).mean() for c in cuts))
+    return float(np.clip(np.mean(found), 0.05, 0.98))
 
 
 def fit(documents: DataFrame, positives: DataFrame, most: tuple[int, int] = (POSITIVES, UNLABELLED)) -> Model:
@@ -143,9 +147,8 @@ def fit(documents: DataFrame, positives: DataFrame, most: tuple[int, int] = (POS
 
 
 def score(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of every document with ``score``, the probability of good quality, as a last column."""
-    rows = documents.select("text", F.struct(*columns).alias("document"))
-    kept = documents.select(*columns).schema
+    """``document``, a struct of ``columns``, and ``score``, the probability of good quality, of every document."""
+    rows = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("document"))
     wide = rows.select("document", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +157,7 @@ def score(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
                 scores = pa.array(model.scores(features(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column("document"), scores], ["document", "score"])
 
-    return rows.mapInArrow(run, wide).select(*[F.col("document")[f.name].alias(f.name) for f in kept], "score")
+    return rows.mapInArrow(run, wide)
 
 
 def trusted_positives(labels: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     learn = remainder("doc_id", 3) != 1
     model = quality.fit(documents.filter(learn), quality.trusted_positives(table(spark, sf_dir, "labels")).filter(learn))
-    return quality.score(documents, model, ["doc_id"]).select(
+    return quality.score(documents, model, ["doc_id"]).select("document.doc_id", "score").select(
         "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
