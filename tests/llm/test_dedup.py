@@ -167,7 +167,7 @@ def _expected_lines(rows):
     sims = []
     for line in lines:
         words = Words(pa.array([line.decode()]))
-        sims.append(line_dedup.simhash(words.hashes(False), words.first[:1])[0])
+        sims.append(line_dedup.simhash(words.hashes(False), words.text_of(), 1)[0])
     sims, groups = np.array(sims), Groups(len(lines))
     for i, line in enumerate(lines):
         for j in np.flatnonzero(np.bitwise_count(sims[:i] ^ sims[i]) <= 3):
