@@ -26,7 +26,9 @@ from colscope.llm.words import Words, blocks, runs, signed, sliding_min
 
 WINDOW, SEED = 35, 8
 # Super-k-mers of one minimiser that a task gathers; more are dealt out by window.
-HOT = 4_096
+HOT = 1 << 16
+# Super-k-mers whose windows are sorted at once, whole buckets.
+SORTED = 1 << 14
 
 
 def _row_id(df: DataFrame):
@@ -147,68 +149,73 @@ def _super_k_mers(documents: DataFrame, wanted: DataFrame, window: int, seed: in
     return rows.mapInArrow(run, "key bigint, key2 bigint, packed binary, row_id bigint, start bigint")
 
 
-def _count_bucket(packed: list[bytes], window: int) -> list[tuple[int, int, int]]:
-    """(super-k-mer, first and last repeated window in it) spans of one bucket, windows sorted and compared exactly."""
-    seen: list[tuple[bytes, int, int]] = []
-    for i, text in enumerate(packed):
-        words = text.split(b" ")
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate([[0], ends[:-1]])
-        for j in range(len(words) - window + 1):
-            seen.append((text[starts[j] : ends[j + window - 1] - 1], i, j))
-    seen.sort()
-    repeated: dict[int, list[int]] = {}
-    for k, (text, i, j) in enumerate(seen):
-        if (k and seen[k - 1][0] == text) or (k + 1 < len(seen) and seen[k + 1][0] == text):
-            repeated.setdefault(i, []).append(j)
-    out = []
-    for i, places in repeated.items():
-        places.sort()
-        begin = last = places[0]
-        for j in places[1:]:
-            if j > last + window:  # spans that touch are one
-                out.append((i, begin, last))
-                begin = j
-            last = j
-        out.append((i, begin, last))
-    return out
+def _repeated_in(packed: list[bytes], window: int) -> list[tuple[int, int, int]]:
+    """(super-k-mer, begin, end): its words under windows that occur again among ``packed``, in spans.
+
+    Windows are sorted by two 64-bit hashes; neighbours of equal hashes are compared word by word.
+    """
+    words = Words(pa.array(packed, type=pa.binary()))
+    one, two = runs(words.hashes(False), window), runs(words.hashes(False, seed=1), window)
+    of = words.text_of()
+    whole = np.flatnonzero(of[: len(one)] == of[window - 1 :]) if len(one) else np.zeros(0, dtype=np.int64)
+    order = whole[np.lexsort((two[whole], one[whole]))]
+    same = np.flatnonzero((one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]]))
+    data = words.data.tobytes()
+    text = lambda i: data[words.starts[i] : words.ends[i + window - 1]]
+    again = np.zeros(len(words), dtype=bool)
+    for k in same.tolist():
+        if text(order[k]) == text(order[k + 1]):
+            again[order[k]] = again[order[k + 1]] = True
+    places = np.flatnonzero(again)
+    if not len(places):
+        return []
+    new = np.ones(len(places), dtype=bool)
+    new[1:] = (of[places[1:]] != of[places[:-1]]) | (places[1:] > places[:-1] + window)
+    first = np.flatnonzero(new)
+    last = places[np.append(first[1:], len(places)) - 1]
+    begin, owner = places[first], of[places[first]]
+    at = words.first[owner]
+    return list(zip(owner.tolist(), (begin - at).tolist(), (last - at + window).tolist(), strict=True))
 
 
 def _count_buckets(rows: DataFrame, window: int) -> DataFrame:
     """(row_id, begin, end): words under repeated windows, from the packed super-k-mers."""
     schema = pa.schema([("row_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
+    def counted(rows: list[tuple[int, bytes, int, int]]) -> list[tuple[int, int, int]]:
+        # equal super-k-mers repeat each other whole; one of them stands for all among the others
+        copies: dict[bytes, list[tuple[int, int]]] = {}
+        for _, text, row_id, start in rows:
+            copies.setdefault(text, []).append((row_id, start))
+        out = []
+        for text, places in copies.items():
+            if len(places) > 1:
+                size = text.count(b" ") + 1
+                out += [(row_id, start, start + size) for row_id, start in places]
+        texts = list(copies)
+        for i, begin, end in _repeated_in(texts, window):
+            if len(copies[texts[i]]) == 1:
+                row_id, start = copies[texts[i]][0]
+                out.append((row_id, start + begin, start + end))
+        return out
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bucket = None, []
-
-        def counted(bucket):
-            # equal super-k-mers are compared once; of copies, one more stands for all the others
-            copies: dict[bytes, list[tuple[int, int]]] = {}
-            for text, row_id, start in bucket:
-                copies.setdefault(text, []).append((row_id, start))
-            texts = list(copies)
-            twice = [t for t in texts if len(copies[t]) > 1]
-            whole = {t: t.count(b" ") + 1 for t in twice}
-            for t in twice:
-                for row_id, start in copies[t]:
-                    yield row_id, start, start + whole[t]
-            if len(texts) > 1:
-                for i, begin, last in _count_bucket(texts, window):
-                    for row_id, start in copies[texts[i]]:
-                        yield row_id, start + begin, start + last + window
+        held: list[tuple[int, bytes, int, int]] = []
+
+        def emit(rows):
+            found = counted(rows)
+            return [batch(schema, *(list(c) for c in zip(*found, strict=True)))] if found else []
 
         for b in batches:
-            out = []
-            for k, text, row_id, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != key:
-                    out += counted(bucket)
-                    key, bucket = k, []
-                bucket.append((text, row_id, start))
-            if out:
-                yield batch(schema, *(list(c) for c in zip(*out, strict=True)))
-        out = list(counted(bucket))
-        if out:
-            yield batch(schema, *(list(c) for c in zip(*out, strict=True)))
+            held += zip(*(c.to_pylist() for c in b.columns), strict=True)
+            if len(held) >= SORTED:
+                # up to the beginning of the last bucket, which may go on
+                cut = len(held)
+                while cut and held[cut - 1][0] == held[-1][0]:
+                    cut -= 1
+                yield from emit(held[:cut])
+                held = held[cut:]
+        yield from emit(held)
 
     ordered = rows.repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(stream, "row_id bigint, begin bigint, end bigint")
