@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from colscope.session import cut_lineage
 
-MAX_ROUNDS = 1_000
+# Rounds after which the claimed items so far are stored as one relation.
+ROUNDS_PER_CUT = 20
 
 
-def claimed_items(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def claimed_items(edges: DataFrame) -> DataFrame:
     """``id`` of the items that do not lead. ``edges``: (src, dst), src before dst, src claims dst if it leads."""
     remaining = cut_lineage(edges.select("src", "dst").distinct())
     claimed = remaining.select(F.col("dst").alias("id")).limit(0)
-    for _ in range(max_rounds):
-        if remaining.isEmpty():
-            return claimed
+    round_ = 0
+    while not remaining.isEmpty():
+        round_ += 1
         leaders = remaining.select("src").distinct().join(
             remaining.select(F.col("dst").alias("src")).distinct(), "src", "left_anti"
         )
@@ -29,9 +30,11 @@ def claimed_items(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
             remaining.join(leaders, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         )
         claimed = claimed.unionByName(lost)
+        if round_ % ROUNDS_PER_CUT == 0:
+            claimed = cut_lineage(claimed)
         remaining = cut_lineage(
             remaining.join(lost.select(F.col("id").alias("src")), "src", "left_anti").join(
                 lost.select(F.col("id").alias("dst")), "dst", "left_anti"
             )
         )
-    raise RuntimeError(f"greedy leaders undecided after {max_rounds} rounds")
+    return claimed

@@ -10,27 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colscope.session import HOT_KEYS, holds_at_most
+from colscope.session import broadcast_if_small, cut_lineage, holds_at_most
 
 # Postings of one key that a task compares with each other.
 BLOCK_POSTINGS = 2_000
 
 
 def _split_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """key, left_blocks, right_blocks of the ``HOT_KEYS`` keys with most postings on either side."""
+    """key, left_blocks, right_blocks of every key with more than a block of postings on either side."""
     counts = (
         left.groupBy(key).agg(F.count(F.lit(1)).alias("n_left"))
         .join(right.groupBy(key).agg(F.count(F.lit(1)).alias("n_right")), key)
     )
-    return (
-        counts.filter(F.greatest("n_left", "n_right") > BLOCK_POSTINGS)
-        .orderBy(F.desc(F.greatest("n_left", "n_right")), key)
-        .limit(HOT_KEYS)
-        .select(
-            key,
-            F.ceil(F.col("n_left") / BLOCK_POSTINGS).cast("int").alias("left_blocks"),
-            F.ceil(F.col("n_right") / BLOCK_POSTINGS).cast("int").alias("right_blocks"),
-        )
+    return counts.filter(F.greatest("n_left", "n_right") > BLOCK_POSTINGS).select(
+        key,
+        F.ceil(F.col("n_left") / BLOCK_POSTINGS).cast("int").alias("left_blocks"),
+        F.ceil(F.col("n_right") / BLOCK_POSTINGS).cast("int").alias("right_blocks"),
     )
 
 
@@ -41,7 +36,9 @@ def posting_pairs(left: DataFrame, right: DataFrame, key: str, condition: Column
     """
     if holds_at_most(left, BLOCK_POSTINGS) and holds_at_most(right, BLOCK_POSTINGS):
         return left.join(right, key).filter(condition)
-    split = F.broadcast(_split_keys(left, right, key))
+    # a key in the table has more than a block of postings, so the table is small beside them; it is broadcast if a
+    # count shows that, and otherwise joined like any other side
+    split = broadcast_if_small(cut_lineage(_split_keys(left, right, key)))
 
     def blocks(side: DataFrame, own: str, other: str, own_first: bool) -> DataFrame:
         one = F.lit(1)

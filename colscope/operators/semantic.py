@@ -21,7 +21,7 @@ from colscope.operators.relationships import (
     names_of,
     without_names,
 )
-from colscope.operators.shapes import Shapes, shape_pairs, shapes_of
+from colscope.operators.shapes import Shapes, in_file_order, ordered_shape_pairs, second_file, shapes_of
 from colscope.session import cut_lineage, skew_join
 
 GROUP_THRESHOLD = 0.7
@@ -202,13 +202,13 @@ def _scored_files(
             .select("file1", "file2", copies.alias("copies1"), copies.alias("copies2"), "similarity", "matches")
         )
     ones = found.shapes.select(F.col("rep").alias("rep1"), F.col("copies").alias("copies1"))
-    twos = found.shapes.select(F.col("rep").alias("rep2"), F.col("copies").alias("copies2"))
+    twos = found.shapes.select(F.col("rep").alias("rep2"), F.col("last").alias("last2"), F.col("copies").alias("copies2"))
     return (
-        scores.filter("rep1 < rep2 ")
-        .join(ones, "rep1")
+        scores.join(ones, "rep1")
         .join(twos, "rep2")
+        .filter(in_file_order())
         .select(
-            F.col("rep1").alias("file1"), F.col("rep2").alias("file2"), "copies1", "copies2", "similarity", "matches"
+            F.col("rep1").alias("file1"), second_file().alias("file2"), "copies1", "copies2", "similarity", "matches"
         )
     )
 
@@ -231,8 +231,9 @@ def semantic_schema_pairs(
 ) -> DataFrame:
     """Pairs of files of similar meaning: mean over the first file's columns of the best match in the second.
 
-    Files of equal columns are one item, counted in ``copies``; ``per_file`` states every pair of files instead,
-    those of equal columns included.
+    Files of equal columns are one item, counted in ``copies``: a row stands for all pairs of a file of the first item
+    before a file of the second, and names one of them. Scores are one-way, so two items have a row for each
+    order in which their files occur, and an item of several files one with itself. ``per_file`` states every pair.
     """
     return (
         _scored_files(catalog, threshold, enrich, per_file)
@@ -457,11 +458,13 @@ def semantic_differences(
 ) -> DataFrame:
     """Differences of every pair of distinct schemas, with unmatched columns paired by meaning.
 
+    The pairing starts from the first file, so schemas whose files occur in both orders have a row for each.
+
     In name order, each column only in the first file takes the most similar free column only in the second.
     What remains on either side may be missing on the other. Columns of differing type count as matching here.
     """
     found = shapes_of(catalog)
-    pairs = cut_lineage(differences_of(shape_pairs(found.shapes)))
+    pairs = cut_lineage(differences_of(ordered_shape_pairs(found.shapes)))
     similar = cut_lineage(similarity.name_pairs(catalog, "column_name", threshold, enrich))
     edges = (
         pairs.select("rep1", "rep2", names_of("only2").alias("names2"), F.explode(names_of("only1")).alias("name1"))
@@ -488,8 +491,8 @@ def semantic_differences(
     return with_equivalents.select(
         F.col("rep1.file_name").alias("file1"),
         F.col("rep1.file_path").alias("path1"),
-        F.col("rep2.file_name").alias("file2"),
-        F.col("rep2.file_path").alias("path2"),
+        second_file()["file_name"].alias("file2"),
+        second_file()["file_path"].alias("path2"),
         "copies1",
         "copies2",
         ((F.size("common") + F.size("equivalents")) / F.col("united")).alias("similarity"),

@@ -22,7 +22,10 @@ def file_key() -> Column:
 
 @dataclass
 class Shapes:
-    """``shapes``: key, rep, columns (array of name/type, by name), copies. ``files``: file, key."""
+    """``shapes``: key, rep and last (first and last file), columns (array of name/type, by name), copies.
+
+    ``files``: file, key.
+    """
 
     shapes: DataFrame
     files: DataFrame
@@ -45,7 +48,7 @@ def shapes_of(catalog: DataFrame, with_types: bool = True) -> Shapes:
     )
     classes = cut_lineage(
         files.groupBy("key").agg(
-            F.min("file").alias("rep"), F.first("columns").alias("columns"), F.count(F.lit(1)).alias("copies")
+            F.min("file").alias("rep"), F.max("file").alias("last"), F.first("columns").alias("columns"), F.count(F.lit(1)).alias("copies")
         )
     )
     return Shapes(classes, files.select("file", "key"))
@@ -56,3 +59,20 @@ def shape_pairs(shapes: DataFrame) -> DataFrame:
     one = {"rep": "rep1", "columns": "columns1", "copies": "copies1"}
     two = {"rep": "rep2", "columns": "columns2", "copies": "copies2"}
     return pairs_of(shapes, one, two, F.col("rep1") < F.col("rep2"))
+
+
+def ordered_shape_pairs(shapes: DataFrame) -> DataFrame:
+    """Every ordered pair of different shapes of which some file of the first precedes some file of the second."""
+    one = {"rep": "rep1", "columns": "columns1", "copies": "copies1"}
+    two = {"rep": "rep2", "last": "last2", "columns": "columns2", "copies": "copies2"}
+    return pairs_of(shapes, one, two, in_file_order() & (F.col("rep1") != F.col("rep2")))
+
+
+def in_file_order() -> Column:
+    """Whether some file of shape 1 precedes some file of shape 2."""
+    return F.col("rep1") < F.col("last2")
+
+
+def second_file() -> Column:
+    """A file of shape 2 that the first file of shape 1 precedes."""
+    return F.when(F.col("rep1") < F.col("rep2"), F.col("rep2")).otherwise(F.col("last2"))

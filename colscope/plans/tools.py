@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from colscope.operators import consistency, relationships, search, semantic, stats
+from colscope.operators import consistency, relationships, search, stats
+from colscope.operators import semantic as meaning
 
 LARGEST_FILES = 10
 
@@ -34,25 +35,25 @@ def find_relationships(
     catalog: DataFrame,
     analysis_type: str = "common_columns",
     threshold: float | None = None,
-    semantic_names: bool = False,
+    semantic: bool = False,
 ) -> DataFrame:
-    """Relations by type; each has a default threshold of its own scale.
+    """Relations by type; each has a default threshold of its own scale. ``semantic`` compares names by meaning.
 
     ``common_columns`` counts files (2). ``similar_schemas`` takes tenths of a Jaccard index (3). The types
     on meaning take a similarity.
     """
     given = {} if threshold is None else {"threshold": threshold}
     if analysis_type == "semantic_groups":
-        return semantic.concept_groups(catalog, **given)
+        return meaning.concept_groups(catalog, **given)
     if analysis_type == "concept_evolution":
-        return semantic.concept_evolution(catalog, **given)
+        return meaning.concept_evolution(catalog, **given)
     if analysis_type == "similar_schemas":
-        if semantic_names:
-            return semantic.semantic_schema_pairs(catalog, **given)
-        return relationships.schema_groups(catalog, relationships.legacy_threshold(threshold or 3))
+        if semantic:
+            return meaning.semantic_schema_pairs(catalog, **given)
+        return relationships.schema_groups(catalog, relationships.legacy_threshold(3 if threshold is None else threshold))
     if analysis_type == "schema_differences":
-        if semantic_names:
-            return semantic.semantic_differences(catalog, **given)
+        if semantic:
+            return meaning.semantic_differences(catalog, **given)
         return relationships.schema_differences(catalog)
     if analysis_type == "common_columns":
         return relationships.common_columns(catalog, int(2 if threshold is None else threshold))
@@ -60,9 +61,10 @@ def find_relationships(
 
 
 def detect_inconsistencies(
-    catalog: DataFrame, check_type: str | list[str] = "data_types", threshold: float = semantic.NAMING_THRESHOLD
+    catalog: DataFrame, check_type: str | list[str] = "data_types", threshold: float | None = None
 ) -> DataFrame:
-    """Checks by type; of a list the first counts."""
+    """Checks by type; of a list the first counts. Each check on meaning has a default threshold of its own."""
+    given = {} if threshold is None else {"threshold": threshold}
     if isinstance(check_type, list):
         check_type = check_type[0] if check_type else "data_types"
     if check_type == "data_types":
@@ -70,11 +72,11 @@ def detect_inconsistencies(
     if check_type == "naming_patterns":
         return consistency.naming_patterns(catalog)
     if check_type == "semantic_naming":
-        return semantic.naming_inconsistencies(catalog, threshold)
+        return meaning.naming_inconsistencies(catalog, **given)
     if check_type == "concept_consistency":
-        return semantic.concept_types(catalog)
+        return meaning.concept_types(catalog, **given)
     if check_type == "abbreviation_detection":
-        return semantic.abbreviations(catalog, threshold)
+        return meaning.abbreviations(catalog, **given)
     raise ValueError(f"unknown check type: {check_type}")
 
 

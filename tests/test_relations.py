@@ -23,10 +23,19 @@ def test_greedy_leaders_equal_the_sequential_walk(spark):
     assert {r.id for r in found.collect()} == expected
 
 
-def test_greedy_gives_up_loudly(spark):
-    chain = spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    with pytest.raises(RuntimeError):
-        greedy.claimed_items(chain, max_rounds=2)
+def test_greedy_follows_chains_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(greedy, "ROUNDS_PER_CUT", 4)
+    chain = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r.id for r in greedy.claimed_items(chain).collect()} == set(range(1, 41, 2))
+
+
+def test_every_long_posting_list_is_split(spark, monkeypatch):
+    """More hot keys than any bound of old: the split join equals the plain one."""
+    monkeypatch.setattr(joins, "BLOCK_POSTINGS", 3)
+    rows = spark.range(6_000).select((F.col("id") % 1_200).alias("k"), F.col("id").alias("x"))
+    other = rows.withColumnRenamed("x", "y")
+    found = joins.posting_pairs(rows, other, "k", F.col("x") < F.col("y"))
+    assert found.count() == found.distinct().count() == 1_200 * 10
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 1.0])
