@@ -11,7 +11,7 @@ differently seeded 64-bit hashes. Long texts are thus hashed where they are read
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from colscope.functions import labels
 
 _SECOND_SEED = 7919
+_TABLE = "_colscope_table"
 
 
 @dataclass
@@ -30,7 +31,7 @@ class TableGroup:
 
     ``frame`` holds the data, ``table_id`` tells which table a row belongs to, ``tables``
     describes the tables (table_id, file_name, file_path, file_size_mb), ``fields`` are the data columns in order.
-    ``text`` marks a CSV scan, whose cells are untyped.
+    ``text`` marks a CSV scan, whose cells are untyped. ``halves`` gives the group as two smaller ones, if it can be cut.
     """
 
     frame: DataFrame
@@ -39,6 +40,7 @@ class TableGroup:
     fields: list[T.StructField]
     names: list[str] = field(default_factory=list)
     text: bool = False
+    halves: Callable[[], list[TableGroup]] | None = None
 
     def __post_init__(self) -> None:
         if not self.names:
@@ -100,13 +102,19 @@ def _cells(group: TableGroup) -> DataFrame:
         f"struct({i} AS column_pos, {_fingerprint(_quoted(f.name), f.dataType)})"
         for i, f in enumerate(group.fields)
     )
-    return group.frame.select(group.table_id.alias("table_id"), F.expr(f"inline(array({cells}))"))
+    return _with_table_id(group).select(F.col(_TABLE).alias("table_id"), F.expr(f"inline(array({cells}))"))
+
+
+def _with_table_id(group: TableGroup) -> DataFrame:
+    """The scan with the table id computed once per row, below the explosion into cells."""
+    return group.frame.select(group.table_id.alias(_TABLE), *[F.col(_quoted(f.name)) for f in group.fields])
 
 
 def _text_cells(group: TableGroup) -> DataFrame:
     """(table_id, column_pos, cell) of a CSV scan, missing tokens as null."""
     cells = ", ".join(f"struct({i} AS column_pos, {_quoted(f.name)} AS cell)" for i, f in enumerate(group.fields))
-    return group.frame.select(group.table_id.alias("table_id"), F.expr(f"inline(array({cells}))")).select(
+    exploded = _with_table_id(group).select(F.col(_TABLE).alias("table_id"), F.expr(f"inline(array({cells}))"))
+    return exploded.select(
         "table_id", "column_pos", labels.cell_key(labels.missing_to_null(F.col("cell"))).alias("cell")
     )
 

@@ -7,6 +7,8 @@ and header are then read by one scan.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,8 @@ from colscope.sources.discovery import glob_safe
 SEPARATORS = [",", ";", "\t"]
 CSV_FILES = "*.[cC][sS][vV]"
 ENCODINGS = ["UTF-8", "ISO-8859-1"]
+# Stands for the cells beyond the header's; no header can hold this name.
+SURPLUS = "\x00surplus"
 
 
 def _fields_in(header: Column, separator: str) -> Column:
@@ -25,13 +29,13 @@ def _fields_in(header: Column, separator: str) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
 
 
-def probe(spark: SparkSession, paths: list[str], table_uri: Column) -> DataFrame:
-    """uri, encoding, separator, multi_line, header of each CSV table.
+def probe(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """uri, encoding, separator, multi_line, header of each CSV file.
 
-    ``table_uri`` maps ``_metadata.file_path`` to the table a file belongs to. The separator is the
-    first that gives the header more than one field; a comma if none does.
+    The separator is the first that gives the header more than one field; a comma if none does. A field spans lines
+    only if a quote that opens one has no partner in its line; a quote inside a field opens nothing.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    opening = F.regexp_replace("value", r'(^|[,;\t])\s*"(?:[^"]|"")*"(?=\s*($|[,;\t]))', "$1")
     position = F.struct(
         F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     )
@@ -39,7 +43,12 @@ def probe(spark: SparkSession, paths: list[str], table_uri: Column) -> DataFrame
         spark.read.text(
             [glob_safe(p) for p in paths], recursiveFileLookup=True, pathGlobFilter=CSV_FILES
         )
-        .select("value", table_uri.alias("uri"), position.alias("position"), (quotes % 2).alias("open"))
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("uri"),
+            position.alias("position"),
+            F.regexp_like(opening, F.lit(r'(^|[,;\t])\s*"')).cast("int").alias("open"),
+        )
     )
     separator = F.lit(SEPARATORS[0])
     for candidate in reversed(SEPARATORS):
@@ -88,13 +97,16 @@ def read_csv(
 ) -> tuple[DataFrame, list[str]]:
     """Untyped cells of CSV files that share dialect and header, and the column names.
 
-    Columns are called ``_0``, ``_1`` ...; names that clash or differ by case only are thereby harmless.
+    Columns are called ``_0``, ``_1`` ...; names that clash or differ by case only are thereby harmless. The last one,
+    ``SURPLUS``, is set in rows that hold a cell beyond the header's.
     """
     safe = [glob_safe(p) for p in paths]
     reader = _reader(spark, encoding, separator, multi_line)
     header = reader.option("header", False).csv(safe[0]).head(1)
     names = column_names(list(header[0])) if header else []
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names) + 1)])
+    if not names:
+        return spark.createDataFrame([], T.StructType([])), []
     frame = (
         _reader(spark, encoding, separator, multi_line)
         .schema(schema)
@@ -102,4 +114,16 @@ def read_csv(
         .option("enforceSchema", True)
         .csv(safe)
     )
-    return frame, names
+    last = f"_{len(names)}"
+    return frame.withColumn(last, F.when(F.col(last).isNotNull(), F.lit("surplus"))), [*names, SURPLUS]
+
+
+def united(parts: list[tuple[DataFrame, list[str]]]) -> tuple[DataFrame, list[str]]:
+    """Parts of one table, whose headers may differ, by column name; a column that a part lacks is null there."""
+    names = list(dict.fromkeys(n for _, own in parts for n in own if n != SURPLUS)) + [SURPLUS]
+    frames = []
+    for frame, own in parts:
+        place = {name: i for i, name in enumerate(own)}
+        cells = [F.col(f"_{place[n]}") if n in place else F.lit(None).cast("string") for n in names]
+        frames.append(frame.select(*[c.alias(f"_{i}") for i, c in enumerate(cells)]))
+    return reduce(DataFrame.unionByName, frames), names

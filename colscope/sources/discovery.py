@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,31 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def unlisted(folder: str) -> list[tuple[str, str, str]]:
+    """(file_path, file_name, reason) of the supported files that Spark's listing leaves out: hidden and empty ones.
+
+    Names and sizes only, by the Arrow file systems; of a scheme they do not know nothing can be said.
+    """
+    try:
+        if "://" in folder or folder.startswith("file:"):
+            system, root = fs.FileSystem.from_uri(folder)
+        else:
+            system, root = fs.LocalFileSystem(), folder
+        entries = system.get_file_info(fs.FileSelector(root, recursive=True))
+    except Exception:
+        return []
+    found = []
+    for entry in entries:
+        if entry.type != fs.FileType.File or not re.search(SUPPORTED, entry.base_name):
+            continue
+        steps = entry.path[len(root):].strip("/").split("/")
+        if any(s.startswith(".") or s.startswith("_") and "=" not in s for s in steps):
+            found.append((entry.path, entry.base_name, "hidden from Spark's readers by its name"))
+        elif entry.size == 0:
+            found.append((entry.path, entry.base_name, "No columns to parse from file"))
+    return sorted(found)
+
+
 def tables_of(files: DataFrame, layout: str = TABLE_PER_FILE) -> DataFrame:
     """Group files into tables: each file, or each folder of part files of one format."""
     if layout == TABLE_PER_FILE:

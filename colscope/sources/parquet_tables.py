@@ -15,10 +15,15 @@ PROBED = "uri string, schema_key string, error string"
 BY_SPARK = "by-spark"
 
 
-def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Parquet files of one schema; the schema is taken from the first."""
+def read_parquet(spark: SparkSession, paths: list[str], merge: bool = False) -> DataFrame:
+    """Parquet files of one schema, taken from the first; ``merge`` unites the schemas of a folder's parts.
+
+    A column that some parts lack is null there; parts whose types clash are an error.
+    """
     safe = [glob_safe(p) for p in paths]
     reader = spark.read.option("pathGlobFilter", PARQUET_FILES)
+    if merge:
+        return reader.option("mergeSchema", True).parquet(*safe)
     first = reader.parquet(safe[0])
     return first if len(safe) == 1 else reader.schema(first.schema).parquet(*safe)
 

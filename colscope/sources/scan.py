@@ -46,13 +46,13 @@ def _case_sensitive(spark: SparkSession) -> Iterator[None]:
 
 
 def head_sample(df: DataFrame, rows: int) -> DataFrame:
-    """The first ``rows`` rows of one file, in file order."""
+    """The first ``rows`` rows of one file, in file order; a sort of the top rows only, block by block."""
     return (
-        df.select("*", F.col("_metadata.file_block_start").alias("_block"))
+        df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
         .withColumn("_row", F.monotonically_increasing_id())
-        .orderBy("_block", "_row")
+        .orderBy("_path", "_block", "_row")
         .limit(rows)
-        .drop("_block", "_row")
+        .drop("_path", "_block", "_row")
     )
 
 
@@ -88,16 +88,21 @@ def _groups(
     """Scans over tables known to share schema and dialect."""
     by_file = layout == discovery.TABLE_PER_FILE and sample_rows is None
     size = TABLES_PER_GROUP if by_file else 1
-    for start in range(0, len(tables), size):
-        part = tables[start:start + size]
+
+    def group(part: list[Row]) -> TableGroup:
         frame, names = read([t.file_path for t in part])
         fields = list(frame.schema.fields)
         if sample_rows is not None:
             frame = sample(frame, sample_rows)
-        yield TableGroup(
-            frame, _table_id(by_file, part[0].uri), _described(spark, part), fields, names, text
+        middle = len(part) // 2
+        halves = (lambda: [group(part[:middle]), group(part[middle:])]) if middle else None
+        return TableGroup(
+            frame, _table_id(by_file, part[0].uri), _described(spark, part), fields, names, text, halves
         )
 
+    for start in range(0, len(tables), size):
+        yield group(tables[start:start + size])
+
 
 def _rejections(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "file_path string, file_name string, reason string")
@@ -123,7 +128,7 @@ def _parquet_groups(
             families[table.schema_key].append(table)
 
     def read(paths: list[str]) -> tuple[DataFrame, list[str]]:
-        frame = parquet_tables.read_parquet(spark, paths)
+        frame = parquet_tables.read_parquet(spark, paths, merge=layout != discovery.TABLE_PER_FILE)
         return frame, frame.columns
 
     groups: list[TableGroup] = []
@@ -142,23 +147,46 @@ def _csv_groups(
     paths = [r.file_path for r in tables.select("file_path").collect()]
     if not paths:
         return [], []
-    file_uri = F.col("_metadata.file_path")
-    table_uri = file_uri if layout == discovery.TABLE_PER_FILE else discovery.parent_folder(file_uri)
-    probed = tables.join(csv_tables.probe(spark, paths, table_uri), "uri", "left")
+    by_file = layout == discovery.TABLE_PER_FILE
+    probed = csv_tables.probe(spark, paths).withColumnRenamed("uri", "file_uri")
+    probed = probed.withColumn("uri", F.col("file_uri") if by_file else discovery.parent_folder(F.col("file_uri")))
+    probed = probed.withColumn("part_path", discovery.plain_path(F.col("file_uri")))
     families: dict[tuple, list[Row]] = defaultdict(list)
-    for table in probed.orderBy("file_name", "file_path").collect():
+    folders: dict[str, list[Row]] = defaultdict(list)
+    for table in tables.join(probed, "uri", "left").orderBy("file_name", "file_path", "part_path").collect():
         if table.header is None:
             rejected.append((table.file_path, table.file_name, "No columns to parse from file"))
-        else:
+        elif by_file:
             families[(table.encoding, table.separator, table.multi_line, table.header)].append(table)
+        else:
+            folders[table.uri].append(table)
 
-    groups: list[TableGroup] = []
-    for (encoding, separator, multi_line, _), family in families.items():
-        def read(group_paths: list[str]) -> tuple[DataFrame, list[str]]:
-            return csv_tables.read_csv(spark, group_paths, encoding, separator, multi_line)
+    def dialect(encoding: str, separator: str, multi_line: bool):
+        return lambda paths: csv_tables.read_csv(spark, paths, encoding, separator, multi_line)
 
+    def parts_of(rows: list[Row]):
+        """A folder's parts, those of one dialect and header by one scan, matched by column name."""
+        alike: dict[tuple, list[str]] = defaultdict(list)
+        for r in rows:
+            alike[(r.encoding, r.separator, r.multi_line, r.header)].append(r.part_path)
+
+        def read(_: list[str]) -> tuple[DataFrame, list[str]]:
+            parts = [dialect(*key[:3])(paths) for key, paths in alike.items()]
+            if sample_rows is not None:
+                parts = [(head_sample(frame, sample_rows), names) for frame, names in parts]
+            return parts[0] if len(parts) == 1 else csv_tables.united(parts)
+
+        return read
+
+    def first_rows(frame: DataFrame, rows: int) -> DataFrame:
+        return head_sample(frame, rows) if by_file else frame.limit(rows)
+
+    scans = [(family, dialect(*key[:3])) for key, family in families.items()]
+    scans += [(rows[:1], parts_of(rows)) for rows in folders.values()]
+    groups: list[TableGroup] = []
+    for family, read in scans:
         try:
-            groups.extend(_groups(spark, family, layout, sample_rows, read, head_sample, text=True))
+            groups.extend(_groups(spark, family, layout, sample_rows, read, first_rows, text=True))
         except Exception as error:
             rejected.extend((t.file_path, t.file_name, _reason(error)) for t in family)
     return groups, rejected
@@ -171,10 +199,15 @@ def _reason(error: Exception) -> str:
 def _profile_or_split(
     spark: SparkSession, groups: list[TableGroup], mode: str, exact: bool
 ) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Profile a chunk; if it fails, halve it until the failing scan is alone and reject that one."""
+    """Profile a chunk; if it fails, halve it, then its scans, until the failing table is alone; reject that one."""
     try:
         return [cut_lineage(profile(groups, mode, exact))], []
     except Exception as error:
+        if len(groups) == 1 and groups[0].halves is not None:
+            try:
+                groups = groups[0].halves()
+            except Exception as cause:
+                error = cause
         if len(groups) == 1:
             reason = F.lit(_reason(error))
             return [], [groups[0].tables.select("file_path", "file_name", reason.alias("reason"))]
@@ -198,7 +231,9 @@ def scan_folder(
     all rows. ``layout="folder"`` takes each folder of part files as one table.
     """
     tables = discovery.tables_of(discovery.discover(spark, folder), layout)
-    return scan_tables(spark, tables, layout, max_file_size_mb, sample_rows, labels_mode, exact)
+    result = scan_tables(spark, tables, layout, max_file_size_mb, sample_rows, labels_mode, exact)
+    left_out = _rejections(spark, discovery.unlisted(folder))
+    return ScanResult(result.schema_info, result.rejected.unionByName(left_out))
 
 
 def scan_tables(
@@ -231,9 +266,19 @@ def scan_tables(
             done += rows
             rejected += failed_tables
     empty = spark.createDataFrame([], labels.CATALOG_SCHEMA)
-    return ScanResult(
-        reduce(DataFrame.unionByName, done, empty), reduce(DataFrame.unionByName, rejected)
+    found, surplus = _without_surplus(reduce(DataFrame.unionByName, done, empty))
+    return ScanResult(found, reduce(DataFrame.unionByName, [*rejected, surplus]))
+
+
+def _without_surplus(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalog without the surplus column, and the tables that have cells in it as rejections."""
+    marks = found.filter(F.col("column_name") == csv_tables.SURPLUS)
+    surplus = marks.filter("null_count < total_rows").select(
+        "file_path", "file_name",
+        F.format_string("%d rows hold more cells than the header", F.col("total_rows") - F.col("null_count")).alias("reason"),
     )
+    kept = found.filter(F.col("column_name") != csv_tables.SURPLUS)
+    return kept.join(surplus.select("file_path"), "file_path", "left_anti").select(*found.columns), surplus
 
 
 def scan_file(

@@ -161,3 +161,61 @@ def test_arrivals_update_the_catalog(spark, tmp_path):
     assert arrive("two.csv", "c,d\n1,2\n3,4\n") == {
         ("one.csv", "a", 1), ("one.csv", "b", 1), ("two.csv", "c", 2), ("two.csv", "d", 2)
     }
+
+
+def _write_parquet(path, columns):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table(columns), path, compression="none", use_dictionary=False)
+
+
+def test_a_damaged_file_rejects_only_itself(spark, tmp_path):
+    for name in ("one", "two", "three"):
+        _write_parquet(f"{tmp_path}/{name}.parquet", {"a": list(range(1000)), "b": [f"{name}{i}" for i in range(1000)]})
+    with open(f"{tmp_path}/two.parquet", "r+b") as file:  # the footer stays whole, the pages do not
+        file.seek(4)
+        file.write(b"\xff" * 3000)
+    found = scan_folder(spark, str(tmp_path))
+    assert {r.file_name for r in found.schema_info.collect()} == {"one.parquet", "three.parquet"}
+    assert [r.file_name for r in found.rejected.collect()] == ["two.parquet"]
+
+
+def test_parts_of_a_folder_may_differ(spark, tmp_path):
+    for folder in ("grown", "clash", "swapped", "wide"):
+        (tmp_path / folder).mkdir()
+    _write_parquet(f"{tmp_path}/grown/1.parquet", {"a": [1, 2]})
+    _write_parquet(f"{tmp_path}/grown/2.parquet", {"a": [3], "extra": ["x"]})
+    _write_parquet(f"{tmp_path}/clash/1.parquet", {"a": [1]})
+    _write_parquet(f"{tmp_path}/clash/2.parquet", {"a": ["x"]})
+    (tmp_path / "swapped/1.csv").write_text("id,name\n1,x\n2,y\n")
+    (tmp_path / "swapped/2.csv").write_text("name,id\nz,3\n")
+    (tmp_path / "wide/1.csv").write_text("id,name\n1,x\n")
+    (tmp_path / "wide/2.csv").write_text("id,name,more\n2,y,5\n")
+    found = scan_folder(spark, str(tmp_path), layout="folder")
+    assert {(r.file_name, r.column_name): (r.data_type, r.null_count, r.total_rows) for r in found.schema_info.collect()} == {
+        ("grown", "a"): ("integer", 0, 3), ("grown", "extra"): ("string", 2, 3),
+        ("swapped", "id"): ("integer", 0, 3), ("swapped", "name"): ("string", 0, 3),
+        ("wide", "id"): ("integer", 0, 2), ("wide", "name"): ("string", 0, 2), ("wide", "more"): ("integer", 1, 2),
+    }
+    assert [r.file_name for r in found.rejected.collect()] == ["clash"]
+    sampled = scan_folder(spark, str(tmp_path), layout="folder", sample_rows=1).schema_info
+    assert {r.total_rows for r in sampled.collect()} == {1}
+
+
+def test_nothing_is_lost_silently(spark, tmp_path):
+    (tmp_path / "surplus.csv").write_text("id,name\n1,x,lost\n2,y\n")
+    (tmp_path / "short.csv").write_text("id,name\n1\n2,y\n")
+    (tmp_path / "_hidden.csv").write_text("a,b\n1,2\n")
+    (tmp_path / ".dot.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "inch.csv").write_text('size,n\n12" pipe,1\n"two\nlines",2\n')
+    found = scan_folder(spark, str(tmp_path))
+    assert rows(found.schema_info, "short.csv") == {"id": ("integer", 0, 2, 2), "name": ("string", 1, 1, 2)}
+    assert {r.file_name: r.reason for r in found.rejected.collect()} == {
+        "surplus.csv": "1 rows hold more cells than the header",
+        "_hidden.csv": "hidden from Spark's readers by its name",
+        ".dot.csv": "hidden from Spark's readers by its name",
+        "empty.csv": "No columns to parse from file",
+    }
+    assert rows(found.schema_info, "inch.csv")["n"] == ("integer", 0, 2, 2)
