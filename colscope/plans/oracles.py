@@ -128,7 +128,7 @@ def _concepts(source: str, name: str, threshold: float) -> str:
         + ", "
         + _grams("q", "(SELECT DISTINCT term FROM terms)", "term", _normal("term"))
         + ", sims AS (SELECT tg.k AS name, q.k AS term, round(sum(q.w * tg.w), 6) AS similarity "
-        "FROM q JOIN tg USING (g) GROUP BY ALL), "
+        f"FROM q JOIN tg USING (g) GROUP BY ALL HAVING sum(q.w * tg.w) >= {threshold - 1e-6}), "
         "cn AS (SELECT name, concept, max(similarity) AS similarity FROM sims JOIN terms USING (term) "
         f"WHERE similarity >= {threshold} GROUP BY ALL)"
     )
@@ -145,7 +145,7 @@ def _classes(source: str, name: str, threshold: float, prefix: str = "") -> str:
         + ", "
         + _grams(f"{p}q", "(SELECT DISTINCT term FROM terms)", "term", _normal("term"))
         + f", {p}s AS (SELECT {p}t.k AS name, {p}q.k AS term, round(sum({p}q.w * {p}t.w), 6) AS similarity "
-        f"FROM {p}q JOIN {p}t USING (g) GROUP BY ALL), "
+        f"FROM {p}q JOIN {p}t USING (g) GROUP BY ALL HAVING sum({p}q.w * {p}t.w) >= {max(threshold, 0.1) - 1e-6}), "
         f"{p}b AS (SELECT name, concept, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, concept_order) "
         f"AS r FROM {p}s JOIN terms USING (term) WHERE similarity >= {max(threshold, 0.1)}), "
         f"cl AS (SELECT n AS name, coalesce(concept, 'other') AS concept FROM {p}nm "
@@ -163,12 +163,13 @@ _SIDES = (
     "max(CASE WHEN file_name = file1 THEN data_type END) AS t1, max(CASE WHEN file_name = file2 THEN data_type END) AS t2 "
     "FROM fp JOIN cat ON file_name IN (file1, file2) GROUP BY ALL)"
 )
+_SIMILAR = "WHERE i / (s1.n + s2.n - i) >= 0.1)"
 _JACCARD = (
     "sz AS (SELECT file_name, count(*) AS n FROM cat GROUP BY ALL), "
     "jc AS (SELECT a.file_name AS file1, b.file_name AS file2, count(*) AS i FROM cat a JOIN cat b "
     "USING (column_name) WHERE a.file_name < b.file_name GROUP BY ALL), "
     "jp AS (SELECT file1, file2, i, s1.n + s2.n - i AS u FROM jc JOIN sz s1 ON s1.file_name = file1 "
-    "JOIN sz s2 ON s2.file_name = file2 WHERE i / (s1.n + s2.n - i) >= 0.1)"
+    "JOIN sz s2 ON s2.file_name = file2 " + _SIMILAR
 )
 
 
@@ -223,7 +224,7 @@ _REASON = (
     "WHEN ends_with(la, right(lb, 4)) OR ends_with(lb, right(la, 4)) THEN 'similar_suffix' END"
 )
 _WORDS = (
-    "vocab AS (SELECT DISTINCT doc_id, lang, w FROM (SELECT doc_id, lang, "
+    "vocab AS MATERIALIZED (SELECT DISTINCT doc_id, lang, w FROM (SELECT doc_id, lang, "
     "unnest(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+')) AS w FROM documents) WHERE w <> '')"
 )
 _BLANK_SQL = "||".join(f"chr({ord(c)})" for c in X.BLANK)
@@ -262,10 +263,10 @@ def _search_rows(term: str) -> str:
     )
 
 
-def _schema_scores(threshold: float) -> str:
+def _schema_scores(threshold: float, enrich: bool = False) -> str:
     """CTEs ending in ``sc`` (file1, file2, similarity) and ``bm`` (their best matches)."""
     return (
-        _name_pairs(threshold, enrich=False)
+        _name_pairs(threshold, enrich)
         + ", "
         + _FILE_PAIRS
         + ", cand AS (SELECT file1, file2, name1, name2, similarity, row_number() OVER (PARTITION BY file1, file2, name1 "
@@ -278,41 +279,12 @@ def _schema_scores(threshold: float) -> str:
     )
 
 
-def oracles() -> dict[str, str]:
-    """Query name -> SQL."""
-    given = "WITH " + _catalog(_given_profiles())
-    tenants = "WITH " + _catalog(_tenant_profiles())
-    list_columns = "count(*) AS column_count, max(total_rows) AS total_rows"
-    typed = "SELECT column_name, data_type, count(*) AS file_count FROM cat GROUP BY ALL"
-    mixed = "SELECT column_name FROM cat GROUP BY ALL HAVING count(DISTINCT data_type) > 1"
-    common = "SELECT column_name, count(*) AS file_count FROM cat GROUP BY ALL HAVING count(*) >= 2"
-    common_typed = (
-        " SELECT column_name, count(*) AS file_count, count(DISTINCT data_type) AS type_variations, "
-        "string_agg(DISTINCT data_type, ', ' ORDER BY data_type) AS data_types FROM cat GROUP BY ALL HAVING count(*) > 1"
-    )
-    column_rows = f"SELECT {_COUNTS} FROM cat WHERE "
-    csv_type = (
-        "CASE WHEN data_type = 'datetime' THEN 'string' WHEN data_type = 'integer' AND null_count > 0 THEN 'float' "
-        # text that holds numbers only is numeric in a CSV
-        "WHEN column_name IN ('cust_id', 'nation_id') THEN 'integer' WHEN column_name = 'total_price' THEN 'float' "
-        "ELSE data_type END"
-    )
-    groups = (
-        CAT
-        + ", "
-        + _JACCARD
-        + ", items AS (SELECT row_number() OVER (ORDER BY file_name) AS i, file_name FROM (SELECT DISTINCT file_name FROM cat)), "
-        "ie AS (SELECT a.i, b.i AS j, 1 AS similarity FROM jp JOIN items a ON a.file_name = file1 "
-        "JOIN items b ON b.file_name = file2), "
-        + _walk("items", "ie", later_only=True)
-        + ", att AS (SELECT j, min(i) AS leader FROM led GROUP BY j), "
-        "gm AS (SELECT x.file_name, coalesce(l.file_name, x.file_name) AS leader_file FROM items x "
-        "LEFT JOIN att ON att.j = x.i LEFT JOIN items l ON l.i = att.leader) "
-    )
-    members = (
+def _naming_members(threshold: float, enrich: bool) -> str:
+    """CTEs ending in ``gm`` (lead, member, similarity): groups of like names, leaders included."""
+    return (
         CAT
         + ", "
-        + _name_pairs(0.6, enrich=False)
+        + _name_pairs(threshold, enrich)
         + ", "
         + _ITEMS
         + ", "
@@ -322,10 +294,13 @@ def oracles() -> dict[str, str]:
         + ", gm AS (SELECT i AS lead, j AS member, similarity FROM led "
         "UNION ALL SELECT DISTINCT i, i, NULL FROM led) "
     )
-    differences = (
+
+
+def _semantic_differences(threshold: float, enrich: bool) -> str:
+    return (
         CAT
         + ", "
-        + _name_pairs(0.5, enrich=False)
+        + _name_pairs(threshold, enrich)
         + ", "
         + _SIDES
         + ", o1 AS (SELECT file1, file2, column_name, row_number() OVER (PARTITION BY file1, file2 ORDER BY column_name) AS k "
@@ -354,6 +329,93 @@ def oracles() -> dict[str, str]:
         "coalesce(string_agg(column_name, ', ' ORDER BY column_name) FILTER (WHERE t1 IS NULL AND m2 IS NULL), '') AS missing_in_file1 "
         "FROM x GROUP BY file1, file2"
     )
+
+def _naming_groups(threshold: float, enrich: bool) -> str:
+    return (
+        _naming_members(threshold, enrich)
+        + ", "
+        + _classes("cat", "column_name", 0.6)
+        + f", g AS (SELECT lead, {_name_group_columns('column_name')}, round(avg(similarity), 6) AS avg_similarity, "
+        "min_by(column_name, (length(column_name), -coalesce(similarity, 2), member)) AS shortest "
+        "FROM gm JOIN items ON i = member GROUP BY lead) "
+        f"SELECT file_name, column_name, concept, members, distinct_names, {_STYLE_LIST} AS styles, avg_similarity, {_SUGGESTION} AS suggestion "
+        f"FROM g JOIN items ON i = lead JOIN cl ON name = column_name WHERE {_INCONSISTENT}"
+    )
+
+
+def _abbreviations(threshold: float, enrich: bool) -> str:
+    return (
+        CAT
+        + ", "
+        + _name_pairs(threshold, enrich)
+        + ", "
+        + _ITEMS
+        + ", "
+        + _ITEM_EDGES.replace("WHERE a.i <> b.i", "WHERE abs(length(name1) - length(name2)) >= 3")
+        + ", "
+        + _walk("items", "ie", later_only=False)
+        + ", r AS (SELECT a.column_name AS n1, b.column_name AS n2, a.file_name AS f1, b.file_name AS f2, similarity, "
+        "length(a.column_name) < length(b.column_name) AS s FROM led JOIN items a ON a.i = led.i JOIN items b ON b.i = led.j) "
+        'SELECT CASE WHEN s THEN n1 ELSE n2 END AS "short", CASE WHEN s THEN n2 ELSE n1 END AS "long", similarity, '
+        "CASE WHEN s THEN f1 ELSE f2 END AS short_file, CASE WHEN s THEN f2 ELSE f1 END AS long_file FROM r"
+    )
+
+
+def _concept_evolution(threshold: float) -> str:
+    return (
+        CAT
+        + ", "
+        + _concepts("cat", "column_name", threshold)
+        + ", pf AS (SELECT concept, file_name, string_agg(column_name, ', ' ORDER BY similarity DESC, column_name) AS columns "
+        "FROM cn JOIN cat ON column_name = name GROUP BY ALL) "
+        "SELECT concept, count(*) OVER (PARTITION BY concept) AS file_count, file_name, columns FROM pf "
+        "QUALIFY count(*) OVER (PARTITION BY concept) > 1"
+    )
+
+
+def _concept_types(threshold: float) -> str:
+    return (
+        CAT
+        + ", "
+        + _classes("cat", "column_name", threshold)
+        + ", ty AS (SELECT concept, data_type, count(*) AS n FROM cat JOIN cl ON name = column_name WHERE concept <> 'other' GROUP BY ALL) "
+        "SELECT concept, sum(n)::BIGINT AS columns, string_agg(data_type, ', ' ORDER BY data_type) AS inconsistent_types, "
+        "min_by(data_type, (-n, data_type)) AS suggestion FROM ty GROUP BY concept HAVING count(*) > 1"
+    )
+
+
+
+def oracles() -> dict[str, str]:
+    """Query name -> SQL."""
+    given = "WITH " + _catalog(_given_profiles())
+    tenants = "WITH " + _catalog(_tenant_profiles())
+    list_columns = "count(*) AS column_count, max(total_rows) AS total_rows"
+    typed = "SELECT column_name, data_type, count(*) AS file_count FROM cat GROUP BY ALL"
+    mixed = "SELECT column_name FROM cat GROUP BY ALL HAVING count(DISTINCT data_type) > 1"
+    common = "SELECT column_name, count(*) AS file_count FROM cat GROUP BY ALL HAVING count(*) >= 2"
+    common_typed = (
+        " SELECT column_name, count(*) AS file_count, count(DISTINCT data_type) AS type_variations, "
+        "string_agg(DISTINCT data_type, ', ' ORDER BY data_type) AS data_types FROM cat GROUP BY ALL HAVING count(*) > 1"
+    )
+    column_rows = f"SELECT {_COUNTS} FROM cat WHERE "
+    csv_type = (
+        "CASE WHEN data_type = 'datetime' THEN 'string' WHEN data_type = 'integer' AND null_count > 0 THEN 'float' "
+        # text that holds numbers only is numeric in a CSV
+        "WHEN column_name IN ('cust_id', 'nation_id') THEN 'integer' WHEN column_name = 'total_price' THEN 'float' "
+        "ELSE data_type END"
+    )
+    groups = (
+        CAT
+        + ", "
+        + _JACCARD
+        + ", items AS (SELECT row_number() OVER (ORDER BY file_name) AS i, file_name FROM (SELECT DISTINCT file_name FROM cat)), "
+        "ie AS (SELECT a.i, b.i AS j, 1 AS similarity FROM jp JOIN items a ON a.file_name = file1 "
+        "JOIN items b ON b.file_name = file2), "
+        + _walk("items", "ie", later_only=True)
+        + ", att AS (SELECT j, min(i) AS leader FROM led GROUP BY j), "
+        "gm AS (SELECT x.file_name, coalesce(l.file_name, x.file_name) AS leader_file FROM items x "
+        "LEFT JOIN att ON att.j = x.i LEFT JOIN items l ON l.i = att.leader) "
+    )
     document_sets = (
         "WITH " + _WORDS + ", ds AS (SELECT doc_id, list(w ORDER BY w) AS ws, count(*) AS n FROM vocab GROUP BY doc_id), "
         "cls AS (SELECT min(doc_id) AS rep, count(*) AS copies, any_value(n) AS n, ws FROM ds GROUP BY ws), "
@@ -373,6 +435,16 @@ def oracles() -> dict[str, str]:
         "LEFT JOIN items l ON l.i = att.leader) "
         "SELECT doc_id, leader AS leader_doc_id FROM ds JOIN ld USING (ws)"
     )
+    schema_groups = (
+        groups
+        + ", gs AS (SELECT leader_file, count(*) AS file_count FROM gm GROUP BY ALL HAVING count(*) > 1), "
+        "gc AS (SELECT leader_file, column_name, count(*) AS c FROM gm JOIN cat USING (file_name) GROUP BY ALL), "
+        "gw AS (SELECT leader_file, max(n) AS widest FROM gm JOIN sz USING (file_name) GROUP BY ALL) "
+        "SELECT leader_file, file_count, coalesce(string_agg(column_name, ', ' ORDER BY column_name) FILTER (WHERE c = file_count), '') AS common_columns, "
+        "count(*) FILTER (WHERE c = file_count) AS common_column_count, "
+        "round(count(*) FILTER (WHERE c = file_count) / widest, 2) AS similarity_score "
+        "FROM gs JOIN gc USING (leader_file) JOIN gw USING (leader_file) GROUP BY leader_file, file_count, widest"
+    )
     return {
         "profile_catalog": given + f" SELECT {_COUNTS} FROM cat",
         "profile_nulls": tenants + f" SELECT {_COUNTS} FROM cat",
@@ -380,21 +452,32 @@ def oracles() -> dict[str, str]:
         + " SELECT file_name, column_name, CASE WHEN data_type = 'array' THEN 'unknown' ELSE data_type END AS data_type, "
         "CASE WHEN data_type = 'array' THEN 0 ELSE null_count END AS null_count, "
         "CASE WHEN data_type = 'array' THEN 0 ELSE unique_count END AS unique_count, total_rows FROM cat",
-        "discover_files": "SELECT * FROM (VALUES "
-        + ", ".join(f"('{t}.parquet', 'parquet')" for t in GIVEN)
-        + ") v(file_name, format)",
+        "profile_approximate": given + f" SELECT {_COUNTS}, true AS close FROM cat",
+        "discover_files": " UNION ALL ".join(
+            f"SELECT '{t}.parquet' AS file_name, 'parquet' AS format, count(*) AS total_rows FROM {t}" for t in GIVEN
+        ),
         "scan_parquet": given + f" SELECT {_COUNTS} FROM cat",
         "scan_csv": tenants
         + f" SELECT replace(file_name, '.parquet', '.csv') AS file_name, column_name, {csv_type} AS data_type, "
         "null_count, unique_count, total_rows FROM cat",
         "scan_sampled": given
         + " SELECT file_name, least(max(total_rows), 1000) AS sampled_rows, count(*) AS column_count FROM cat GROUP BY ALL",
-        "scan_rejected": "SELECT * FROM (VALUES "
-        + ", ".join(f"('{t}.parquet', 'File too large')" for t in GIVEN)
-        + ") v(file_name, reason)",
+        "scan_rejected": " UNION ALL ".join(
+            f"SELECT '{t}.parquet' AS file_name, 'File too large' AS reason, count(*) AS unread_rows FROM {t}" for t in GIVEN
+        ),
+        "scan_parts": """
+SELECT 'customers' AS file_name, 'c_custkey' AS column_name, 'integer' AS data_type, count(*) AS total_rows, 0 AS null_count, NULL AS reason FROM customer
+UNION ALL SELECT 'customers', 'c_name', 'string', count(*), 0, NULL FROM customer
+UNION ALL SELECT 'orders', 'o_orderkey', 'integer', count(*), 0, NULL FROM orders
+UNION ALL SELECT 'orders', 'o_totalprice', 'float', count(*), count(*) FILTER (WHERE o_orderkey % 2 = 0), NULL FROM orders
+UNION ALL SELECT 'orders', 'p', 'integer', count(*), 0, NULL FROM orders
+UNION ALL SELECT 'parts', NULL, NULL, NULL, NULL, 'clash of types'
+UNION ALL SELECT 'suppliers', NULL, NULL, NULL, NULL, count(*) || ' rows hold more cells than the header' FROM supplier
+""",
         "catalog_round_trip": CAT
         + f" SELECT file_name, {list_columns} FROM cat WHERE file_name <> 'region.parquet' "
         "AND NOT (file_name = 'orders.parquet' AND column_name = 'o_orderstatus') GROUP BY ALL",
+        "exported_rows": _LINES + "SELECT doc_id, n AS lines FROM c WHERE n > 20",
         "exported_documents": "SELECT 1 AS total_exports, 1 AS day_folders",
         "list_files": CAT + f" SELECT file_name, {list_columns} FROM cat GROUP BY ALL",
         "file_schema": CAT
@@ -439,14 +522,9 @@ def oracles() -> dict[str, str]:
         + _JACCARD
         + ' SELECT file1, file2, 1 AS copies1, 1 AS copies2, i AS intersection, u AS "union", i / u AS jaccard FROM jp',
         "schema_group_files": groups + "SELECT file_name, leader_file FROM gm",
-        "schema_groups": groups
-        + ", gs AS (SELECT leader_file, count(*) AS file_count FROM gm GROUP BY ALL HAVING count(*) > 1), "
-        "gc AS (SELECT leader_file, column_name, count(*) AS c FROM gm JOIN cat USING (file_name) GROUP BY ALL), "
-        "gw AS (SELECT leader_file, max(n) AS widest FROM gm JOIN sz USING (file_name) GROUP BY ALL) "
-        "SELECT leader_file, file_count, coalesce(string_agg(column_name, ', ' ORDER BY column_name) FILTER (WHERE c = file_count), '') AS common_columns, "
-        "count(*) FILTER (WHERE c = file_count) AS common_column_count, "
-        "round(count(*) FILTER (WHERE c = file_count) / widest, 2) AS similarity_score "
-        "FROM gs JOIN gc USING (leader_file) JOIN gw USING (leader_file) GROUP BY leader_file, file_count, widest",
+        "schema_groups": schema_groups,
+        "tool_similar_schemas": schema_groups.replace(_SIMILAR, _SIMILAR.replace("0.1", "0.3")),
+        "run_similar_schemas": schema_groups.replace(_SIMILAR, _SIMILAR.replace("0.1", "0.3")),
         "schema_differences": CAT
         + ", "
         + _SIDES
@@ -494,24 +572,30 @@ def oracles() -> dict[str, str]:
         + ", "
         + _classes("cat", "column_name", 0.5)
         + " SELECT name AS column_name, concept FROM cl",
-        "concept_evolution": CAT
-        + ", "
-        + _concepts("cat", "column_name", 0.5)
-        + ", pf AS (SELECT concept, file_name, string_agg(column_name, ', ' ORDER BY similarity DESC, column_name) AS columns "
-        "FROM cn JOIN cat ON column_name = name GROUP BY ALL) "
-        "SELECT concept, count(*) OVER (PARTITION BY concept) AS file_count, file_name, columns FROM pf "
-        "QUALIFY count(*) OVER (PARTITION BY concept) > 1",
-        "concept_types": CAT
-        + ", "
-        + _classes("cat", "column_name", 0.5)
-        + ", ty AS (SELECT concept, data_type, count(*) AS n FROM cat JOIN cl ON name = column_name WHERE concept <> 'other' GROUP BY ALL) "
-        "SELECT concept, sum(n)::BIGINT AS columns, string_agg(data_type, ', ' ORDER BY data_type) AS inconsistent_types, "
-        "min_by(data_type, (-n, data_type)) AS suggestion FROM ty GROUP BY concept HAVING count(*) > 1",
+        "concept_evolution": _concept_evolution(0.5),
+        "concept_types": _concept_types(0.5),
         "concept_type_columns": CAT
         + ", "
         + _classes("cat", "column_name", 0.5)
         + ", j AS (SELECT concept, file_name, column_name, data_type FROM cat JOIN cl ON name = column_name WHERE concept <> 'other') "
         "SELECT * FROM j SEMI JOIN (SELECT concept FROM j GROUP BY ALL HAVING count(DISTINCT data_type) > 1) USING (concept)",
+        "tool_common_columns": CAT + common_typed,
+        "run_type_mismatches": CAT
+        + f", t AS (SELECT * FROM ({typed}) SEMI JOIN ({mixed}) USING (column_name)) SELECT column_name, "
+        "(sum(file_count) OVER (PARTITION BY column_name))::BIGINT AS total_files, data_type, file_count FROM t",
+        "tool_concept_groups": CAT
+        + ", "
+        + _concepts("cat", "column_name", 0.7)
+        + " SELECT concept, file_name, column_name, similarity FROM cn JOIN cat ON column_name = name",
+        "tool_concept_evolution": _concept_evolution(0.7),
+        "tool_concept_types": _concept_types(0.6),
+        "tool_semantic_pairs": CAT
+        + ", "
+        + _schema_scores(0.6, enrich=True)
+        + "SELECT file1, file2, 1 AS copies1, 1 AS copies2, similarity FROM sc",
+        "tool_semantic_differences": _semantic_differences(0.6, enrich=True),
+        "tool_semantic_naming": _naming_groups(0.8, enrich=True),
+        "tool_abbreviations": _abbreviations(0.8, enrich=True),
         "semantic_schema_pairs": CAT
         + ", "
         + _schema_scores(0.5)
@@ -523,31 +607,12 @@ def oracles() -> dict[str, str]:
         + _classes("cat", "column_name", 0.6)
         + " SELECT file1, file2, name1 AS column1, name2 AS column2, bm.similarity, concept FROM bm "
         "SEMI JOIN sc USING (file1, file2) JOIN cl ON name = name1",
-        "naming_members": members
+        "naming_members": _naming_members(0.6, enrich=False)
         + "SELECT l.file_name AS leader_file, l.column_name AS leader_column, x.file_name, x.column_name, similarity "
         "FROM gm JOIN items l ON l.i = lead JOIN items x ON x.i = member",
-        "naming_inconsistencies": members
-        + ", "
-        + _classes("cat", "column_name", 0.6)
-        + f", g AS (SELECT lead, {_name_group_columns('column_name')}, round(avg(similarity), 6) AS avg_similarity, "
-        "min_by(column_name, (length(column_name), -coalesce(similarity, 2), member)) AS shortest "
-        "FROM gm JOIN items ON i = member GROUP BY lead) "
-        f"SELECT file_name, column_name, concept, members, distinct_names, {_STYLE_LIST} AS styles, avg_similarity, {_SUGGESTION} AS suggestion "
-        f"FROM g JOIN items ON i = lead JOIN cl ON name = column_name WHERE {_INCONSISTENT}",
-        "abbreviations": CAT
-        + ", "
-        + _name_pairs(0.5, enrich=False)
-        + ", "
-        + _ITEMS
-        + ", "
-        + _ITEM_EDGES.replace("WHERE a.i <> b.i", "WHERE abs(length(name1) - length(name2)) >= 3")
-        + ", "
-        + _walk("items", "ie", later_only=False)
-        + ", r AS (SELECT a.column_name AS n1, b.column_name AS n2, a.file_name AS f1, b.file_name AS f2, similarity, "
-        "length(a.column_name) < length(b.column_name) AS s FROM led JOIN items a ON a.i = led.i JOIN items b ON b.i = led.j) "
-        'SELECT CASE WHEN s THEN n1 ELSE n2 END AS "short", CASE WHEN s THEN n2 ELSE n1 END AS "long", similarity, '
-        "CASE WHEN s THEN f1 ELSE f2 END AS short_file, CASE WHEN s THEN f2 ELSE f1 END AS long_file FROM r",
-        "semantic_differences": differences,
+        "naming_inconsistencies": _naming_groups(0.6, enrich=False),
+        "abbreviations": _abbreviations(0.5, enrich=False),
+        "semantic_differences": _semantic_differences(0.5, enrich=False),
         "common_words": "WITH "
         + _WORDS
         + " SELECT w AS word, count(*) AS file_count, count(DISTINCT lang) AS type_variations, "

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,8 +114,15 @@ def profile_reference_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profile_approximate(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact counts, and whether the estimate of one pass is close: within 15 % or three values."""
     given = {f"{name}.parquet": given_table(spark, folder, name) for name in TABLES}
-    return profile_tables(spark, given, exact=False).select(*COUNTS)
+    estimated = profile_tables(spark, given, exact=False).select(
+        "file_name", "column_name", F.col("unique_count").alias("estimate")
+    )
+    apart = F.abs(F.col("estimate") - F.col("unique_count"))
+    close = apart <= F.greatest(F.col("unique_count") * 0.15, F.lit(3))
+    exact = profile_tables(spark, given).select(*COUNTS)
+    return exact.join(estimated, ["file_name", "column_name"]).select(*COUNTS, close.alias("close"))
 
 
 def scan_parquet(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,15 +148,58 @@ def scan_csv(spark: SparkSession, folder: str) -> DataFrame:
     return found.schema_info.select(*COUNTS)
 
 
+def row_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """file_name, total_rows of the given tables."""
+    counts = [
+        given_table(spark, folder, name).agg(F.lit(f"{name}.parquet").alias("file_name"), F.count(F.lit(1)).alias("total_rows"))
+        for name in TABLES
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def scan_rejected(spark: SparkSession, folder: str) -> DataFrame:
-    """Which tables a limit of zero bytes turns away: all of them, with the reason."""
+    """Which tables a limit of zero bytes turns away: all of them, with the reason and the rows left unread."""
     tables = discovery.tables_of(discovery.discover(spark, folder))
     _, rejected = discovery.size_gate(tables, 0.0)
-    return rejected.select("file_name", F.regexp_extract("reason", "^[A-Za-z ]+", 0).alias("reason"))
+    return rejected.join(row_counts(spark, folder), "file_name").select(
+        "file_name", F.regexp_extract("reason", "^[A-Za-z ]+", 0).alias("reason"), F.col("total_rows").alias("unread_rows")
+    )
 
 
 def discover_files(spark: SparkSession, folder: str) -> DataFrame:
-    return discovery.discover(spark, folder).select("file_name", "format")
+    """The files found, and the rows behind them."""
+    return discovery.discover(spark, folder).select("file_name", "format").join(row_counts(spark, folder), "file_name")
+
+
+def scan_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Folders of parts that differ, derived from the given tables: what is profiled and what is turned away, and why.
+
+    customers: CSV parts with swapped headers. orders: Parquet parts of which one lacks a column. parts: types that clash.
+    suppliers: rows with a cell more than the header.
+    """
+    root = work_folder(spark, folder, "parts")
+
+    def part(rows: DataFrame, path: str, file_format: str, **options: str) -> None:
+        rows.write.mode("overwrite").options(**options).format(file_format).save(f"{root}/{path}")
+
+    customer, orders = given_table(spark, folder, "customer"), given_table(spark, folder, "orders")
+    even = F.col("c_custkey") % 2 == 0
+    part(customer.filter(even).select("c_custkey", "c_name"), "customers/p=1", "csv", header="true")
+    part(customer.filter(~even).select("c_name", "c_custkey"), "customers/p=2", "csv", header="true")
+    part(orders.filter("o_orderkey % 2 = 0").select("o_orderkey"), "orders/p=1", "parquet")
+    part(orders.filter("o_orderkey % 2 <> 0").select("o_orderkey", "o_totalprice"), "orders/p=2", "parquet")
+    parts = given_table(spark, folder, "part")
+    part(parts.select("p_partkey"), "parts/p=1", "parquet")
+    part(parts.select(F.col("p_name").alias("p_partkey")), "parts/p=2", "parquet")
+    supplier = given_table(spark, folder, "supplier").select(
+        F.concat_ws(",", F.col("s_suppkey"), F.lit("a"), F.lit("lost")).alias("s_suppkey,s_letter")
+    )
+    part(supplier, "suppliers/p=1", "csv", header="true", sep="\t", quote="\u0000")
+    found = scan.scan_folder(spark, root, layout=discovery.TABLE_PER_FOLDER)
+    reason = F.when(F.col("reason").contains("rows hold"), F.col("reason")).otherwise(F.lit("clash of types"))
+    return found.schema_info.select("file_name", "column_name", "data_type", "total_rows", "null_count").unionByName(
+        found.rejected.groupBy("file_name").agg(F.min(reason).alias("reason")), allowMissingColumns=True
+    )
 
 
 def catalog_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,6 +221,14 @@ def exported_documents(spark: SparkSession, folder: str) -> DataFrame:
     return exports.export_stats(spark, root)
 
 
+def exported_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the export, read back."""
+    root = work_folder(spark, folder, "exports") + f"/{uuid.uuid4().hex}"
+    lines = text.content_lines(F.col("text")).cast("bigint").alias("lines")
+    long = given_table(spark, folder, "documents").filter(text.exceeds(F.col("text"))).select("doc_id", lines)
+    return spark.read.parquet(exports.export_result(long, "Documents with many lines", root))
+
+
 def enhance_names(rows: DataFrame) -> DataFrame:
     return rows.select("column_name").distinct().select(
         "column_name", names.enrich(F.col("column_name")).alias("enhanced")
@@ -330,7 +389,9 @@ QUERIES: dict[str, Query] = {
     "scan_sampled": scan_sampled,
     "scan_rejected": scan_rejected,
     "catalog_round_trip": catalog_round_trip,
+    "scan_parts": scan_parts,
     "exported_documents": exported_documents,
+    "exported_rows": exported_rows,
     # catalog queries
     "list_files": on_catalog(catalog.list_files),
     "file_schema": on_catalog(lambda c: catalog.file_schema(c, "ordersAsia.parquet")),
@@ -382,6 +443,18 @@ QUERIES: dict[str, Query] = {
     "naming_members": on_catalog(naming_members),
     "abbreviations": on_catalog(lambda c: semantic.abbreviations(c, ALIKE, similarity.NONE)),
     "semantic_differences": on_catalog(lambda c: semantic.semantic_differences(c, ALIKE, similarity.NONE)),
+    # every branch of the tools, at its default
+    "tool_common_columns": on_catalog(tools.find_relationships),
+    "tool_similar_schemas": on_catalog(lambda c: tools.find_relationships(c, "similar_schemas")),
+    "tool_semantic_pairs": on_catalog(lambda c: tools.find_relationships(c, "similar_schemas", semantic=True)),
+    "tool_semantic_differences": on_catalog(lambda c: tools.find_relationships(c, "schema_differences", semantic=True)),
+    "tool_concept_groups": on_catalog(lambda c: tools.find_relationships(c, "semantic_groups")),
+    "tool_concept_evolution": on_catalog(lambda c: tools.find_relationships(c, "concept_evolution")),
+    "tool_semantic_naming": on_catalog(lambda c: tools.detect_inconsistencies(c, "semantic_naming")),
+    "tool_concept_types": on_catalog(lambda c: tools.detect_inconsistencies(c, "concept_consistency")),
+    "tool_abbreviations": on_catalog(lambda c: tools.detect_inconsistencies(c, "abbreviation_detection")),
+    "run_similar_schemas": on_catalog(lambda c: tools.run_analysis(c, "similar schemas")),
+    "run_type_mismatches": on_catalog(lambda c: tools.run_analysis(c, "type mismatch")),
     # the same operators at the volume of the data
     "common_words": common_words,
     "words_of_languages": words_of_languages,

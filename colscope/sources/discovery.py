@@ -63,7 +63,9 @@ def unlisted(folder: str) -> list[tuple[str, str, str]]:
     Names and sizes only, by the Arrow file systems; of a scheme they do not know nothing can be said.
     """
     try:
-        if "://" in folder or folder.startswith("file:"):
+        if folder.startswith("file:"):
+            system, root = fs.LocalFileSystem(), "/" + folder[len("file:"):].lstrip("/")
+        elif "://" in folder:
             system, root = fs.FileSystem.from_uri(folder)
         else:
             system, root = fs.LocalFileSystem(), folder
