@@ -1,9 +1,10 @@
 """Connected groups of a verified similarity, from pigeonhole signatures, without all pairs of a bucket.
 
-``signatures`` hold (key, id): ids that are similar share a key. In every bucket each member first meets only the
-bucket's hub, its smallest id. That connects groups of near copies with as many pairs as members. Only buckets
-whose members are still in different groups are then joined with themselves, for pairs of different groups that
-pass a cheap lower bound of the distance; no link is lost, as pairs within a group need no more links.
+``signatures`` hold (key, id): ids that are similar share a key. The hub of a bucket is its smallest id. First
+each id is compared with one hub, the one it shares most keys with: that connects groups of near copies with one
+comparison per member. Then the hubs it is not yet connected with follow. Only buckets whose members are still in
+different groups are joined with themselves, for pairs of different groups that pass a cheap lower bound of
+the distance; no link is lost, as pairs within a group need no more links.
 """
 
 from __future__ import annotations
@@ -16,6 +17,15 @@ from pyspark.sql import functions as F
 from colscope.llm.common import companions, components, stored
 
 
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups."""
+    for end in ("a", "b"):
+        group = groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))
+        pairs = pairs.join(group, end, "left")
+    known = F.coalesce("a_group", "a") == F.coalesce("b_group", "b")
+    return pairs.filter(~known).select("a", "b")
+
+
 def connected(
     signatures: DataFrame,
     sketches: DataFrame,
@@ -36,9 +46,16 @@ def connected(
     def condition() -> Column:
         return possible(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
 
-    stars = shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(side("b"), "b").join(side("a"), "a").filter(condition()).select("a", "b")
-    links = stored(verify(stored(stars)))
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(side("b"), "b").join(side("a"), "a").filter(condition()).select("a", "b")
+        return stored(verify(stored(near)))
+
+    hubs = stored(shared.filter("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n")))
+    closest = F.max_by("hub", F.struct("n", -F.col("hub")))
+    links = linked(hubs.groupBy(F.col("id").alias("b")).agg(closest.alias("a")))
+    groups = stored(components(links))
+    far = _apart(hubs.select(F.col("hub").alias("a"), F.col("id").alias("b")), groups)
+    links = stored(links.unionByName(linked(far)))
     groups = stored(components(links))
     # buckets that still hold several groups
     placed = shared.select("key", "id").join(groups, "id", "left")
