@@ -2,23 +2,24 @@
 
 Equal sets are collapsed first, so any number of copies is one item. Elements are ordered from rare to frequent;
 two sets that reach the threshold must share an element among their first ``size - ceil(t*size) + 1``, so only
-those are joined. What the prefixes share bounds what the sets can share; the candidates that are left are verified on
+those are joined, and only sets whose sizes allow the threshold: bands of sizes are part of the join key. What the prefixes share bounds what the sets can share; the candidates that are left are verified on
 the whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.operators.joins import posting_pairs
 from colscope.session import cut_lineage, skew_join
 
-# Elements whose frequency is looked up; the others count as rare. Any number is right, this one is bounded.
-FREQUENT_ELEMENTS = 10_000
 _SLACK = 1e-9
+# Bands are this much wider than the threshold asks for, so that rounding cannot part similar sizes by two bands.
+_BAND_SLACK = 1e-6
 
 
 @dataclass
@@ -56,15 +57,10 @@ def distinct_sets(sets: DataFrame, id_column: str, elements: str) -> DistinctSet
 
 def _rare_first(sets: DataFrame) -> DataFrame:
     """The codes of each set ordered by (frequency, code)."""
-    occurrences = sets.select("set_key", "rep", "size", F.explode("codes").alias("code"))
-    frequent = (
-        occurrences.groupBy("code")
-        .agg(F.count(F.lit(1)).alias("frequency"))
-        .orderBy(F.desc("frequency"), "code")
-        .limit(FREQUENT_ELEMENTS)
-    )
-    ranked = occurrences.join(F.broadcast(frequent), "code", "left")
-    rank = F.struct(F.coalesce("frequency", F.lit(0)).alias("frequency"), F.col("code"))
+    occurrences = cut_lineage(sets.select("set_key", "rep", "size", F.explode("codes").alias("code")))
+    frequencies = cut_lineage(occurrences.groupBy("code").agg(F.count(F.lit(1)).alias("frequency")))
+    ranked = skew_join(occurrences, frequencies, "code")
+    rank = F.struct("frequency", "code")
     return ranked.groupBy("set_key", "rep", "size").agg(F.array_sort(F.collect_list(rank)).alias("ranked"))
 
 
@@ -86,10 +82,10 @@ def _prefix_postings(sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _side(postings: DataFrame, number: int) -> DataFrame:
-    return postings.select(
-        "code", *[F.col(c).alias(f"{c}{number}") for c in ("rep", "size", "prefix", "last", "position")]
-    )
+def _side(postings: DataFrame, number: int, bands: Column) -> DataFrame:
+    """One side of the join; ``bands`` are those in which a posting meets the other side."""
+    kept = [F.col(c).alias(f"{c}{number}") for c in ("rep", "size", "prefix", "last", "position", "band")]
+    return postings.withColumn("meets", F.explode(bands)).select(F.struct("code", "meets").alias("key"), *kept)
 
 
 def similar_pairs(distinct: DistinctSets, threshold: float) -> DataFrame:
@@ -98,12 +94,15 @@ def similar_pairs(distinct: DistinctSets, threshold: float) -> DataFrame:
         raise ValueError("threshold must lie in (0, 1]")
     sets = distinct.sets
     needed = (F.col("size1") + F.col("size2")) * (threshold / (1 + threshold)) - _SLACK
-    postings = cut_lineage(_prefix_postings(sets, threshold))
-    left, right = (_side(postings, n) for n in (1, 2))
+    band = F.floor(F.log(F.col("size")) / (math.log(1 / threshold) + _BAND_SLACK)).cast("int")
+    postings = cut_lineage(_prefix_postings(sets, threshold).withColumn("band", band))
+    # a pair meets in the band of its larger set, where the smaller one's band is the same or the one below
+    left = _side(postings, 1, F.array("band"))
+    right = _side(postings, 2, F.array("band", F.col("band") + 1))
     # A match at (position1, position2) leaves room for at most this many shared elements in all.
     room1, room2 = (F.col(f"size{n}") - F.col(f"position{n}") - 1 for n in (1, 2))
     possible = (
-        (F.col("rep1") < F.col("rep2"))
+        ((F.col("band1") > F.col("band2")) | (F.col("rep1") < F.col("rep2")))
         & (F.least("size1", "size2") >= F.greatest("size1", "size2") * threshold - _SLACK)
         & (F.least("position1", "position2") + 1 + F.least(room1, room2) >= needed)
     )
@@ -114,13 +113,13 @@ def similar_pairs(distinct: DistinctSets, threshold: float) -> DataFrame:
         F.col("last1") <= F.col("last2"), F.least(rest1, F.col("size2") - F.col("at2") - 1)
     ).otherwise(F.least(rest2, F.col("size1") - F.col("at1") - 1))
     candidates = (
-        posting_pairs(left, right, "code", possible)
+        posting_pairs(left, right, "key", possible)
         .groupBy("rep1", "rep2", "size1", "size2", "prefix1", "prefix2", "last1", "last2")
         .agg(
             F.count(F.lit(1)).alias("matches"), F.max("position1").alias("at1"), F.max("position2").alias("at2")
         )
         .filter(F.col("matches") + behind >= needed)
-        .select("rep1", "rep2")
+        .select(F.least("rep1", "rep2").alias("rep1"), F.greatest("rep1", "rep2").alias("rep2"))
     )
     one = sets.select(
         F.col("rep").alias("rep1"), F.col("codes").alias("codes1"), F.col("copies").alias("copies1")
