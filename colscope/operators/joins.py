@@ -56,20 +56,3 @@ def posting_pairs(left: DataFrame, right: DataFrame, key: str, condition: Column
     placed_right = blocks(right, "right_blocks", "left_blocks", False)
     return placed_left.join(placed_right, [key, "_cell"]).filter(condition).drop("_cell")
 
-
-def pairs_of(items: DataFrame, left: dict[str, str], right: dict[str, str], condition: Column) -> DataFrame:
-    """Pairs of items that satisfy ``condition``, spread over a grid of blocks.
-
-    For results that state something about every pair of a relation (schema differences). ``left``
-    and ``right`` map the item columns to their names on either side.
-    """
-    blocks = max(1, -(-items.count() // BLOCK_POSTINGS))
-    block = F.pmod(F.xxhash64(*items.columns), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    def side(names: dict[str, str], row: str, column: str) -> DataFrame:
-        return items.select(
-            *[F.col(old).alias(new) for old, new in names.items()], block.alias(row), every.alias(column)
-        )
-
-    return side(left, "_r", "_c").join(side(right, "_c", "_r"), ["_r", "_c"]).filter(condition).drop("_r", "_c")

@@ -170,7 +170,9 @@ def mismatch_list(mismatches: Column) -> Column:
 
 
 def schema_differences(catalog: DataFrame) -> DataFrame:
-    """Differences of every pair of distinct schemas, named by their first files.
+    """Differences of the pairs of distinct schemas that share a column name, named by their first files.
+
+    Nothing is said of schemas with nothing in common: their number grows with the square of the schemas'.
 
     ``copies`` tell how many files a side stands for; ``shape_members`` lists them. Columns whose type
     differs do not count as matching.

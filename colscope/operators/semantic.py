@@ -456,16 +456,16 @@ def _match_one_to_one(edges: str) -> Column:
 def semantic_differences(
     catalog: DataFrame, threshold: float = DIFFERENCE_THRESHOLD, enrich: str = similarity.TARGET
 ) -> DataFrame:
-    """Differences of every pair of distinct schemas, with unmatched columns paired by meaning.
+    """Differences of the pairs of distinct schemas that share a column or a meaning, with unmatched columns paired.
 
-    The pairing starts from the first file, so schemas whose files occur in both orders have a row for each.
+    Nothing is said of schemas with nothing in common. The pairing starts from the first file, so schemas whose files occur in both orders have a row for each.
 
     In name order, each column only in the first file takes the most similar free column only in the second.
     What remains on either side may be missing on the other. Columns of differing type count as matching here.
     """
     found = shapes_of(catalog)
-    pairs = cut_lineage(differences_of(ordered_shape_pairs(found.shapes)))
     similar = cut_lineage(similarity.name_pairs(catalog, "column_name", threshold, enrich))
+    pairs = cut_lineage(differences_of(ordered_shape_pairs(found.shapes, similar)))
     edges = (
         pairs.select("rep1", "rep2", names_of("only2").alias("names2"), F.explode(names_of("only1")).alias("name1"))
         .join(similar, "name1")
@@ -488,6 +488,7 @@ def semantic_differences(
         ),
         ", ",
     )
+    with_equivalents = with_equivalents.filter((F.size("common") > 0) | (F.size("equivalents") > 0))
     return with_equivalents.select(
         F.col("rep1.file_name").alias("file1"),
         F.col("rep1.file_path").alias("path1"),

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colscope.operators.joins import pairs_of
+from colscope.operators.joins import posting_pairs
 from colscope.session import cut_lineage, skew_join
 
 
@@ -54,18 +54,34 @@ def shapes_of(catalog: DataFrame, with_types: bool = True) -> Shapes:
     return Shapes(classes, files.select("file", "key"))
 
 
-def shape_pairs(shapes: DataFrame) -> DataFrame:
-    """Every pair of shapes in file order, with their columns."""
-    one = {"rep": "rep1", "columns": "columns1", "copies": "copies1"}
-    two = {"rep": "rep2", "columns": "columns2", "copies": "copies2"}
-    return pairs_of(shapes, one, two, F.col("rep1") < F.col("rep2"))
+def _names(shapes: DataFrame, rep: str, name: str, *more: str) -> DataFrame:
+    return shapes.select(F.col("rep").alias(rep), *more, F.explode(F.transform("columns", lambda c: c["name"])).alias(name))
+
 
+def _with_columns(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    one = shapes.select(F.col("rep").alias("rep1"), F.col("columns").alias("columns1"), F.col("copies").alias("copies1"))
+    two = shapes.select(
+        F.col("rep").alias("rep2"), F.col("last").alias("last2"), F.col("columns").alias("columns2"), F.col("copies").alias("copies2")
+    )
+    return pairs.join(one, "rep1").join(two, "rep2")
 
-def ordered_shape_pairs(shapes: DataFrame) -> DataFrame:
-    """Every ordered pair of different shapes of which some file of the first precedes some file of the second."""
-    one = {"rep": "rep1", "columns": "columns1", "copies": "copies1"}
-    two = {"rep": "rep2", "last": "last2", "columns": "columns2", "copies": "copies2"}
-    return pairs_of(shapes, one, two, in_file_order() & (F.col("rep1") != F.col("rep2")))
+
+def shape_pairs(shapes: DataFrame) -> DataFrame:
+    """Every pair of shapes in file order that share a column name, with their columns."""
+    left, right = _names(shapes, "rep1", "name"), _names(shapes, "rep2", "name")
+    pairs = posting_pairs(left, right, "name", F.col("rep1") < F.col("rep2"))
+    return _with_columns(cut_lineage(pairs.select("rep1", "rep2").distinct()), shapes)
+
+
+def ordered_shape_pairs(shapes: DataFrame, similar: DataFrame) -> DataFrame:
+    """Every ordered pair of different shapes that share a column name or hold ``similar`` ones (name1, name2), and of
+    which some file of the first precedes some file of the second."""
+    left = _names(shapes, "rep1", "name1")
+    wanted = skew_join(cut_lineage(left), similar.groupBy("name1").agg(F.collect_set("name2").alias("names")), "name1", "left")
+    wanted = wanted.select("rep1", F.explode(F.array_union(F.array("name1"), F.coalesce("names", F.array().cast("array<string>")))).alias("name"))
+    right = _names(shapes.withColumn("last2", F.col("last")), "rep2", "name", "last2")
+    pairs = posting_pairs(cut_lineage(wanted.distinct()), right, "name", in_file_order() & (F.col("rep1") != F.col("rep2")))
+    return _with_columns(cut_lineage(pairs.select("rep1", "rep2").distinct()), shapes)
 
 
 def in_file_order() -> Column:

@@ -327,7 +327,7 @@ def _semantic_differences(threshold: float, enrich: bool) -> str:
         "coalesce(string_agg(column_name || ' <-> ' || m1 || ' ' || printf('%.3f', s), ', ' ORDER BY column_name) FILTER (WHERE m1 IS NOT NULL), '') AS semantic_equivalents, "
         "coalesce(string_agg(column_name, ', ' ORDER BY column_name) FILTER (WHERE t2 IS NULL AND m1 IS NULL), '') AS missing_in_file2, "
         "coalesce(string_agg(column_name, ', ' ORDER BY column_name) FILTER (WHERE t1 IS NULL AND m2 IS NULL), '') AS missing_in_file1 "
-        "FROM x GROUP BY file1, file2"
+        "FROM x GROUP BY file1, file2 HAVING count(*) FILTER (WHERE t1 IS NOT NULL AND t2 IS NOT NULL) + count(m1) > 0"
     )
 
 def _naming_groups(threshold: float, enrich: bool) -> str:
@@ -535,7 +535,7 @@ UNION ALL SELECT 'suppliers', NULL, NULL, NULL, NULL, count(*) || ' rows hold mo
         "coalesce(string_agg(column_name || ' (' || t1 || ')', ', ' ORDER BY column_name) FILTER (WHERE t2 IS NULL), '') AS unique_to_file1, "
         "coalesce(string_agg(column_name || ' (' || t2 || ')', ', ' ORDER BY column_name) FILTER (WHERE t1 IS NULL), '') AS unique_to_file2, "
         "coalesce(string_agg(column_name || ': ' || t1 || ' vs ' || t2, ', ' ORDER BY column_name) FILTER (WHERE t1 <> t2), '') AS type_mismatches "
-        "FROM sides GROUP BY file1, file2",
+        "FROM sides GROUP BY file1, file2 HAVING count(*) FILTER (WHERE t1 IS NOT NULL AND t2 IS NOT NULL) > 0",
         "schema_members": CAT
         + ", s AS (SELECT file_name, list(column_name || ' ' || data_type ORDER BY column_name) AS l FROM cat GROUP BY ALL) "
         "SELECT file_name, min(file_name) OVER (PARTITION BY l) AS first_file FROM s",
