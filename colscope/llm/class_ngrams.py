@@ -37,7 +37,7 @@ CLASSES, ROUNDS, CORE = 48, 6, 1 << 15
 # Added to every count of a transition, and of a word in its class.
 TRANSITION, EMISSION = 0.5, 0.1
 # Bytes of text in a chunk; distinct entries a task gathers before it hands them on.
-CHUNK, GATHERED = 8 << 20, 1 << 20
+CHUNK, GATHERED = 6 << 20, 1 << 19
 
 
 class _Counter:
@@ -89,7 +89,7 @@ def _counted(rows: DataFrame, keys_of) -> DataFrame:
                     yield full
         yield counter.take()
 
-    return stored(rows.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    return stored(rows.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), text=True)
 
 
 def _with_ends(values: np.ndarray, words: Words, end: int) -> np.ndarray:
@@ -276,7 +276,7 @@ def _encoded(rows: DataFrame, core: Core) -> DataFrame:
                     )
                 chunk += 1
 
-    return stored(rows.mapInArrow(run, _ENCODED))
+    return stored(rows.mapInArrow(run, _ENCODED), text=True)
 
 
 def _placed(encoded: DataFrame, table: np.ndarray, n_classes: int) -> DataFrame:

@@ -16,17 +16,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 # Rows a checked side may hold to be broadcast by hint.
 BROADCAST_ROWS = 200_000
+TEXT_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, safe against lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, text: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, safe against lost executors.
+
+    ``text`` marks a job that hands whole texts to Python: its Arrow batches hold ``TEXT_ROWS`` rows at most, so that a
+    task holds a few megabytes of them. The session's own setting is back when the job is done.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH)
+    if text:
+        spark.conf.set(_BATCH, str(min(TEXT_ROWS, int(before)) if int(before) > 0 else TEXT_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if text:
+            spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remainder(column: str, by: int) -> Column:
@@ -96,6 +110,22 @@ def companions(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
     return ordered.mapInArrow(stream, ", ".join(f"{c} bigint" for c in [*keys, member, "hub"]))
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(id, component) of all ids in ``parents`` (id, parent), at most one smaller parent per id: pointers are doubled
+    until every id points at its tree's smallest one."""
+    state = stored(parents.select("id", "parent"))
+    while True:
+        above = state.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
+        # a parent that has none itself is a root
+        step = state.join(above, "parent", "left")
+        state = stored(step.select("id", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved")))
+        if state.filter("moved").isEmpty():
+            break
+        state = state.select("id", "parent")
+    found = state.select("id", F.col("parent").alias("component"))
+    return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for every id in ``links`` (a, b) the smallest id it is connected with.
 
