@@ -160,9 +160,27 @@ def _approximate_counts(groups: Sequence[TableGroup]) -> DataFrame:
     return _union(frames).select("table_id", "column_pos", "total_rows", "null_count", "unique_count")
 
 
-def _text_counts(groups: Sequence[TableGroup], mode: str) -> DataFrame:
-    """CSV columns: the label is inferred from the distinct cells, after they are counted."""
-    kinds = ["integer", "float", "boolean", "string"]
+_KINDS = ["integer", "float", "boolean", "string"]
+
+
+def _approximate_text_columns(groups: Sequence[TableGroup]) -> DataFrame:
+    """What ``_text_columns`` gives, with estimated distinct counts: one pass, nothing but sums and sketches is shuffled."""
+    cells = _union([_text_cells(g) for g in groups]).withColumn("kind", labels.cell_kind(F.col("cell")))
+    return (
+        cells.withColumn("value", labels.cell_value(F.col("cell"), F.col("kind")))
+        .groupBy("table_id", "column_pos")
+        .agg(
+            F.count(F.lit(1)).alias("total_rows"),
+            F.count_if(F.col("value").isNull()).alias("null_count"),
+            F.approx_count_distinct("cell").alias("spellings"),
+            F.approx_count_distinct("value").alias("values"),
+            *[F.coalesce(F.max(F.col("kind") == kind), F.lit(False)).alias(f"has_{kind}") for kind in _KINDS],
+        )
+    )
+
+
+def _text_columns(groups: Sequence[TableGroup]) -> DataFrame:
+    """Per CSV column: rows, nulls, distinct spellings and values, and the kinds of cells it holds."""
     cells = (
         _union([_text_cells(g) for g in groups])
         .groupBy("table_id", "column_pos", "cell")
@@ -173,16 +191,21 @@ def _text_counts(groups: Sequence[TableGroup], mode: str) -> DataFrame:
     values = cells.groupBy("table_id", "column_pos", "value").agg(
         F.sum("n").alias("n"),
         F.count("cell").alias("spellings"),
-        *[F.max(F.col("kind") == kind).alias(f"has_{kind}") for kind in kinds],
+        *[F.max(F.col("kind") == kind).alias(f"has_{kind}") for kind in _KINDS],
     )
-    columns = values.groupBy("table_id", "column_pos").agg(
+    return values.groupBy("table_id", "column_pos").agg(
         F.sum("n").alias("total_rows"),
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
         F.sum("spellings").alias("spellings"),
         F.count("value").alias("values"),
-        *[F.coalesce(F.max(f"has_{kind}"), F.lit(False)).alias(f"has_{kind}") for kind in kinds],
+        *[F.coalesce(F.max(f"has_{kind}"), F.lit(False)).alias(f"has_{kind}") for kind in _KINDS],
     )
-    has = {kind: F.col(f"has_{kind}") for kind in kinds}
+
+
+def _text_counts(groups: Sequence[TableGroup], mode: str, exact: bool) -> DataFrame:
+    """CSV columns: the label is inferred from the kinds of all cells."""
+    columns = _text_columns(groups) if exact else _approximate_text_columns(groups)
+    has = {kind: F.col(f"has_{kind}") for kind in _KINDS}
     label = labels.csv_label(has, F.col("total_rows"), F.col("null_count"), mode)
     all_boolean = has["boolean"] & ~has["integer"] & ~has["float"] & ~has["string"]
     return columns.withColumn("data_type", label).select(
@@ -214,7 +237,7 @@ def profile(
 ) -> DataFrame:
     """Catalog rows (``CATALOG_SCHEMA``) of all tables of ``groups``.
 
-    ``exact=False`` estimates the distinct counts of typed tables in one pass.
+    ``exact=False`` estimates the distinct counts in one pass without a shuffle of values: the mode for large lakes.
     """
     groups = [g for g in groups if g.fields]
     if not groups:
@@ -227,7 +250,7 @@ def profile(
         typed_counts = _typed_counts(typed) if exact else _approximate_counts(typed)
         counts.append(typed_counts.withColumn("data_type", F.lit(None).cast("string")))
     if text:
-        counts.append(_text_counts(text, labels_mode))
+        counts.append(_text_counts(text, labels_mode, exact))
     known = described.join(_union(counts), ["table_id", "column_pos"], "left")
     label = F.coalesce("data_type", "label")
     countable = label != labels.UNKNOWN
