@@ -1,7 +1,7 @@
 """The registered queries: every operator over the given tables, or over what Spark derives from them.
 
 Catalog operators run on the catalog of the given tables and the tenant views. It is profiled over all rows
-once per session and folder, and kept as a snapshot in the shared folder, as a lake's catalog would be.
+once per session and folder, and kept as a stored catalog in the shared folder, as a lake's catalog would be.
 Operators that also make sense on data run on the documents: their words as a vocabulary, their texts, the
 embeddings.
 """

@@ -1,18 +1,24 @@
-"""The stored catalog: immutable Parquet snapshots ``snapshot=N``, the highest complete one is current.
+"""The stored catalog: an append-only log of Parquet rows; of every file the rows of its newest version are current.
 
-An update never touches what readers hold; a failed write leaves a folder without ``_SUCCESS``,
-which is not read. Rows are range-partitioned and sorted by path, so a filter on the path skips files and
-row groups by their statistics.
+An update costs what it brings, not the size of the catalog, and never touches what readers hold. Versions are clock
+readings, so writers need no listing and cannot claim the same folder; of two writers of one file the later wins.
+``compacted`` writes the current rows elsewhere, without history.
 """
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colscope.functions.labels import CATALOG_SCHEMA
 
-_PREFIX = "snapshot="
+_LOG = T.StructType(
+    [*CATALOG_SCHEMA.fields, T.StructField("version", T.LongType()), T.StructField("removed", T.BooleanType())]
+)
 
 
 class CatalogStore:
@@ -22,48 +28,58 @@ class CatalogStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _numbers(self, complete_only: bool) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.root)
-        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(root):
-            return []
-        numbers = []
-        for status in system.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith(_PREFIX) and name[len(_PREFIX):].isdigit():
-                if not complete_only or system.exists(hadoop.Path(status.getPath(), "_SUCCESS")):
-                    numbers.append(int(name[len(_PREFIX):]))
-        return sorted(numbers)
+    def _log(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(_LOG).option("recursiveFileLookup", "true").parquet(self.root)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], _LOG)
+
+    def _newest(self) -> DataFrame:
+        """The log rows of every file's newest version, removals included."""
+        log = self._log()
+        newest = log.groupBy("file_path").agg(F.max("version").alias("version"))
+        return log.join(newest, ["file_path", "version"]).select(*_LOG.fieldNames())
 
     def read(self) -> DataFrame:
         """The current catalog; an absent one is empty."""
-        numbers = self._numbers(complete_only=True)
-        if not numbers:
-            return self.spark.createDataFrame([], CATALOG_SCHEMA)
-        return self.spark.read.schema(CATALOG_SCHEMA).parquet(f"{self.root}/{_PREFIX}{numbers[-1]}")
+        return self._newest().filter("NOT removed").select(*CATALOG_SCHEMA.fieldNames())
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        number = max(self._numbers(complete_only=False), default=0) + 1
+    def _append(self, rows: DataFrame, removed: bool) -> DataFrame:
         (
-            rows.select(*CATALOG_SCHEMA.fieldNames())
+            rows.select(
+                *CATALOG_SCHEMA.fieldNames(), F.lit(time.time_ns()).alias("version"), F.lit(removed).alias("removed")
+            )
             .repartitionByRange("file_path", "column_name")
             .sortWithinPartitions("file_path", "column_name")
-            .write.mode("errorifexists")
-            .parquet(f"{self.root}/{_PREFIX}{number}")
+            .write.mode("append")
+            .parquet(self.root)
         )
         return self.read()
 
     def upsert(self, rows: DataFrame) -> DataFrame:
         """Replace the rows of every file that occurs in ``rows``; returns the new catalog."""
-        replaced = rows.select("file_path").distinct()
-        return self._write(self.read().join(replaced, "file_path", "left_anti").unionByName(rows))
+        return self._append(rows, removed=False)
+
+    def _remove(self, rows: DataFrame) -> DataFrame:
+        """Append a removal for every file in ``rows``."""
+        empty = [
+            F.lit(None).cast(f.dataType).alias(f.name) for f in CATALOG_SCHEMA.fields if f.name not in ("file_path", "file_name")
+        ]
+        return self._append(rows.select("file_path", "file_name", *empty).distinct(), removed=True)
 
     def remove(self, files: DataFrame) -> DataFrame:
         """Drop all rows of the files listed in ``files`` (file_path, or file_name for every path of a name)."""
         key = "file_path" if "file_path" in files.columns else "file_name"
-        return self._write(self.read().join(files.select(key).distinct(), key, "left_anti"))
+        return self._remove(self.read().join(files.select(key).distinct(), key, "left_semi"))
 
     def remove_file(self, file_name: str) -> DataFrame:
         """Drop all rows of the files called ``file_name``."""
-        return self._write(self.read().filter(F.col("file_name") != file_name))
+        return self._remove(self.read().filter(F.col("file_name") == file_name))
+
+    def compacted(self, root: str) -> CatalogStore:
+        """A store at ``root`` that holds the current rows only."""
+        store = CatalogStore(self.spark, root)
+        store.upsert(self.read())
+        return store

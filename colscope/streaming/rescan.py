@@ -12,7 +12,7 @@ from colscope.sources.catalog_store import CatalogStore
 def rescan_arrivals(
     spark: SparkSession, folder: str, store: CatalogStore, progress: str, files_per_batch: int = 1_000
 ) -> StreamingQuery:
-    """Profile files as they arrive; each micro-batch is one scan and one catalog snapshot.
+    """Profile files as they arrive; each micro-batch is one scan and one append to the catalog.
 
     The stream is the listing, not the contents. ``progress`` is the folder of the stream's own state. A batch that
     is repeated after a failure replaces the same rows. Stops once it has seen all files there are.

@@ -137,7 +137,12 @@ def test_store_round_trip(spark, make_catalog, tmp_path):
     assert [r.file_path for r in store.read().collect()] == ["x/a.csv"]
     os.makedirs(tmp_path / "catalog" / "snapshot=99")
     assert store.read().count() == 1
+    held = store.read()
+    smaller = store.compacted(str(tmp_path / "compacted"))
     assert store.remove_file("a.csv").count() == 0
+    assert held.count() == smaller.read().count() == 1  # neither is touched by the removal
+    store.upsert(make_catalog({"x/a.csv": {"d": "string"}}))
+    assert [r.column_name for r in store.read().collect()] == ["d"]
 
 
 def test_exports(spark, tmp_path):
