@@ -17,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 # Rows a checked side may hold to be broadcast by hint.
 BROADCAST_ROWS = 200_000
 TEXT_ROWS = 1_000
+# Members of one key that a stream holds until it has seen them all.
+HELD = 1 << 16
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -66,48 +68,62 @@ def equal_neighbours(columns: list[np.ndarray]) -> np.ndarray:
     return same
 
 
-def companions(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
-    """Rows whose key another row has too, with ``hub``: the smallest member of the key.
+def companions(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """Rows whose key another member has too, with ``hub``: a member of the key that is not larger, the smallest one
+    unless the key has more than ``HELD`` members. Equal rows count once.
 
-    ``keys`` and ``member`` are bigint columns without nulls. Rows are shuffled by key once and
-    read as a sorted stream, so a key of any number of rows needs no memory. Equal rows count once.
+    ``key`` and ``member`` are bigint columns without nulls. Rows are shuffled by key once and read as a stream sorted by
+    it (one long: a radix sort), so a key of any number of rows needs bounded memory.
     """
-    schema = pa.schema([(c, pa.int64()) for c in [*keys, member, "hub"]])
+    schema = pa.schema([(c, pa.int64()) for c in (key, member, "hub")])
+
+    def shared(keys: np.ndarray, members: np.ndarray, passed_on: int | None) -> Iterator[pa.RecordBatch]:
+        """Whole keys; ``passed_on`` is a hub of the first one whose row is out already."""
+        for _ in range(2):  # after the second time copies of one member are no company
+            same = keys[1:] == keys[:-1]
+            company = np.zeros(len(keys), dtype=bool)
+            company[1:] = same
+            company[:-1] |= same
+            keys, members = keys[company], members[company]
+            if not len(keys):
+                return
+            order = np.lexsort((members, keys))
+            keys, members = keys[order], members[order]
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (members[1:] != members[:-1])
+            keys, members = keys[new], members[new]
+        begins = np.zeros(len(keys), dtype=np.int64)
+        begins[1:] = np.where(keys[1:] == keys[:-1], 0, np.arange(1, len(keys)))
+        hub = members[np.maximum.accumulate(begins)]
+        if passed_on is not None:
+            out = (keys != keys[0]) | (members != passed_on)
+            keys, members, hub = keys[out], members[out], hub[out]
+        if len(keys):
+            yield batch(schema, keys, members, hub)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        hub_held, company_held = 0, False
+        keys = members = np.zeros(0, dtype=np.int64)
+        passed_on: int | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy() for i in range(len(keys) + 1)]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            same_key = equal_neighbours(cols[:-1])
-            again = same_key & (cols[-1][1:] == cols[-1][:-1])
-            if again.any():
-                cols = [c[np.concatenate([[True], ~again])] for c in cols]
-                same_key = equal_neighbours(cols[:-1])
-            n = len(cols[0])
-            begins = np.zeros(n, dtype=np.int64)
-            begins[1:] = np.where(same_key, 0, np.arange(1, n))
-            leader = np.maximum.accumulate(begins)
-            hub = cols[-1][leader]
-            company = np.zeros(n, dtype=bool)
-            company[1:] = same_key
-            company[:-1] |= same_key
-            if held is not None:
-                hub[leader == 0] = hub_held
-                company[0] |= company_held
-            out = company[:-1]
-            if out.any():
-                yield batch(schema, *[c[:-1][out] for c in cols], hub[:-1][out])
-            held, hub_held, company_held = [c[-1:] for c in cols], hub[-1], bool(company[-1])
-        if held is not None and company_held:
-            yield batch(schema, *held, np.array([hub_held]))
-
-    ordered = rows.select(*keys, member).repartition(*keys).sortWithinPartitions(*keys, member)
-    return ordered.mapInArrow(stream, ", ".join(f"{c} bigint" for c in [*keys, member, "hub"]))
+            keys = np.concatenate([keys, b.column(0).to_numpy()])
+            members = np.concatenate([members, b.column(1).to_numpy()])
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last:
+                first_passed = passed_on if keys[0] != keys[-1] else None
+                yield from shared(keys[:last], members[:last], first_passed)
+                keys, members, passed_on = keys[last:], members[last:], None
+            if len(keys) > HELD:
+                members = np.unique(members)
+                keys = keys[: len(members)]
+                if len(keys) > HELD:
+                    yield from shared(keys, members, passed_on)
+                    keys, members, passed_on = keys[:1], members[:1], int(members[0])
+        yield from shared(keys, members, passed_on)
+
+    ordered = rows.select(key, member).repartition(key).sortWithinPartitions(key)
+    return ordered.mapInArrow(stream, f"{key} bigint, {member} bigint, hub bigint")
 
 
 def roots(parents: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import companions, components, stored
+from colscope.llm.common import companions, components, roots, stored
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -26,6 +26,21 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.filter(~known).select("a", "b")
 
 
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups joined by links between them; only the links' groups are looked at."""
+    if links.isEmpty():
+        return groups
+    for end in ("a", "b"):
+        group = groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))
+        links = links.join(group, end, "left")
+    between = links.select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+    wider = stored(components(between)).withColumnRenamed("component", "wider")
+    renamed = groups.join(wider.withColumnRenamed("id", "component"), "component", "left")
+    renamed = renamed.select("id", F.coalesce("wider", "component").alias("component"))
+    alone = wider.join(groups.select("id"), "id", "left_anti").select("id", F.col("wider").alias("component"))
+    return stored(renamed.unionByName(alone))
+
+
 def connected(
     signatures: DataFrame,
     sketches: DataFrame,
@@ -37,7 +52,7 @@ def connected(
     ``sketches`` hold one row per id; ``possible(l, r)`` is a condition on two of them that all similar pairs meet;
     ``verify`` keeps the similar pairs (a, b) among the given ones.
     """
-    shared = stored(companions(signatures, ["key"], "id"))
+    shared = stored(companions(signatures, "key", "id"))
     names = [c for c in sketches.columns if c != "id"]
 
     def side(mark: str) -> DataFrame:
@@ -48,28 +63,29 @@ def connected(
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = pairs.join(side("b"), "b").join(side("a"), "a").filter(condition()).select("a", "b")
-        return stored(verify(stored(near)))
+        near = stored(near)
+        return near if near.isEmpty() else stored(verify(near))
 
     hubs = stored(shared.filter("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n")))
     closest = F.max_by("hub", F.struct("n", -F.col("hub")))
-    links = linked(hubs.groupBy(F.col("id").alias("b")).agg(closest.alias("a")))
-    groups = stored(components(links))
+    trees = linked(hubs.groupBy(F.col("id").alias("b")).agg(closest.alias("a")))
+    groups = stored(roots(trees.select(F.col("b").alias("id"), F.col("a").alias("parent"))))
     far = _apart(hubs.select(F.col("hub").alias("a"), F.col("id").alias("b")), groups)
-    links = stored(links.unionByName(linked(far)))
-    groups = stored(components(links))
+    groups = _merged(groups, linked(far))
     # buckets that still hold several groups
     placed = shared.select("key", "id").join(groups, "id", "left")
     placed = stored(placed.select("key", "id", F.coalesce("component", "id").alias("component")))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    members = placed.join(open_keys.filter("lo < hi").select("key"), "key").join(
-        sketches.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")
-    ).drop("sid")
-    members = stored(members)
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    # in a bucket of two, the one pair was the hub's
+    open_keys = open_keys.filter("lo < hi AND n > 2").select("key")
+    members = placed.join(open_keys, "key").join(sketches.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid"))
+    members = stored(members.drop("sid"))
+    if members.isEmpty():
+        return groups
 
     def member(mark: str) -> DataFrame:
         return members.select("key", F.col("id").alias(mark), *[F.col(c).alias(f"{mark}_{c}") for c in ["component", *names]])
 
     apart = F.col("a_component") < F.col("b_component")
     pairs = member("a").join(member("b"), "key").filter(apart & condition()).select("a", "b").distinct()
-    more = stored(verify(stored(pairs)))
-    return components(links.unionByName(more))
+    return _merged(groups, linked(pairs))

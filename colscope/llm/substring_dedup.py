@@ -228,7 +228,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, seed: int = SEED)
     wanted = places.join(small_side(hot.withColumn("hot", F.lit(True))), "low", "left").select(
         "row_id", "start", F.coalesce("hot", F.lit(False)).alias("hot")
     )
-    travel = stored(_super_k_mers(documents.select("row_id", "text"), wanted, window, seed))
+    travel = stored(_super_k_mers(documents.select("row_id", "text"), wanted, window, seed), text=True)
     spans = _count_buckets(travel.filter("key2 IS NULL").select("key", "packed", "row_id", "start"), window)
     # the windows of hot buckets: those whose fingerprint another place has too
     dealt = travel.filter("key2 IS NOT NULL").select("key", "key2", "row_id", "start")

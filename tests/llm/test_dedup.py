@@ -12,7 +12,7 @@ from hypothesis import settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from colscope.llm import exact_dedup, line_dedup, ngram_join, substring_dedup
+from colscope.llm import common, exact_dedup, line_dedup, ngram_join, substring_dedup
 from colscope.llm.common import components
 from colscope.llm.words import Words, runs, sliding_min
 
@@ -70,6 +70,28 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [common.HELD, 50])
+def test_companions(spark, held, monkeypatch):
+    """Keys of one, several and very many members, equal rows, state across batches."""
+    monkeypatch.setattr(common, "HELD", held)
+    random = np.random.default_rng(4)
+    rows = [(int(k), int(m)) for k, m in zip(random.integers(0, 4000, 6000), random.integers(0, 300, 6000), strict=True)]
+    rows += [(7777, int(m)) for m in random.permutation(25_000)] + [(8888, 1)] * 30
+    found = common.companions(spark.createDataFrame(rows, "key bigint, id bigint").repartition(3), "key", "id").collect()
+    members = defaultdict(set)
+    for k, m in rows:
+        members[k].add(m)
+    assert Counter((r.key, r.id) for r in found) == Counter((k, m) for k, ms in members.items() if len(ms) > 1 for m in ms)
+    assert all(r.hub <= r.id and r.hub in members[r.key] for r in found)
+    assert all(r.hub == min(members[r.key]) for r in found if len(members[r.key]) <= held)
+
+
+def test_roots_of_a_chain(spark):
+    parents = [(i, i - 1) for i in range(1, 200)] + [(1000 + i, 1000) for i in range(1, 50)]
+    found = dict(common.roots(spark.createDataFrame(parents, "id bigint, parent bigint")).collect())
+    assert found == {i: 0 for i in range(200)} | {i: 1000 for i in range(1000, 1050)}
+
+
 def test_exact_dedup(docs, texts, nothing):
     groups = defaultdict(list)
     for doc_id, text in texts:
