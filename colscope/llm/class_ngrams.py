@@ -47,7 +47,9 @@ class _Counter:
         self.keys, self.counts, self.parts = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
     def add(self, keys: np.ndarray) -> None:
-        self.parts.append(np.unique(keys, return_counts=True))
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+        self.parts.append((keys[first], np.diff(np.append(first, len(keys)))))
         if sum(len(k) for k, _ in self.parts) > GATHERED:
             self.merge()
 
