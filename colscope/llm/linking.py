@@ -46,13 +46,19 @@ def connected(
     sketches: DataFrame,
     possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
+    need: DataFrame | None = None,
 ) -> DataFrame:
     """(id, component) of every id that is linked with another.
 
     ``sketches`` hold one row per id; ``possible(l, r)`` is a condition on two of them that all similar pairs meet;
-    ``verify`` keeps the similar pairs (a, b) among the given ones.
+    ``verify`` keeps the similar pairs (a, b) among the given ones. ``need`` (id, need) tells how many keys an id has at
+    least in common with every similar one; an id that shares fewer keys with all others together is similar to none.
     """
     shared = stored(companions(signatures, "key", "id"))
+    if need is not None:
+        keys = shared.groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
+        enough = stored(keys.join(need, "id").filter("keys >= need").select("id"))
+        shared = stored(companions(shared.select("key", "id").join(enough, "id", "left_semi"), "key", "id"))
     names = [c for c in sketches.columns if c != "id"]
 
     def side(mark: str) -> DataFrame:

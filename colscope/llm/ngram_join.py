@@ -5,7 +5,8 @@ bit of a sketch chosen by its hash, so the Hamming distance of two sketches is a
 symmetric difference of the sets. With a Jaccard similarity of p/q that difference is at most
 (q-p)/(p+q) of both sizes together. A size band therefore cuts the elements into more blocks than that: of two
 similar sets at least one block is untouched, and its parity (an XOR of 64-bit element hashes, a parity sketch as wide
-as its hash) is the join key. A block without elements is no key as long as a document has more other blocks
+as its hash) is the join key. Two similar sets share as many keys as a set has more blocks than can differ, so a set
+that shares fewer with all others together is out at once. A block without elements is no key as long as a document has more other blocks
 than can differ. Candidates must pass the Hamming bound of 1024-bit sketches and are verified on whole sets.
 
 Sizes: a pair meets in the band of its larger set; a set stands in its own band and the next, as bands are
@@ -35,7 +36,7 @@ SIMILAR = (80, 100)
 # Longs of the sketch behind the Hamming bound.
 SKETCH = 16
 _SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), *((f"s{i}", pa.int64()) for i in range(SKETCH))]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("need", pa.int64()), *((f"s{i}", pa.int64()) for i in range(SKETCH))]
 )
 
 
@@ -45,15 +46,16 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     h, n = words.hashes(True), len(texts)
     counts, of = words.counts(), words.text_of()
     every = runs(h, k)
-    whole = of[: len(every)] == of[k - 1 :] if len(h) >= k else np.zeros(0, dtype=bool)
-    values, owner = every[whole], of[: len(every)][whole]
+    whole = np.flatnonzero(of[: len(every)] == of[k - 1 :]) if len(h) >= k else np.zeros(0, dtype=np.int64)
+    values, owner = every[whole], of[whole]
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
         some = [mix(runs(h[words.first[i] : words.first[i + 1]], int(counts[i])) + counts[i].astype(np.uint64))[0] for i in short]
-        values, owner = np.append(values, np.array(some, dtype=np.uint64)), np.append(owner, short)
-    order = np.argsort(values, kind="stable")
-    order = order[np.argsort(owner[order], kind="stable")]
-    values, owner = values[order], owner[order]
+        at = np.searchsorted(owner, short)
+        values, owner = np.insert(values, at, np.array(some, dtype=np.uint64)), np.insert(owner, at, short)
+    first = np.searchsorted(owner, np.arange(n + 1))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        values[a:b].sort()
     new = np.ones(len(values), dtype=bool)
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     return values[new], np.searchsorted(owner[new], np.arange(n + 1))
@@ -101,10 +103,28 @@ def band_edge(band: int, similar: tuple[int, int]) -> int:
     return edge - 1
 
 
+def _blocks(values: np.ndarray, spread: np.ndarray, band: int, edge: int, similar: tuple[int, int]):
+    """(block of every element, number of blocks, most blocks that can differ) of one set in a band."""
+    p, q = similar
+    differ = 2 * edge * (q - p) // (p + q)
+    # one block more than can differ, and some for blocks without elements
+    blocks_ = differ + 1 + differ // 8
+    at = ((spread >> np.uint64(32)) * np.uint64(blocks_) >> np.uint64(32)).astype(np.int64)
+    return at, blocks_, differ
+
+
+def _spread(values: np.ndarray) -> np.ndarray:
+    return mix(values ^ np.uint64(0xA0761D6478BD642F))
+
+
+def _band_edges(similar: tuple[int, int]) -> dict[int, int]:
+    return {b: band_edge(b, similar) for b in range(220)}
+
+
 def signatures(documents: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(key, id): the blocks of every set, in its own band and the next."""
-    p, q = similar
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+    edges = _band_edges(similar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,17 +134,14 @@ def signatures(documents: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
                 _, alone = np.unique(ids, return_index=True)
                 alone = alone[sizes[alone] > 0]
                 bands = band_of(sizes, similar)
-                spread = mix(values ^ np.uint64(0xA0761D6478BD642F))
+                spread = _spread(values)
                 keys, owners = [], []
                 for i in alone:
-                    element, place = values[first[i] : first[i + 1]], spread[first[i] : first[i + 1]] >> np.uint64(32)
+                    own = slice(first[i], first[i + 1])
                     for band in (bands[i], bands[i] + 1):
-                        differ = 2 * band_edge_of[band] * (q - p) // (p + q)
-                        # one block more than can differ, and some for blocks without elements
-                        blocks_ = differ + 1 + differ // 8
-                        at = (place * np.uint64(blocks_) >> np.uint64(32)).astype(np.int64)
+                        at, blocks_, differ = _blocks(values[own], spread[own], band, edges[band], similar)
                         parity = np.zeros(blocks_, dtype=np.uint64)
-                        np.bitwise_xor.at(parity, at, element)
+                        np.bitwise_xor.at(parity, at, values[own])
                         full = np.zeros(blocks_, dtype=bool)
                         full[at] = True
                         use = np.flatnonzero(full) if full.sum() > differ else np.arange(blocks_)
@@ -134,23 +151,39 @@ def signatures(documents: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
                 if keys:
                     yield batch(schema, signed(np.concatenate(keys)), np.concatenate(owners))
 
-    band_edge_of = {b: band_edge(b, similar) for b in range(220)}
     return documents.select("text").mapInArrow(run, "key bigint, id bigint")
 
 
-def classes(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, id, s0..s15): size, class and sketch of every document's set."""
+def keys_needed(values: np.ndarray, first: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    """How many keys every set has at least in common with a similar one: its keys less the blocks that can differ."""
+    edges, sizes = _band_edges(similar), np.diff(first)
+    bands, spread, out = band_of(sizes, similar), _spread(values), np.ones(len(sizes), dtype=np.int64)
+    for i in np.flatnonzero(sizes > 1):
+        own, least = slice(first[i], first[i + 1]), []
+        for band in (bands[i], bands[i] + 1):
+            at, blocks_, differ = _blocks(values[own], spread[own], band, edges[band], similar)
+            full = np.zeros(blocks_, dtype=bool)
+            full[at] = True
+            used = int(full.sum())
+            least.append((used if used > differ else blocks_) - differ)
+        out[i] = min(least)
+    return out
+
+
+def classes(documents: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(doc_id, n, id, need, s0..s15): size, class, keys needed and sketch of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in blocks(b):
                 values, first = shingle_sets(part.column("text"), shingle)
                 longs = signed(_sketch(values, first)).T
-                yield batch(_SETS, part.column("doc_id"), np.diff(first), _class_of(values, first), *longs)
+                need = keys_needed(values, first, similar)
+                yield batch(_SETS, part.column("doc_id"), np.diff(first), _class_of(values, first), need, *longs)
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     longs = ", ".join(f"s{i} bigint" for i in range(SKETCH))
-    return rows.mapInArrow(run, f"doc_id bigint, n bigint, id bigint, {longs}")
+    return rows.mapInArrow(run, f"doc_id bigint, n bigint, id bigint, need bigint, {longs}")
 
 
 def verified(pairs: DataFrame, representatives: DataFrame, documents: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
@@ -171,7 +204,7 @@ def verified(pairs: DataFrame, representatives: DataFrame, documents: DataFrame,
                 keep = np.flatnonzero(ids == own)
                 yield batch(schema, ids[keep], [values[first[i] : first[i + 1]].tobytes() for i in keep])
 
-    sets = stored(texts.mapInArrow(to_set, "id bigint, elements binary").dropDuplicates(["id"]))
+    sets = stored(texts.mapInArrow(to_set, "id bigint, elements binary").dropDuplicates(["id"]), text=True)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -197,12 +230,12 @@ def verified(pairs: DataFrame, representatives: DataFrame, documents: DataFrame,
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): one row per document."""
     p, q = similar
-    found = stored(classes(documents, shingle))
+    found = stored(classes(documents, shingle, similar), text=True)
     kept = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("id")
     longs = [F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)]
-    unique = stored(kept.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *longs))
+    unique = stored(kept.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("need").alias("need"), *longs))
     representatives = unique.select("id", "doc_id")
-    sketches = unique.drop("doc_id")
+    sketches = unique.drop("doc_id", "need")
 
     def possible(a, b):
         apart = F.lit(0)
@@ -213,7 +246,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, similar: tuple
 
     groups = connected(
         signatures(documents.filter("doc_id IS NOT NULL"), shingle, similar), sketches, possible,
-        lambda pairs: verified(pairs, representatives, documents, shingle, similar),
+        lambda pairs: verified(pairs, representatives, documents, shingle, similar), need=unique.select("id", "need"),
     )
     # the smallest doc_id of a component stands for it
     named = groups.join(representatives, "id")
