@@ -45,7 +45,7 @@ def op6_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select(
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"), ["doc_id"]).select(
         "document.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     )
 

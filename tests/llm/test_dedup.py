@@ -205,6 +205,17 @@ def _expected_lines(rows):
     return gone
 
 
+def test_lines_are_cut_out():
+    texts = ["a\nb\nc", "", "x", None, "\n\n", "p\nq", "é\n\nü\n", "u\nv\nw"]
+    drops = [[0], [], [0], None, [1], [1], [0, 3], [1, 2]]
+    arrays = pa.array(["skip", *texts]), pa.array([[0], *drops], type=pa.list_(pa.int64()))
+    found, lines = line_dedup.without_lines(arrays[0].slice(1), arrays[1].slice(1))
+    expected = [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in (d or []))
+                for t, d in zip(texts, drops, strict=True)]
+    assert found.to_pylist() == expected
+    assert lines.tolist() == [len((t or "").split("\n")) for t in texts]
+
+
 def test_line_dedup(spark, docs, texts, nothing):
     long = " ".join(f"template{i}" for i in range(120))
     fuzzy = [(30_000 + i, long.replace("template50 ", f"t{i} ") + "\nown line of this text number " + "abcdefgh"[i % 8] * (i + 1)) for i in range(40)]
@@ -213,10 +224,12 @@ def test_line_dedup(spark, docs, texts, nothing):
     gone = _expected_lines(rows)
     found = line_dedup.deduplicated(frame).select("document.*", "kept_text", "n_lines", "n_dropped").collect()
     assert len(found) == len(rows)
+    given = dict(rows)
     for r in found:
-        lines = (r.text or "").split("\n")
+        text = given[r.doc_id]
+        lines = (text or "").split("\n")
         kept = "\n".join(line for i, line in enumerate(lines) if i not in gone[r.doc_id])
-        assert (r.kept_text, r.n_lines, r.n_dropped) == (kept if r.text is not None else None, len(lines), len(gone[r.doc_id]))
+        assert (r.kept_text, r.n_lines, r.n_dropped) == (kept if text is not None else None, len(lines), len(gone[r.doc_id]))
     dropped = sum(r.n_dropped for r in found if (r.doc_id or 0) >= 30_000)
     assert dropped >= 20, "most of the fuzzy copies go"
     assert line_dedup.deduplicated(nothing).count() == 0
