@@ -32,6 +32,8 @@ PAIRS = 512
 # Weight decay; least spread of a feature, so that rare ones are not blown up.
 DECAY, FLOOR = 1e-2, 1e-2
 _SCALE = 1 << 20
+# Bytes of text described at once: features take some fifty bytes of working memory for each.
+BLOCK = 1 << 20
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -129,7 +131,7 @@ def fit(documents: DataFrame, positives: DataFrame, most: tuple[int, int] = (POS
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in blocks(b):
+            for part in blocks(b, limit=BLOCK):
                 x = features(part.column("text")).astype(np.float32)
                 yield batch(schema, part.column(0), part.column(2), part.column(3), [row.tobytes() for row in x])
 
@@ -148,12 +150,16 @@ def fit(documents: DataFrame, positives: DataFrame, most: tuple[int, int] = (POS
 
 def score(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """``document``, a struct of ``columns``, and ``score``, the probability of good quality, of every document."""
-    rows = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("document"))
+    document = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("document")
+    # a text that is carried through anyway travels once
+    rows = documents.select(document) if "text" in columns else documents.select(document, "text")
     wide = rows.select("document", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in blocks(b):
+            carried = b.column(0)
+            text = carried.field("text") if "text" in columns else b.column(1)
+            for part in blocks(pa.RecordBatch.from_arrays([carried, text], ["document", "text"]), limit=BLOCK):
                 scores = pa.array(model.scores(features(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column("document"), scores], ["document", "score"])
 
