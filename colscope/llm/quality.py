@@ -81,17 +81,23 @@ class Model:
 
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 300, decay: float = DECAY):
     """Adam on the non-negative risk; without a prior, plain logistic regression of positives against the rest."""
-    x = np.vstack([positive, unlabelled])
-    centre, spread = x.mean(0), x.std(0) + FLOOR
-    p, u = (positive - centre) / spread, (unlabelled - centre) / spread
-    w, first, second = (np.zeros(x.shape[1] + 1) for _ in range(3))
+    total = len(positive) + len(unlabelled)
+    centre = (positive.sum(0, dtype=float) + unlabelled.sum(0, dtype=float)) / total
+    square = (np.square(positive - centre).sum(0) + np.square(unlabelled - centre).sum(0)) / total
+    spread = np.sqrt(square) + FLOOR
+    # single precision halves what the driver holds
+    p, u = (((rows - centre) / spread).astype(np.float32) for rows in (positive, unlabelled))
+    w, first, second = (np.zeros(len(centre) + 1) for _ in range(3))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def mean_slope(rows, slope):
-        return np.append(rows.T @ slope, slope.sum()) / len(rows)
+        return np.append((slope.astype(np.float32) @ rows).astype(float), slope.sum()) / len(rows)
+
+    def chances(rows):
+        return sigmoid((rows @ w[:-1].astype(np.float32)).astype(float) + w[-1])
 
     for step in range(1, steps + 1):
-        at_p, at_u = sigmoid(p @ w[:-1] + w[-1]), sigmoid(u @ w[:-1] + w[-1])
+        at_p, at_u = chances(p), chances(u)
         if prior is None:
             gradient = mean_slope(p, at_p - 1) + mean_slope(u, at_u)
         else:
@@ -141,7 +147,8 @@ def fit(documents: DataFrame, positives: DataFrame, most: tuple[int, int] = (POS
     sets = []
     for flag in ("trusted", "unlabelled"):
         raw = b"".join(r.x for r in rows if r[flag])
-        sets.append(np.frombuffer(raw, dtype=np.float32).reshape(-1, width).astype(float))
+        sets.append(np.frombuffer(raw, dtype=np.float32).reshape(-1, width))
+    del rows
     if not len(sets[0]) or not len(sets[1]):
         return Model(np.zeros(width), 0.0, 0.5)
     prior = estimate_prior(*sets)
