@@ -264,3 +264,33 @@ def test_null_columns(spark):
     assert ngram_join.near_duplicates(empty).count() == 3
     assert line_dedup.deduplicated(empty).filter("kept_text IS NULL").count() == 3
     assert substring_dedup.remove_repeats(empty).agg(F.sum("n_words")).first()[0] == 0
+
+
+def _kept_lines(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.document.doc_id: r.kept_text for r in line_dedup.deduplicated(frame).collect()}
+
+
+def test_line_recall_against_edit_similarity_alone(spark):
+    random = np.random.default_rng(11)
+    letters = list("etaoinshrdlucmfwypvbgk")
+    word = lambda: "".join(random.choice(letters, random.integers(2, 9)))
+    lines = []
+    for n in range(5, 31):
+        for _ in range(4):
+            words = [word() for _ in range(n)]
+            copy, typos = list(words), list(" ".join(words))
+            for i in random.choice(n, max(1, n // 6), replace=False):
+                copy[i] = word()
+            for i in random.choice(np.flatnonzero(np.array(typos) != " "), len(typos) // 12, replace=False):
+                typos[i] = random.choice(letters)
+            lines += [" ".join(words), " ".join(copy), "".join(typos)]
+    groups = Groups(len(lines))
+    for i, line in enumerate(lines):
+        for j in range(i):
+            if line_dedup.alike(line, lines[j], 0.8):
+                groups.join(i, j)
+    expected = {i for i in range(len(lines)) if groups.root(i) != i}
+    gone = {i for i, kept in _kept_lines(spark, lines).items() if kept == ""}
+    assert len(expected) >= 150 and gone <= expected
+    assert len(gone) >= 0.99 * len(expected)
