@@ -294,3 +294,11 @@ def test_line_recall_against_edit_similarity_alone(spark):
     gone = {i for i, kept in _kept_lines(spark, lines).items() if kept == ""}
     assert len(expected) >= 150 and gone <= expected
     assert len(gone) >= 0.99 * len(expected)
+
+
+def test_lines_without_spaces_and_short_ones_are_compared(spark):
+    chinese = "今天天气很好我们一起去公园散步然后回家吃饭看电视"
+    texts = [chinese, chinese, chinese[:-1] + "书", "Share this on Facebook", "Share this on Facebook", "one", "ONE",
+             "-- * --", "-- * --", "", "", "—", "—", "https://example.org/a/long/path?x=1", "https://example.org/a/long/path?x=1"]
+    kept = _kept_lines(spark, texts)
+    assert [i for i, t in enumerate(texts) if kept[i] != t] == [1, 2, 4, 6, 14]
