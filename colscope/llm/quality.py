@@ -6,8 +6,8 @@ against the negative part when it falls below zero. The class prior is estimated
 unlabelled model is fitted on each half, and on the other half the share of unlabelled texts above a score, divided
 by the share of positives above it, is least where only positives are; that ratio bounds the prior from above.
 
-Bounds: ``POSITIVES`` and ``UNLABELLED`` texts are sampled (by a hash of the key, in expectation) and only their features
-reach the driver. Every text is scored whole, by a model of fixed size.
+Bounds: ``POSITIVES`` and ``UNLABELLED`` texts are sampled (in expectation; trusted keys by a hash and one row of each, the
+others row by row, so that rows of one key count as any others) and only their features reach the driver. Every text is scored whole, by a model of fixed size.
 
 Defined cases: a null text is empty, an empty or very long text gets a score like any other; a key labelled both ways
 is no positive; labels without a document, null labels and repeated rows do no harm; without any positive every
@@ -126,12 +126,17 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def fit(documents: DataFrame, positives: DataFrame, most: tuple[int, int] = (POSITIVES, UNLABELLED)) -> Model:
     """``documents`` (doc_id, text) to learn from; ``positives`` (doc_id): the trusted ones among them."""
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(_SCALE))
     counts = [max(1, positives.count()), max(1, documents.count())]
     cuts = [min(_SCALE, int(m / n * _SCALE) + 1) for m, n in zip(most, counts, strict=True)]
-    trusted = positives.select("doc_id").filter(mark < cuts[0]).withColumn("trusted", F.lit(True))
-    chosen = documents.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), (mark < cuts[1]).alias("unlabelled")
+    keys = positives.select("doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SCALE)) < cuts[0])
+    # of the rows of a trusted key one is taken, in expectation
+    times = documents.select("doc_id").join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    drawn = documents.select(
+        "doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(_SCALE)).alias("mark")
+    )
+    chosen = drawn.join(F.broadcast(times), "doc_id", "left").select(
+        "doc_id", "text", F.coalesce(F.col("mark") * F.col("times") < _SCALE, F.lit(False)).alias("trusted"),
+        (F.col("mark") < cuts[1]).alias("unlabelled"),
     ).filter("trusted OR unlabelled")
     schema = pa.schema([("doc_id", pa.int64()), ("trusted", pa.bool_()), ("unlabelled", pa.bool_()), ("x", pa.binary())])
 

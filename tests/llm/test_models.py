@@ -154,3 +154,13 @@ def test_the_prior_is_estimated():
     positive = random.normal(1.5, 1, (2000, 4))
     unlabelled = np.vstack([random.normal(1.5, 1, (1200, 4)), random.normal(-1.5, 1, (800, 4))])[random.permutation(2000)]
     assert abs(quality.estimate_prior(positive, unlabelled) - 0.6) < 0.08
+
+
+def test_quality_sample_is_bounded_for_hot_keys(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "estimate_prior", lambda p, u: sizes.extend([len(p), len(u)]) or 0.5)
+    rows = [(None, "a row without a key")] * 2000 + [(1, "one key of many rows")] * 2000 + [(i, f"text {i}") for i in range(2, 2002)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    positives = spark.createDataFrame([(i,) for i in range(1, 101)], "doc_id bigint")
+    quality.fit(documents, positives, (200, 300))
+    assert 80 <= sizes[0] <= 130 and 200 <= sizes[1] <= 400
