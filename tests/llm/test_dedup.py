@@ -302,3 +302,9 @@ def test_lines_without_spaces_and_short_ones_are_compared(spark):
              "-- * --", "-- * --", "", "", "—", "—", "https://example.org/a/long/path?x=1", "https://example.org/a/long/path?x=1"]
     kept = _kept_lines(spark, texts)
     assert [i for i, t in enumerate(texts) if kept[i] != t] == [1, 2, 4, 6, 14]
+
+
+def test_rows_of_other_numbers_are_no_copies(spark):
+    texts = ["12 34 56 78 90", "99 11 22 33 44", "Total of 1 item sold on that day", "Total of 2 items sold on that day", "12 34 56 78 90"]
+    kept = _kept_lines(spark, texts)
+    assert [i for i, t in enumerate(texts) if kept[i] != t] == [3, 4]
