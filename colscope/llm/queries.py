@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import ann, chat, class_ngrams, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, substring_dedup
-from colscope.llm.common import remainder, table
+from colscope.llm import (
+    ann, chat, class_ngrams, exact_dedup, line_dedup, mixing, ngram_join, packing, periodic, quality, sharding, substring_dedup, token_alignment,
+)
+from colscope.llm.common import WORD, remainder, table
 
 
 def op1_brown_class_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +73,41 @@ def op10_super_k_mer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_class_score, op2_parity_sketch_join, op3_tree_merge_dedup, op4_curriculum_mix, op5_adaptive_scan_ann, op6_event_sourced_chat, op7_fuzzy_line_dedup, op8_pu_quality, op9_vector_packing, op10_super_k_mer_dedup)}
+def op11_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards of one weight; grown_shard is the place among forty-one."""
+    text = F.coalesce("text", F.lit(""))
+    facts = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    rows = sharding.placed(facts, dict.fromkeys(range(40), 1.0), dict.fromkeys(range(41), 1.0))
+    return sharding.with_slots(rows).select("document.*", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """(doc_id, text); a tenth of the documents repeats some of its words from one place on, as their key's hash says."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    found = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    chosen = documents.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, found).alias("words"))
+    n = F.size("words")
+    placed = chosen.withColumn("n", n).withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr("array_join(transform(sequence(0, n - 1), i -> get(words, int(if(i < a, i, a + (i - a) % p)))), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS start, -r.period AS period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    rows = found.select("document.doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("longest"), listed.alias("listed"), "collapsed")
+    return rows.select(
+        "doc_id", "n_runs", (-F.col("longest.start")).alias("start"), "longest.length", (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_brown_class_score, op2_parity_sketch_join, op3_tree_merge_dedup, op4_curriculum_mix, op5_adaptive_scan_ann, op6_event_sourced_chat, op7_fuzzy_line_dedup, op8_pu_quality, op9_vector_packing, op10_super_k_mer_dedup, op11_rendezvous_sharding, op12_token_alignment, op13_periodic_runs)}
