@@ -175,6 +175,8 @@ def test_edit_distance(a, b):
             new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
         row = new
     assert line_dedup.edit_distance(a, b) == row[-1]
+    for similar in (0.5, 0.8, 0.9):
+        assert line_dedup.alike(a, b, similar) == (row[-1] <= (1 - similar) * max(len(a), len(b)) + 1e-9)
 
 
 def _simhash(line: bytes):
@@ -371,16 +373,18 @@ def test_line_recall_against_edit_similarity_alone(spark):
     assert len(gone) >= 0.9 * len(expected)
 
 
-def test_crowded_buckets_lose_no_link(spark, monkeypatch):
-    """Groups of near copies that share their buckets, compared by leaders, against all pairs."""
+@pytest.mark.parametrize("few", [1, 8])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, few):
+    """Groups of near copies that share their buckets, met in cells, against all pairs."""
     random = np.random.default_rng(2)
     vocabulary, rows = _vocabulary(random), []
     for _ in range(3):
         words = [vocabulary[i] for i in random.integers(len(vocabulary), size=30)]
         for _ in range(60):
             rows.append((len(rows), " ".join(words)))
-            words = _edited(random, words, vocabulary, "characters", 2).split()  # a chain: its ends are unlike
-    monkeypatch.setattr(line_dedup, "CROWDED", 0)
+            words = _edited(random, words, vocabulary, "characters", 1).split()  # a chain: its ends are unlike
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "CELL", 16)
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     gone = _expected_lines(rows)
     found = {r.document.doc_id: r.n_dropped for r in line_dedup.deduplicated(frame).collect()}
