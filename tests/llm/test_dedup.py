@@ -165,18 +165,35 @@ def test_band_edges():
     assert all(ngram_join.band_of(np.array([s * 5 // 4]), (80, 100))[0] <= b + 1 for s, b in zip(sizes, bands, strict=True))
 
 
-@settings(deadline=None)
-@for_all(st.text(alphabet="abc", max_size=12), st.text(alphabet="abc", max_size=12))
-def test_edit_distance(a, b):
+def _edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
         new = [i + 1]
         for j, y in enumerate(b):
             new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
         row = new
-    assert line_dedup.edit_distance(a, b) == row[-1]
+    return row[-1]
+
+
+@settings(deadline=None, max_examples=300)
+@for_all(st.text(alphabet="abc", max_size=14), st.text(alphabet="abc", max_size=14))
+def test_edit_distance(a, b):
+    distance = _edit_distance(a, b)
+    assert [line_dedup.within(a, b, k) for k in range(16)] == [distance <= k for k in range(16)]
     for similar in (0.5, 0.8, 0.9):
-        assert line_dedup.alike(a, b, similar) == (row[-1] <= (1 - similar) * max(len(a), len(b)) + 1e-9)
+        assert line_dedup.alike(a, b, similar) == (distance <= (1 - similar) * max(len(a), len(b)) + 1e-9)
+
+
+def test_edit_distance_of_long_lines():
+    random = np.random.default_rng(4)
+    vocabulary = _vocabulary(random)
+    for n in (20, 60):
+        words = [vocabulary[i] for i in random.integers(len(vocabulary), size=n)]
+        for budget in (0, 1, 3, 9):
+            for kind in ("words", "characters"):
+                copy = _edited(random, words, vocabulary, kind, budget)
+                distance = _edit_distance(" ".join(words), copy)
+                assert [line_dedup.within(" ".join(words), copy, k) for k in range(12)] == [distance <= k for k in range(12)]
 
 
 def _simhash(line: bytes):
@@ -315,7 +332,7 @@ def _edited(random, words, vocabulary, kind, budget):
         out, used = list(words), 0
         for i in random.permutation(len(words)):
             new = vocabulary[random.integers(len(vocabulary))]
-            cost = line_dedup.edit_distance(out[i], new)
+            cost = _edit_distance(out[i], new)
             if used + cost <= budget:
                 out[i], used = new, used + cost
         return " ".join(out)
