@@ -7,14 +7,15 @@ symmetric difference of the sets. With a Jaccard similarity of p/q that differen
 similar sets at least one block is untouched, and its parity (an XOR of 64-bit element hashes, a parity sketch as wide
 as its hash) is the join key. Two similar sets share as many keys as a set has more blocks than can differ, so a set
 that shares fewer with all others together is out at once. A block without elements is no key as long as a document has more other blocks
-than can differ. Candidates must pass the Hamming bound of 1024-bit sketches and are verified on whole sets.
+than can differ. Small sets, whose blocks are often empty, meet by the elements of least hash instead, one more than may
+be missing in a similar set: no key is common to unrelated sets. Candidates must pass the Hamming bound of 1024-bit sketches and are verified on whole sets.
 
 Sizes: a pair meets in the band of its larger set; a set stands in its own band and the next, as bands are
 a factor q/p wide. Equal sets are one class from the beginning.
 
 Defined cases: a null text or one without words has the empty set, which links with nothing; equal rows are one class;
-rows with a null doc_id take part with the class but are nobody's representative unless alone (then their component is
-null); no rows in, no rows out. Only doc_id and text are read.
+rows with a null doc_id take part like others and are linked through; the smallest doc_id that is not null names
+a component, and one without any has none; no rows in, no rows out. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,12 @@ SHINGLE = 5
 SIMILAR = (80, 100)
 # Longs of the sketch behind the Hamming bound.
 SKETCH = 16
+# Sets of up to so many elements meet by elements, larger ones by blocks; those of either side that may be similar do both.
+SMALL = 100
+# Bytes of text handled at once.
+TEXT_BLOCK = 1 << 20
 _SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("need", pa.int64()), *((f"s{i}", pa.int64()) for i in range(SKETCH))]
+    [("doc_id", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("need", pa.int64()), *((f"s{i}", pa.int64()) for i in range(SKETCH))]
 )
 
 
@@ -122,13 +127,14 @@ def _band_edges(similar: tuple[int, int]) -> dict[int, int]:
 
 
 def signatures(documents: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(key, id): the blocks of every set, in its own band and the next."""
+    """(key, id): the blocks of every set, in its own band and the next; of small sets the elements of least hash."""
+    p, q = similar
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
     edges = _band_edges(similar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in blocks(b):
+            for part in blocks(b, limit=TEXT_BLOCK):
                 values, first = shingle_sets(part.column("text"), shingle)
                 sizes, ids = np.diff(first), _class_of(values, first)
                 _, alone = np.unique(ids, return_index=True)
@@ -138,7 +144,11 @@ def signatures(documents: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
                 keys, owners = [], []
                 for i in alone:
                     own = slice(first[i], first[i + 1])
-                    for band in (bands[i], bands[i] + 1):
+                    if sizes[i] * p <= SMALL * q:  # the elements are in order
+                        least = mix(values[own][: sizes[i] - (sizes[i] * p + q - 1) // q + 1])
+                        keys.append(least)
+                        owners.append(np.full(len(least), ids[i]))
+                    for band in (bands[i], bands[i] + 1) if sizes[i] > SMALL else ():
                         at, blocks_, differ = _blocks(values[own], spread[own], band, edges[band], similar)
                         parity = np.zeros(blocks_, dtype=np.uint64)
                         np.bitwise_xor.at(parity, at, values[own])
@@ -156,9 +166,9 @@ def signatures(documents: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
 
 def keys_needed(values: np.ndarray, first: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
     """How many keys every set has at least in common with a similar one: its keys less the blocks that can differ."""
-    edges, sizes = _band_edges(similar), np.diff(first)
+    edges, sizes, (p, q) = _band_edges(similar), np.diff(first), similar
     bands, spread, out = band_of(sizes, similar), _spread(values), np.ones(len(sizes), dtype=np.int64)
-    for i in np.flatnonzero(sizes > 1):
+    for i in np.flatnonzero(sizes * p > SMALL * q):
         own, least = slice(first[i], first[i + 1]), []
         for band in (bands[i], bands[i] + 1):
             at, blocks_, differ = _blocks(values[own], spread[own], band, edges[band], similar)
@@ -171,36 +181,36 @@ def keys_needed(values: np.ndarray, first: np.ndarray, similar: tuple[int, int])
 
 
 def classes(documents: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(doc_id, n, id, need, s0..s15): size, class, keys needed and sketch of every document's set."""
+    """(doc_id, row_id, n, id, need, s0..s15): row_id is xxhash64(doc_id, text); size, class, keys needed and sketch of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in blocks(b):
+            for part in blocks(b, limit=TEXT_BLOCK):
                 values, first = shingle_sets(part.column("text"), shingle)
                 longs = signed(_sketch(values, first)).T
                 need = keys_needed(values, first, similar)
-                yield batch(_SETS, part.column("doc_id"), np.diff(first), _class_of(values, first), need, *longs)
+                yield batch(_SETS, part.column("doc_id"), part.column("row_id"), np.diff(first), _class_of(values, first), need, *longs)
 
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_id"), "text")
     longs = ", ".join(f"s{i} bigint" for i in range(SKETCH))
-    return rows.mapInArrow(run, f"doc_id bigint, n bigint, id bigint, need bigint, {longs}")
+    return rows.mapInArrow(run, f"doc_id bigint, row_id bigint, n bigint, id bigint, need bigint, {longs}")
 
 
 def verified(pairs: DataFrame, representatives: DataFrame, documents: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
     """The pairs of classes (a, b) whose whole sets are similar."""
     p, q = similar
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(representatives, "id"))
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        small_side(needed), "doc_id"
+    texts = documents.select(F.xxhash64("doc_id", "text").alias("row_id"), "text").join(
+        small_side(needed), "row_id"
     ).select("id", "text")
 
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("elements", pa.binary())])
         for b in batches:
-            for part in blocks(b):
+            for part in blocks(b, limit=TEXT_BLOCK):
                 values, first = shingle_sets(part.column("text"), shingle)
                 ids, own = part.column("id").to_numpy(), _class_of(values, first)
-                # of rows that share a doc_id only those of the class count
+                # of rows that share a hash only those of the class count
                 keep = np.flatnonzero(ids == own)
                 yield batch(schema, ids[keep], [values[first[i] : first[i + 1]].tobytes() for i in keep])
 
@@ -228,14 +238,16 @@ def verified(pairs: DataFrame, representatives: DataFrame, documents: DataFrame,
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id): one row per document."""
+    """(doc_id, row_id, n_shingles, component_id, group_id): one row per document; group_id tells components without any
+    doc_id apart too, and is null for empty sets."""
     p, q = similar
     found = stored(classes(documents, shingle, similar), text=True)
-    kept = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("id")
     longs = [F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)]
-    unique = stored(kept.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("need").alias("need"), *longs))
-    representatives = unique.select("id", "doc_id")
-    sketches = unique.drop("doc_id", "need")
+    unique = stored(found.filter("n > 0").groupBy("id").agg(
+        F.min("doc_id").alias("doc_id"), F.min("row_id").alias("row_id"), F.first("n").alias("n"), F.first("need").alias("need"), *longs
+    ))
+    representatives = unique.select("id", "row_id")
+    sketches = unique.drop("doc_id", "row_id", "need")
 
     def possible(a, b):
         apart = F.lit(0)
@@ -245,15 +257,17 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, similar: tuple
         return ((p + q) * apart <= (q - p) * sizes) & (q * F.least(a("n"), b("n")) >= p * F.greatest(a("n"), b("n")))
 
     groups = connected(
-        signatures(documents.filter("doc_id IS NOT NULL"), shingle, similar), sketches, possible,
+        signatures(documents, shingle, similar), sketches, possible,
         lambda pairs: verified(pairs, representatives, documents, shingle, similar), need=unique.select("id", "need"),
     )
+    named = stored(unique.select("id", "doc_id").join(groups, "id", "left").select(
+        F.col("id").alias("class_id"), "doc_id", F.coalesce("component", "id").alias("group_id")
+    ))
     # the smallest doc_id of a component stands for it
-    named = groups.join(representatives, "id")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = representatives.join(named.select("id", "component").join(least, "component").select("id", "component_id"), "id", "left")
-    of_class = stored(of_class.select(F.col("id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    rows = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("id")).alias("class_id"))
+    least = named.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    of_class = stored(named.select("class_id", "group_id").join(least, "group_id"))
+    rows = found.select("doc_id", "row_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("id")).alias("class_id"))
     return rows.join(of_class, "class_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id"
-    )
+        "doc_id", "row_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "group_id",
+    )

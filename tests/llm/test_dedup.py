@@ -144,14 +144,22 @@ def test_ngram_join(spark, docs, texts, nothing):
     frame = docs.select("doc_id", "text", "id", "n").unionByName(
         spark.createDataFrame([(*r, 1, 1) for r in extra], "doc_id bigint, text string, id bigint, n bigint")
     )
-    rows = [r for r in texts if r[0] is not None] + extra
+    # links that run through rows without a doc_id, and a group of such rows alone
+    words = [f"n{i}" for i in range(110)]
+    chain = [" ".join(words[:a] + [f"x{i}" for i in range(b)] + words[a + b:]) for a, b in ((0, 0), (10, 8), (10, 16), (10, 24))]
+    extra += [(25_000, chain[0]), (None, chain[1]), (25_001, chain[2]), (None, chain[3]), (None, "alone " * 7), (None, "alone " * 7 + "too")]
+    frame = frame.filter("doc_id < 20000 OR doc_id IS NULL").unionByName(
+        spark.createDataFrame([(*r, 1, 1) for r in extra], "doc_id bigint, text string, id bigint, n bigint")
+    )
+    rows = texts + extra
     sets, groups = _expected_groups(rows)
     least = defaultdict(lambda: 1 << 62)
     for i, (doc_id, _) in enumerate(rows):
-        least[groups.root(i)] = min(least[groups.root(i)], doc_id)
-    expected = Counter((d, len(sets[i]), least[groups.root(i)]) for i, (d, _) in enumerate(rows))
+        if doc_id is not None:
+            least[groups.root(i)] = min(least[groups.root(i)], doc_id)
+    expected = Counter((d, len(sets[i]), least.get(groups.root(i))) for i, (d, _) in enumerate(rows))
     found = ngram_join.near_duplicates(frame).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found if r.doc_id is not None) == expected
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == expected
     assert len(found) == len(texts) + len(extra)
     assert ngram_join.near_duplicates(nothing).count() == 0
 
