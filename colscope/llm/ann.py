@@ -11,8 +11,9 @@ Skew: equal vectors are folded to one row with their smallest ids (k + 1 of them
 k); lists are dealt into shards of bounded size, a large list into several.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those
-whose length differs from the most frequent one; equal ids are separate rows (a query never meets rows of its own
-id); fewer candidates than k: all are returned; no rows in, no rows out. Only the id and the vector are read.
+whose length differs from the most frequent one; rows of one id are queries of their own, ranked apart, if their vectors
+differ, and one query if they are equal; a query never meets rows of its own id, and an id with one vector is one
+candidate, however many rows it has; fewer candidates than k: all are returned; no rows in, no rows out. Only the id and the vector are read.
 """
 
 from __future__ import annotations
@@ -145,11 +146,11 @@ def nearest(
     same = rows.select("id", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(5), "v").alias("h2"))
     first = Window.partitionBy("h", "h2", "salt").orderBy("id")
     some = same.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    some = some.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
-    some = some.groupBy("h", "h2", "salt").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids"))
+    some = some.withColumn("r", F.dense_rank().over(first)).filter(F.col("r") <= k + 1)
+    some = some.groupBy("h", "h2", "salt").agg(F.first("v").alias("v"), F.collect_set("id").alias("ids"))
     points = stored(
         some.groupBy("h", "h2")
-        .agg(F.first("v").alias("v"), F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+        .agg(F.first("v").alias("v"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
         .select("v", "ids")
     )
     n = points.count()
@@ -193,7 +194,7 @@ def nearest(
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [("shard", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("lists", pa.list_(pa.int64()))]
+            [("shard", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("number", pa.int64()), ("lists", pa.list_(pa.int64()))]
         )
         for b in batches:
             for at in range(0, b.num_rows, 1024):
@@ -209,26 +210,28 @@ def nearest(
                     shards += by_shard
                     wanted += by_shard.values()
                 sub = piece.take(pa.array(take, type=pa.int64()))
-                yield batch(schema, shards, sub.column(0), sub.column(1).cast(pa.list_(pa.float64())), wanted)
+                yield batch(schema, shards, sub.column(0), sub.column(1).cast(pa.list_(pa.float64())), sub.column(2), wanted)
 
-    queries = rows.filter(query_filter).mapInArrow(spread, f"shard bigint, id bigint, {width}, lists array<bigint>")
+    asked_rows = stored(rows.filter(query_filter).select("id", "v", F.xxhash64("id", "v").alias("number")).dropDuplicates(["number"]))
+    queries = asked_rows.mapInArrow(spread, f"shard bigint, id bigint, {width}, number bigint, lists array<bigint>")
     # a shard's queries come in groups of bounded size, each meeting the shard's vectors
-    expected = max(1, -(-rows.filter(query_filter).count() // QUERIES))
-    group = F.pmod(F.xxhash64("id"), F.lit(expected))
+    expected = max(1, -(-asked_rows.count() // QUERIES))
+    group = F.pmod(F.xxhash64("number"), F.lit(expected))
     queries = queries.withColumn("part", group)
     data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(expected - 1)))) if expected > 1 else data.withColumn("part", F.lit(0))
-    found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    found_schema = pa.schema([("number", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return found_schema.empty_table()
         asked, wanted = left.column("id").to_numpy(), left.column("lists").to_pylist()
+        numbers = left.column("number").to_numpy()
         q0, x0 = matrix(left.column("v").combine_chunks()), matrix(right.column("v").combine_chunks())
         q, x = space.questions(q0), column_blocks(space.points(x0))
         ids, of = right.column("ids").to_pylist(), right.column("list").to_numpy()
         order = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(lists + 1))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         for i in range(len(asked)):
             rows = np.concatenate([order[cuts[c] : cuts[c + 1]] for c in wanted[i]])
             if not len(rows):
@@ -240,15 +243,15 @@ def nearest(
             pairs = [(s, j) for s, r in zip((x0[best] * q0[i]).sum(1).tolist(), best.tolist(), strict=True) for j in ids[r] if j != asked[i]]
             pairs.sort(key=lambda p: (-p[0], p[1]))
             pairs = pairs[:k]
-            out.append((np.full(len(pairs), asked[i]), np.array([p[1] for p in pairs], int), np.array([p[0] for p in pairs])))
+            out.append((np.full(len(pairs), numbers[i]), np.full(len(pairs), asked[i]), np.array([p[1] for p in pairs], int), np.array([p[0] for p in pairs])))
         if not out:
             return found_schema.empty_table()
         return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=found_schema)
 
     found = queries.groupBy("shard", "part").cogroup(data.groupBy("shard", "part")).applyInArrow(
-        search, "query_id bigint, vec_id bigint, score double"
+        search, "number bigint, query_id bigint, vec_id bigint, score double"
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colscope.llm import (
@@ -32,14 +32,29 @@ def op5_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+# Characters of a streamed delta; bits of a place in a turn's log, and of the rows of a turn.
+DELTA, _STEPS, _ROWS = 1024, 14, 24
+
+
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given conversations and conversation -7 as an event log; assistant texts arrive as streamed deltas."""
+    """The given conversations and conversation -7 as the log that would have led to them: assistants begin with a draft, are
+    asked again and stream their text in deltas; others say something first and edit it."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return rows.unionByName(extra).select(
-        "conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text"
-    )
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    rows = rows.unionByName(extra).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("nth", nth)
+
+    def event(step, kind: str, text) -> Column:
+        return F.struct(step.cast("bigint").alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length("text") / DELTA).cast("int") - 1, F.lit(0)))
+    deltas = F.transform(pieces, lambda i: event(i + 2, "delta", F.col("text").substr(i * DELTA + 1, F.lit(DELTA))))
+    draft = F.array(event(F.lit(0), "message", F.lit("a draft")), event(F.lit(1), "regenerate", F.lit("")))
+    first = F.array(event(F.lit(0), "message", F.reverse("text")), event(F.lit(1), "edit", F.col("text")))
+    log = rows.select("conv_id", "turn", "role", "nth", F.explode(F.when(F.col("role") == "assistant", F.concat(draft, deltas)).otherwise(first)).alias("e"))
+    place = F.coalesce("turn", F.lit(-1)).cast("bigint") * (1 << (_STEPS + _ROWS)) + F.col("nth") * (1 << _STEPS) + F.col("e.step")
+    return log.select("conv_id", "turn", place.alias("seq"), "e.kind", "role", "e.text")
 
 
 def op6_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

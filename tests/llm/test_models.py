@@ -79,6 +79,8 @@ def vectors(spark):
     rows += [(5000 + i, [0.5] * 24) for i in range(900)]  # a hot vector
     rows += [(7000, None), (7001, [0.0] * 24), (7002, [float("nan")] * 24), (7003, [float("inf")] + [1.0] * 23),
              (7004, [1.0] * 3), (7005, [None] + [1.0] * 23), (7006, []), (None, [1.0] * 24), (20, [2.0] * 24)]
+    again = next(r for r in rows if r[0] == 40)
+    rows += [again] * 30  # one row many times over, as a query and as a candidate
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("id", F.lit(1)).withColumn("v", F.lit("x"))
 
 
@@ -91,17 +93,24 @@ def test_nearest(vectors):
     for r in found:
         by_query.setdefault(r.query_id, []).append(r)
     assert by_query.keys() == {int(i) for i in ids if i % 20 == 0}
+    x, at = np.unique(np.column_stack([ids, x]), axis=0, return_index=True)  # equal rows are one
+    ids, x = ids[at], x[:, 1:]
     hits = total = 0
     for q, got in by_query.items():
-        if q == 20:
-            continue  # two rows ask under this id
-        scores = x @ x[np.flatnonzero(ids == q)[0]]
-        order = [j for j in np.lexsort((ids, -np.round(scores, 9))) if ids[j] != q][:20]
-        assert [r.rank for r in got] == list(range(1, 21))
-        assert all(any(math.isclose(r.score, s, rel_tol=1e-9, abs_tol=1e-9) for s in scores[ids == r.vec_id]) for r in got)
-        assert [(-r.score, r.vec_id) for r in got] == sorted((-r.score, r.vec_id) for r in got)
-        hits += len({r.vec_id for r in got} & {int(ids[j]) for j in order})
-        total += 20
+        own = np.flatnonzero(ids == q)
+        assert Counter(r.rank for r in got) == Counter(list(range(1, 21)) * len(own))
+        asked = Counter()
+        for i in own:
+            scores = x @ x[i]
+            order = [j for j in np.lexsort((ids, -np.round(scores, 9))) if ids[j] != q][:20]
+            asked.update((int(ids[j]), round(float(scores[j]), 6)) for j in order)
+        answered = Counter((r.vec_id, round(r.score, 6)) for r in got)
+        assert all(any(math.isclose(r.score, float(x[j] @ x[i]), rel_tol=1e-9, abs_tol=1e-9) for i in own for j in np.flatnonzero(ids == r.vec_id)) for r in got)
+        if len(own) == 1:
+            assert [(-r.score, r.vec_id) for r in got] == sorted((-r.score, r.vec_id) for r in got)
+            assert len(answered) == 20
+        hits += (asked & answered).total()
+        total += 20 * len(own)
     assert hits / total >= 0.9
 
 
