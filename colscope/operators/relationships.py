@@ -177,8 +177,12 @@ def schema_differences(catalog: DataFrame) -> DataFrame:
     ``copies`` tell how many files a side stands for; ``shape_members`` lists them. Columns whose type
     differs do not count as matching.
     """
-    found = shapes_of(catalog)
-    differences = differences_of(shape_pairs(found.shapes))
+    return difference_rows(shape_pairs(shapes_of(catalog).shapes))
+
+
+def difference_rows(pairs: DataFrame) -> DataFrame:
+    """The differences of pairs of shapes: rep1, rep2, copies1, copies2, columns1, columns2."""
+    differences = differences_of(pairs)
     matching = F.size("common") - F.size("mismatches")
     return _flat(
         differences,

@@ -7,12 +7,15 @@ depends only on its name and on where the first leader like it stands.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions import names as N
 from colscope.operators import greedy, similarity
 from colscope.operators.catalog import FILE
+from colscope.operators.dense import DenseVectors
 from colscope.operators.joins import posting_pairs
 from colscope.operators.relationships import (
     differences_of,
@@ -21,7 +24,7 @@ from colscope.operators.relationships import (
     names_of,
     without_names,
 )
-from colscope.operators.shapes import Shapes, in_file_order, ordered_shape_pairs, second_file, shapes_of
+from colscope.operators.shapes import Shapes, in_file_order, ordered_shape_pairs, second_file, shapes_of, with_columns
 from colscope.session import cut_lineage, skew_join
 
 GROUP_THRESHOLD = 0.7
@@ -34,24 +37,26 @@ ABBREVIATION_GAP = 3
 _SLACK = 1e-9
 
 
-def _position() -> Column:
+def position() -> Column:
     """Where a column stands in the catalog: by file, then by name."""
     return F.struct("file_name", "file_path", "column_name")
 
 
-def concepts_of_names(texts: DataFrame, name: str, threshold: float = GROUP_THRESHOLD) -> DataFrame:
+def concepts_of_names(
+    texts: DataFrame, name: str, threshold: float = GROUP_THRESHOLD, dense: DenseVectors | None = None
+) -> DataFrame:
     """concept, ``name``, similarity: the best similarity over the terms of each concept a name reaches."""
     terms = similarity.terms_frame(texts.sparkSession, N.CONCEPT_TERMS)
     return (
-        similarity.term_matches(texts, name, terms, threshold, fixed=True)
+        similarity.term_matches(texts, name, terms, threshold, fixed=True, dense=dense)
         .groupBy("concept", name)
         .agg(F.max("similarity").alias("similarity"))
     )
 
 
-def concept_groups(catalog: DataFrame, threshold: float = GROUP_THRESHOLD) -> DataFrame:
+def concept_groups(catalog: DataFrame, threshold: float = GROUP_THRESHOLD, dense: DenseVectors | None = None) -> DataFrame:
     """Columns of each concept, best first; a column may belong to several."""
-    concepts = concepts_of_names(catalog, "column_name", threshold)
+    concepts = concepts_of_names(catalog, "column_name", threshold, dense)
     return (
         skew_join(catalog.select(*FILE, "column_name"), concepts, "column_name")
         .select("concept", *FILE, "column_name", "similarity")
@@ -59,11 +64,13 @@ def concept_groups(catalog: DataFrame, threshold: float = GROUP_THRESHOLD) -> Da
     )
 
 
-def classify_names(texts: DataFrame, name: str, threshold: float = CLASS_THRESHOLD) -> DataFrame:
+def classify_names(
+    texts: DataFrame, name: str, threshold: float = CLASS_THRESHOLD, dense: DenseVectors | None = None
+) -> DataFrame:
     """``name``, concept: the concept of the most similar phrase, or ``other`` below the threshold."""
     terms = similarity.terms_frame(texts.sparkSession, N.CONCEPT_TEMPLATES)
     best = (
-        similarity.term_matches(texts, name, terms, max(threshold, CLASS_FLOOR), fixed=True)
+        similarity.term_matches(texts, name, terms, max(threshold, CLASS_FLOOR), fixed=True, dense=dense)
         .groupBy(name)
         .agg(F.min_by("concept", F.struct(-F.col("similarity"), "concept_order")).alias("concept"))
     )
@@ -75,10 +82,10 @@ def classify_names(texts: DataFrame, name: str, threshold: float = CLASS_THRESHO
     )
 
 
-def concept_evolution(catalog: DataFrame, threshold: float = GROUP_THRESHOLD) -> DataFrame:
+def concept_evolution(catalog: DataFrame, threshold: float = GROUP_THRESHOLD, dense: DenseVectors | None = None) -> DataFrame:
     """Concepts found in several files: one row per (concept, file) with the column names there, best first."""
     per_file = (
-        concept_groups(catalog, threshold)
+        concept_groups(catalog, threshold, dense)
         .groupBy("concept", *FILE)
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "column_name"))).alias("found"))
     )
@@ -95,9 +102,9 @@ def concept_evolution(catalog: DataFrame, threshold: float = GROUP_THRESHOLD) ->
     )
 
 
-def _types_of_concepts(catalog: DataFrame, threshold: float) -> DataFrame:
+def _types_of_concepts(catalog: DataFrame, threshold: float, dense: DenseVectors | None) -> DataFrame:
     """concept, type, columns: how many columns of a concept have a type. ``other`` is no concept."""
-    names = classify_names(catalog, "column_name", threshold).filter(F.col("concept") != N.OTHER)
+    names = classify_names(catalog, "column_name", threshold, dense).filter(F.col("concept") != N.OTHER)
     return (
         catalog.groupBy("column_name", "data_type")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -107,13 +114,13 @@ def _types_of_concepts(catalog: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def concept_types(catalog: DataFrame, threshold: float = CLASS_THRESHOLD) -> DataFrame:
+def concept_types(catalog: DataFrame, threshold: float = CLASS_THRESHOLD, dense: DenseVectors | None = None) -> DataFrame:
     """Concepts whose columns have several types: the types, the number of columns, the type to settle on.
 
     The most frequent type is suggested; among equals the first by name.
     """
     return (
-        _types_of_concepts(catalog, threshold)
+        _types_of_concepts(catalog, threshold, dense)
         .groupBy("concept")
         .agg(
             F.sum("columns").alias("columns"),
@@ -126,10 +133,10 @@ def concept_types(catalog: DataFrame, threshold: float = CLASS_THRESHOLD) -> Dat
     )
 
 
-def concept_type_columns(catalog: DataFrame, threshold: float = CLASS_THRESHOLD) -> DataFrame:
+def concept_type_columns(catalog: DataFrame, threshold: float = CLASS_THRESHOLD, dense: DenseVectors | None = None) -> DataFrame:
     """The columns behind ``concept_types``, one row each."""
-    mixed = concept_types(catalog, threshold).select("concept")
-    names = classify_names(catalog, "column_name", threshold).join(F.broadcast(mixed), "concept", "left_semi")
+    mixed = concept_types(catalog, threshold, dense).select("concept")
+    names = classify_names(catalog, "column_name", threshold, dense).join(F.broadcast(mixed), "concept", "left_semi")
     return skew_join(catalog.select(*FILE, "column_name", "data_type"), names, "column_name")
 
 
@@ -184,11 +191,11 @@ def _shape_scores(found: Shapes, pairs: DataFrame, threshold: float) -> DataFram
 
 
 def _scored_files(
-    catalog: DataFrame, threshold: float, enrich: str, per_file: bool
+    catalog: DataFrame, threshold: float, enrich: str, per_file: bool, dense: DenseVectors | None
 ) -> DataFrame:
     """file1, file2, copies1, copies2, similarity, matches, in file order."""
     found = shapes_of(catalog, with_types=False)
-    pairs = cut_lineage(similarity.name_pairs(catalog, "column_name", threshold, enrich))
+    pairs = cut_lineage(similarity.name_pairs(catalog, "column_name", threshold, enrich, dense))
     scores = _shape_scores(found, pairs, threshold)
     if per_file:
         members = cut_lineage(found.members())
@@ -228,6 +235,7 @@ def semantic_schema_pairs(
     threshold: float = SCHEMA_THRESHOLD,
     enrich: str = similarity.TARGET,
     per_file: bool = False,
+    dense: DenseVectors | None = None,
 ) -> DataFrame:
     """Pairs of files of similar meaning: mean over the first file's columns of the best match in the second.
 
@@ -236,20 +244,20 @@ def semantic_schema_pairs(
     order in which their files occur, and an item of several files one with itself. ``per_file`` states every pair.
     """
     return (
-        _scored_files(catalog, threshold, enrich, per_file)
+        _scored_files(catalog, threshold, enrich, per_file, dense)
         .select(*_file_columns("copies1", "copies2", "similarity"))
         .orderBy(F.desc("similarity"), "file1", "path1", "file2", "path2")
     )
 
 
 def matching_concepts(
-    catalog: DataFrame, threshold: float = SCHEMA_THRESHOLD, enrich: str = similarity.TARGET
+    catalog: DataFrame, threshold: float = SCHEMA_THRESHOLD, enrich: str = similarity.TARGET, dense: DenseVectors | None = None
 ) -> DataFrame:
     """The best partner of each column in the pairs of ``semantic_schema_pairs``, and the column's concept."""
-    matches = _scored_files(catalog, threshold, enrich, per_file=False).select(
+    matches = _scored_files(catalog, threshold, enrich, False, dense).select(
         *_file_columns(F.explode("matches").alias("m"))
     )
-    concepts = classify_names(catalog, "column_name").withColumnRenamed("column_name", "column1")
+    concepts = classify_names(catalog, "column_name", dense=dense).withColumnRenamed("column_name", "column1")
     return (
         matches.select(
             "file1",
@@ -317,11 +325,11 @@ def name_groups(
 
 
 def _first_positions(catalog: DataFrame) -> DataFrame:
-    return catalog.groupBy(F.col("column_name").alias("name")).agg(F.min(_position()).alias("first"))
+    return catalog.groupBy(F.col("column_name").alias("name")).agg(F.min(position()).alias("first"))
 
 
-def _leading_columns(catalog: DataFrame, edges: DataFrame) -> DataFrame:
-    """name1, position of the columns that lead a greedy walk over all columns, decided per name.
+def leading_names(catalog: DataFrame, edges: DataFrame) -> DataFrame:
+    """name1, first1, claimed_at of the names with columns that lead a greedy walk over all columns.
 
     ``edges`` (name1, name2, similarity): a leader called name1 claims later columns called name2. The first column of
     a name leads iff no leading name before it claims the name; if it does, so does every further column of
@@ -339,22 +347,26 @@ def _leading_columns(catalog: DataFrame, edges: DataFrame) -> DataFrame:
         .groupBy(F.col("name2").alias("name1"))
         .agg(F.min("first1").alias("claimed_at"))
     )
-    until = leaders.join(claims, "name1", "left")
-    columns = catalog.select(F.col("column_name").alias("name1"), _position().alias("position"))
+    return leaders.join(claims, "name1", "left")
+
+
+def _leading_columns(catalog: DataFrame, edges: DataFrame) -> DataFrame:
+    """name1, position of the columns that lead."""
+    columns = catalog.select(F.col("column_name").alias("name1"), position().alias("position"))
     # A column at the claiming position is the claimant itself; what comes after it is claimed.
-    leading = skew_join(columns, until, "name1").filter(
+    leading = skew_join(columns, leading_names(catalog, edges), "name1").filter(
         F.col("claimed_at").isNull() | (F.col("position") <= F.col("claimed_at"))
     )
     return leading.select("name1", "position")
 
 
 def naming_inconsistency_members(
-    catalog: DataFrame, threshold: float = NAMING_THRESHOLD, enrich: str = similarity.TARGET
+    catalog: DataFrame, threshold: float = NAMING_THRESHOLD, enrich: str = similarity.TARGET, dense: DenseVectors | None = None
 ) -> DataFrame:
     """Greedy groups of like columns: leader (position), member (position), similarity; the leader included."""
-    edges = cut_lineage(similarity.name_pairs(catalog, "column_name", threshold, enrich))
+    edges = cut_lineage(similarity.name_pairs(catalog, "column_name", threshold, enrich, dense))
     leading = _leading_columns(catalog, edges)
-    columns = catalog.select(F.col("column_name").alias("name2"), _position().alias("member"))
+    columns = catalog.select(F.col("column_name").alias("name2"), position().alias("member"))
     led = cut_lineage(edges.join(leading, "name1"))
     followers = posting_pairs(columns, led, "name2", F.col("position") < F.col("member")).select(
         F.col("position").alias("leader"), "member", "similarity"
@@ -366,18 +378,18 @@ def naming_inconsistency_members(
 
 
 def naming_inconsistencies(
-    catalog: DataFrame, threshold: float = NAMING_THRESHOLD, enrich: str = similarity.TARGET
+    catalog: DataFrame, threshold: float = NAMING_THRESHOLD, enrich: str = similarity.TARGET, dense: DenseVectors | None = None
 ) -> DataFrame:
     """Groups of like columns whose names mix styles or all differ, most similar first.
 
     One row per group with its leader, concept, average similarity and suggested name; the columns of the groups are
     ``naming_inconsistency_members``.
     """
-    members = naming_inconsistency_members(catalog, threshold, enrich)
+    members = naming_inconsistency_members(catalog, threshold, enrich, dense)
     named = members.select("leader", F.col("member.column_name").alias("name"), "member", "similarity")
     groups = name_groups(named, ["leader"], "name", F.struct(-F.coalesce("similarity", F.lit(2.0)), "member"))
     averages = named.groupBy("leader").agg(F.round(F.avg("similarity"), similarity.DIGITS).alias("avg_similarity"))
-    concepts = classify_names(catalog, "column_name")
+    concepts = classify_names(catalog, "column_name", dense=dense)
     return (
         groups.filter("inconsistent")
         .join(averages, "leader")
@@ -399,15 +411,15 @@ def naming_inconsistencies(
 
 
 def abbreviations(
-    catalog: DataFrame, threshold: float = NAMING_THRESHOLD, enrich: str = similarity.TARGET
+    catalog: DataFrame, threshold: float = NAMING_THRESHOLD, enrich: str = similarity.TARGET, dense: DenseVectors | None = None
 ) -> DataFrame:
     """Like columns whose names differ in length by three or more: the short and the long name and their files."""
     gap = F.abs(F.length("name1") - F.length("name2"))
     edges = cut_lineage(
-        similarity.name_pairs(catalog, "column_name", threshold, enrich).filter(gap >= ABBREVIATION_GAP)
+        similarity.name_pairs(catalog, "column_name", threshold, enrich, dense).filter(gap >= ABBREVIATION_GAP)
     )
     leading = _leading_columns(catalog, edges)
-    columns = catalog.select(F.col("column_name").alias("name2"), _position().alias("member"))
+    columns = catalog.select(F.col("column_name").alias("name2"), position().alias("member"))
     led = cut_lineage(edges.join(leading, "name1"))
     found = posting_pairs(columns, led, "name2", F.lit(True))
     first_is_short = F.length("name1") < F.length("name2")
@@ -454,18 +466,26 @@ def _match_one_to_one(edges: str) -> Column:
 
 
 def semantic_differences(
-    catalog: DataFrame, threshold: float = DIFFERENCE_THRESHOLD, enrich: str = similarity.TARGET
-) -> DataFrame:
+    catalog: DataFrame, threshold: float = DIFFERENCE_THRESHOLD, enrich: str = similarity.TARGET,
+    dense: DenseVectors | None = None, near: Callable[[Shapes], DataFrame] | None = None,
+) -> DataFrame:
     """Differences of the pairs of distinct schemas that share a column or a meaning, with unmatched columns paired.
 
     Nothing is said of schemas with nothing in common. The pairing starts from the first file, so schemas whose files occur in both orders have a row for each.
 
     In name order, each column only in the first file takes the most similar free column only in the second.
     What remains on either side may be missing on the other. Columns of differing type count as matching here.
+    ``near`` chooses the pairs (rep1, rep2) of shapes to speak of, such as ``nearest.near_pairs``.
     """
     found = shapes_of(catalog)
-    similar = cut_lineage(similarity.name_pairs(catalog, "column_name", threshold, enrich))
-    pairs = cut_lineage(differences_of(ordered_shape_pairs(found.shapes, similar)))
+    similar = cut_lineage(similarity.name_pairs(catalog, "column_name", threshold, enrich, dense))
+    if near is None:
+        chosen = ordered_shape_pairs(found.shapes, similar)
+    else:
+        some = near(found)
+        some = some.unionByName(some.select(F.col("rep2").alias("rep1"), F.col("rep1").alias("rep2"))).distinct()
+        chosen = with_columns(cut_lineage(some), found.shapes).filter(in_file_order())
+    pairs = cut_lineage(differences_of(chosen))
     edges = (
         pairs.select("rep1", "rep2", names_of("only2").alias("names2"), F.explode(names_of("only1")).alias("name1"))
         .join(similar, "name1")

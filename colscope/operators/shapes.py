@@ -58,7 +58,8 @@ def _names(shapes: DataFrame, rep: str, name: str, *more: str) -> DataFrame:
     return shapes.select(F.col("rep").alias(rep), *more, F.explode(F.transform("columns", lambda c: c["name"])).alias(name))
 
 
-def _with_columns(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+def with_columns(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Pairs (rep1, rep2) of shapes with what is known of either side."""
     one = shapes.select(F.col("rep").alias("rep1"), F.col("columns").alias("columns1"), F.col("copies").alias("copies1"))
     two = shapes.select(
         F.col("rep").alias("rep2"), F.col("last").alias("last2"), F.col("columns").alias("columns2"), F.col("copies").alias("copies2")
@@ -70,7 +71,7 @@ def shape_pairs(shapes: DataFrame) -> DataFrame:
     """Every pair of shapes in file order that share a column name, with their columns."""
     left, right = _names(shapes, "rep1", "name"), _names(shapes, "rep2", "name")
     pairs = posting_pairs(left, right, "name", F.col("rep1") < F.col("rep2"))
-    return _with_columns(cut_lineage(pairs.select("rep1", "rep2").distinct()), shapes)
+    return with_columns(cut_lineage(pairs.select("rep1", "rep2").distinct()), shapes)
 
 
 def ordered_shape_pairs(shapes: DataFrame, similar: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def ordered_shape_pairs(shapes: DataFrame, similar: DataFrame) -> DataFrame:
     wanted = wanted.select("rep1", F.explode(F.array_union(F.array("name1"), F.coalesce("names", F.array().cast("array<string>")))).alias("name"))
     right = _names(shapes.withColumn("last2", F.col("last")), "rep2", "name", "last2")
     pairs = posting_pairs(cut_lineage(wanted.distinct()), right, "name", in_file_order() & (F.col("rep1") != F.col("rep2")))
-    return _with_columns(cut_lineage(pairs.select("rep1", "rep2").distinct()), shapes)
+    return with_columns(cut_lineage(pairs.select("rep1", "rep2").distinct()), shapes)
 
 
 def in_file_order() -> Column:

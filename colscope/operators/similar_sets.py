@@ -84,18 +84,27 @@ def _prefix_postings(sets: DataFrame, threshold: float) -> DataFrame:
 
 def _side(postings: DataFrame, number: int, bands: Column) -> DataFrame:
     """One side of the join; ``bands`` are those in which a posting meets the other side."""
-    kept = [F.col(c).alias(f"{c}{number}") for c in ("rep", "size", "prefix", "last", "position", "band")]
+    kept = [F.col(c).alias(f"{c}{number}") for c in ("rep", "size", "prefix", "last", "position", "band", "wanted")]
     return postings.withColumn("meets", F.explode(bands)).select(F.struct("code", "meets").alias("key"), *kept)
 
 
-def similar_pairs(distinct: DistinctSets, threshold: float) -> DataFrame:
-    """rep1 < rep2, size1, size2, copies1, copies2, shared, united, jaccard of the distinct sets that reach ``threshold``."""
+def similar_pairs(distinct: DistinctSets, threshold: float, wanted: DataFrame | None = None) -> DataFrame:
+    """rep1 < rep2, size1, size2, copies1, copies2, shared, united, jaccard of the distinct sets that reach ``threshold``.
+
+    ``wanted`` (rep) restricts them to pairs with at least one of these sets.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     sets = distinct.sets
     needed = (F.col("size1") + F.col("size2")) * (threshold / (1 + threshold)) - _SLACK
     band = F.floor(F.log(F.col("size")) / (math.log(1 / threshold) + _BAND_SLACK)).cast("int")
-    postings = cut_lineage(_prefix_postings(sets, threshold).withColumn("band", band))
+    postings = _prefix_postings(sets, threshold).withColumn("band", band)
+    if wanted is None:
+        postings = postings.withColumn("wanted", F.lit(True))
+    else:
+        marked = wanted.select("rep", F.lit(True).alias("wanted"))
+        postings = postings.join(marked, "rep", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    postings = cut_lineage(postings)
     # a pair meets in the band of its larger set, where the smaller one's band is the same or the one below
     left = _side(postings, 1, F.array("band"))
     right = _side(postings, 2, F.array("band", F.col("band") + 1))
@@ -105,6 +114,7 @@ def similar_pairs(distinct: DistinctSets, threshold: float) -> DataFrame:
         ((F.col("band1") > F.col("band2")) | (F.col("rep1") < F.col("rep2")))
         & (F.least("size1", "size2") >= F.greatest("size1", "size2") * threshold - _SLACK)
         & (F.least("position1", "position2") + 1 + F.least(room1, room2) >= needed)
+        & (F.col("wanted1") | F.col("wanted2"))
     )
     # All matches within the prefixes are known. The prefix that ends at the rarer element holds no further
     # shared one, so behind the last match only the remainder of that set counts.

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions import names as N
+from colscope.operators.dense import DenseVectors, dense_pairs
 from colscope.operators.joins import posting_pairs
 from colscope.session import broadcast_if_small, cut_lineage, holds_at_most, skew_join
 
@@ -72,14 +73,21 @@ def vectors(texts: DataFrame, text: Column, name: str) -> DataFrame:
 
 
 def term_matches(
-    texts: DataFrame, name: str, terms: DataFrame, threshold: float, enrich: str = TARGET, fixed: bool = False
-) -> DataFrame:
-    """Similarity of every distinct ``name`` with the terms (term, ...) of a list.
+    texts: DataFrame, name: str, terms: DataFrame, threshold: float, enrich: str = TARGET, fixed: bool = False,
+    dense: DenseVectors | None = None,
+) -> DataFrame:
+    """Similarity of every distinct ``name`` with the terms (term, ...) of a list; by the caller's vectors if there are such.
 
     A list that is ``fixed`` (a constant of the code) or counted to be short is broadcast. The distinct names
     are shuffled once, by name; grams, vectors and sums then stay in their partition.
     """
     _check(threshold)
+    if dense is not None:
+        asked = dense.of(terms, "term", "asked").select(F.col("term").alias("query_id"), F.col("vector").alias("query_vector"))
+        found = dense.of(texts, name, "found").select(F.col(name).alias("item_id"), F.col("vector").alias("item_vector"))
+        near = similar_vectors(cut_lineage(asked), found, threshold)
+        near = near.select(F.col("item_id").alias(name), F.col("query_id").alias("term"), "similarity")
+        return near.join(F.broadcast(terms) if fixed else terms, "term").select(name, *terms.columns, "similarity")
     term_vectors = vectors(terms.select("term").distinct(), N.normal_form(F.col("term")), "term")
     term_grams = term_vectors.select("term", F.inline("vector")).withColumnRenamed("weight", "term_weight")
     distinct = texts.select(name).distinct()
@@ -149,14 +157,20 @@ def _dot(left: str, right: str) -> Column:
     )
 
 
-def name_pairs(texts: DataFrame, name: str, threshold: float, enrich: str = TARGET) -> DataFrame:
+def name_pairs(
+    texts: DataFrame, name: str, threshold: float, enrich: str = TARGET, dense: DenseVectors | None = None
+) -> DataFrame:
     """name1, name2, similarity of all ordered pairs of distinct names that reach ``threshold``.
 
+    With ``dense`` the caller's vectors are compared, and ``enrich`` is the caller's affair.
+
     ``name1`` is the query, as it is; ``name2`` the target, enriched by default. A name is also compared with
     itself. Exact: the prefix of a vector is what remains when grams are dropped from the frequent end until
     their length would reach the threshold, so a pair without a common prefix gram cannot.
     """
     _check(threshold)
+    if dense is not None:
+        return dense_pairs(dense.of(texts, name, "asked"), dense.of(texts, name, "found"), name, threshold)
     distinct = texts.select(name).distinct()
     query = cut_lineage(vectors(distinct, N.normal_form(F.col(name)), name))
     target = query if enrich == NONE else cut_lineage(vectors(distinct, target_text(F.col(name), enrich), name))

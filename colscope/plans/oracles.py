@@ -263,10 +263,50 @@ def _search_rows(term: str) -> str:
     )
 
 
-def _schema_scores(threshold: float, enrich: bool = False) -> str:
+_VECTOR = "embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n"
+_COSINE = "round(list_dot_product(a.v, b.v) / (a.n * b.n), 6)"
+
+
+def _given_vectors(alias: str, texts: str) -> str:
+    """CTE ``alias`` (t, v, n): a given vector for every text ``t`` of a query."""
+    return (
+        f"{alias} AS (SELECT t, {_VECTOR} FROM ({texts}) x JOIN embeddings ON vec_id = "
+        "('0x' || substr(md5(t), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings))"
+    )
+
+
+def _dense_pairs(threshold: float) -> str:
+    """CTEs ending in ``np`` (name1, name2, similarity), by given vectors."""
+    return _given_vectors("dv", "SELECT DISTINCT column_name AS t FROM cat") + (
+        f", np AS (SELECT a.t AS name1, b.t AS name2, {_COSINE} AS similarity FROM dv a, dv b WHERE {_COSINE} >= {threshold})"
+    )
+
+
+def _dense_terms(concepts: dict[str, list[str]], threshold: float) -> str:
+    """CTEs ending in ``ts`` (name, concept, concept_order, similarity), by given vectors."""
+    return (
+        _terms(concepts)
+        + ", "
+        + _given_vectors("da", "SELECT DISTINCT column_name AS t FROM cat")
+        + ", "
+        + _given_vectors("db", "SELECT DISTINCT term AS t FROM terms")
+        + f", ts AS (SELECT a.t AS name, concept, concept_order, {_COSINE} AS similarity FROM da a, db b JOIN terms ON term = b.t "
+        f"WHERE {_COSINE} >= {threshold})"
+    )
+
+
+def _dense_classes(threshold: float) -> str:
+    """CTEs ending in ``cl`` (name, concept), by given vectors."""
+    return _dense_terms(N.CONCEPT_TEMPLATES, threshold) + (
+        ", tb AS (SELECT name, concept, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, concept_order) AS r FROM ts), "
+        "cl AS (SELECT t AS name, coalesce(concept, 'other') AS concept FROM da LEFT JOIN (SELECT * FROM tb WHERE r = 1) ON name = t)"
+    )
+
+
+def _schema_scores(threshold: float, enrich: bool = False, pairs: str | None = None) -> str:
     """CTEs ending in ``sc`` (file1, file2, similarity) and ``bm`` (their best matches)."""
     return (
-        _name_pairs(threshold, enrich)
+        (pairs or _name_pairs(threshold, enrich))
         + ", "
         + _FILE_PAIRS
         + ", cand AS (SELECT file1, file2, name1, name2, similarity, row_number() OVER (PARTITION BY file1, file2, name1 "
@@ -279,12 +319,12 @@ def _schema_scores(threshold: float, enrich: bool = False) -> str:
     )
 
 
-def _naming_members(threshold: float, enrich: bool) -> str:
+def _naming_members(threshold: float, enrich: bool, pairs: str | None = None) -> str:
     """CTEs ending in ``gm`` (lead, member, similarity): groups of like names, leaders included."""
     return (
         CAT
         + ", "
-        + _name_pairs(threshold, enrich)
+        + (pairs or _name_pairs(threshold, enrich))
         + ", "
         + _ITEMS
         + ", "
@@ -343,6 +383,67 @@ def _naming_groups(threshold: float, enrich: bool) -> str:
     )
 
 
+def _naming_names(members: str) -> str:
+    """Pairs of names out of ``gm``."""
+    return members + (
+        "SELECT l.column_name AS leader, x.column_name AS member, similarity, count(DISTINCT x.i) AS members, count(*) AS pairs, "
+        "min_by(l.file_name, l.i) AS leader_file, min_by(x.file_name, x.i) AS member_file FROM gm JOIN items l ON l.i = gm.lead "
+        "JOIN items x ON x.i = gm.member WHERE gm.lead <> gm.member GROUP BY l.column_name, x.column_name, similarity"
+    )
+
+
+def _first_groups(members: str, classes: str) -> str:
+    """Groups of the first leading column of every name."""
+    return members + (
+        ", fl AS (SELECT min(lead) AS lead FROM gm JOIN items ON i = lead GROUP BY column_name), "
+        + classes
+        + f", g AS (SELECT lead, {_name_group_columns('column_name')}, round(avg(similarity), 6) AS avg_similarity, "
+        "min_by(column_name, (length(column_name), -coalesce(similarity, 2), member)) AS shortest "
+        "FROM gm SEMI JOIN fl USING (lead) JOIN items ON i = member GROUP BY lead) "
+        "SELECT column_name AS leader, file_name, concept, members, distinct_names, "
+        f"{_STYLE_LIST} AS styles, avg_similarity, {_SUGGESTION} AS suggestion "
+        f"FROM g JOIN items ON i = lead JOIN cl ON name = column_name WHERE {_INCONSISTENT}"
+    )
+
+
+def _short_edges(pairs: str) -> str:
+    """CTEs ending in ``r``: a leading column and one whose name is like its own but longer or shorter by three or more."""
+    return (
+        CAT
+        + ", "
+        + pairs
+        + ", "
+        + _ITEMS
+        + ", "
+        + _ITEM_EDGES.replace("WHERE a.i <> b.i", "WHERE abs(length(name1) - length(name2)) >= 3")
+        + ", "
+        + _walk("items", "ie", later_only=False)
+        + ", r AS (SELECT a.column_name AS n1, b.column_name AS n2, a.i AS i1, b.i AS i2, a.file_name AS f1, b.file_name AS f2, similarity, "
+        "length(a.column_name) < length(b.column_name) AS s FROM led JOIN items a ON a.i = led.i JOIN items b ON b.i = led.j) "
+    )
+
+
+def _short_names(pairs: str) -> str:
+    return _short_edges(pairs) + (
+        ", p AS (SELECT n1, n2, s, similarity, count(*) AS pairs, min_by(f1, i1) AS f1, min_by(f2, i2) AS f2 FROM r GROUP BY ALL) "
+        'SELECT CASE WHEN s THEN n1 ELSE n2 END AS "short", CASE WHEN s THEN n2 ELSE n1 END AS "long", similarity, n1 AS leader, pairs, '
+        "CASE WHEN s THEN f1 ELSE f2 END AS short_file, CASE WHEN s THEN f2 ELSE f1 END AS long_file FROM p"
+    )
+
+
+def _near(k: int, least: float) -> str:
+    """CTEs ending in ``nr`` (file1, file2, j, r): the nearest files of every file by columns and types."""
+    return (
+        "sz AS (SELECT file_name, count(*) AS n FROM cat GROUP BY ALL), "
+        "nj AS (SELECT a.file_name AS file1, b.file_name AS file2, count(*) AS i FROM cat a JOIN cat b "
+        "USING (column_name, data_type) WHERE a.file_name <> b.file_name GROUP BY ALL), "
+        "ns AS (SELECT file1, file2, i / (s1.n + s2.n - i) AS j FROM nj JOIN sz s1 ON s1.file_name = file1 JOIN sz s2 ON s2.file_name = file2), "
+        "nr AS (SELECT file1, file2, j, row_number() OVER (PARTITION BY file1 ORDER BY j DESC, file2) AS r FROM ns "
+        f"WHERE j >= {least} QUALIFY r <= {k}), "
+        "nb AS (SELECT DISTINCT least(file1, file2) AS file1, greatest(file1, file2) AS file2 FROM nr)"
+    )
+
+
 def _abbreviations(threshold: float, enrich: bool) -> str:
     return (
         CAT
@@ -445,7 +546,59 @@ def oracles() -> dict[str, str]:
         "round(count(*) FILTER (WHERE c = file_count) / widest, 2) AS similarity_score "
         "FROM gs JOIN gc USING (leader_file) JOIN gw USING (leader_file) GROUP BY leader_file, file_count, widest"
     )
+    differences = (
+        " SELECT file1, file2, 1 AS copies1, 1 AS copies2, count(*) FILTER (WHERE t1 = t2) / count(*) AS similarity, "
+        "count(*) FILTER (WHERE t1 IS NOT NULL AND t2 IS NOT NULL) AS common_columns_count, "
+        "count(*) FILTER (WHERE t2 IS NULL) AS unique_to_file1_count, count(*) FILTER (WHERE t1 IS NULL) AS unique_to_file2_count, "
+        "count(*) FILTER (WHERE t1 <> t2) AS type_mismatches_count, "
+        "coalesce(string_agg(column_name || ' (' || t1 || ')', ', ' ORDER BY column_name) FILTER (WHERE t2 IS NULL), '') AS unique_to_file1, "
+        "coalesce(string_agg(column_name || ' (' || t2 || ')', ', ' ORDER BY column_name) FILTER (WHERE t1 IS NULL), '') AS unique_to_file2, "
+        "coalesce(string_agg(column_name || ': ' || t1 || ' vs ' || t2, ', ' ORDER BY column_name) FILTER (WHERE t1 <> t2), '') AS type_mismatches "
+    )
+    dense_members = _naming_members(0.25, False, _dense_pairs(0.25))
     return {
+        "naming_group_names": _naming_names(_naming_members(0.6, enrich=False)),
+        "naming_groups": _first_groups(_naming_members(0.6, enrich=False), _classes("cat", "column_name", 0.6)),
+        "abbreviation_names": _short_names(_name_pairs(0.5, False)),
+        "abbreviation_columns": _short_edges(_name_pairs(0.5, False))
+        + ', e AS (SELECT CASE WHEN s THEN n1 ELSE n2 END AS "short", CASE WHEN s THEN n2 ELSE n1 END AS "long", n1 AS leader, * FROM r) '
+        'SELECT DISTINCT "short", "long", leader, unnest([n1, n2]) AS column_name, unnest([f1, f2]) AS file_name FROM e',
+        "nearest_schemas": CAT
+        + ", "
+        + _near(2, 0.05)
+        + " SELECT file1 AS file_name, file2 AS near_file, 1 AS copies, j AS jaccard, r AS rank FROM nr",
+        "nearest_differences": CAT
+        + ", "
+        + _near(2, 0.05)
+        + ", "
+        + _SIDES
+        + differences
+        + "FROM sides SEMI JOIN nb USING (file1, file2) GROUP BY file1, file2",
+        "neighbouring_differences": CAT
+        + ", "
+        + _SIDES
+        + ", nx AS (SELECT f AS file1, lead(f) OVER (ORDER BY f) AS file2 FROM files)"
+        + differences
+        + "FROM sides SEMI JOIN nx USING (file1, file2) GROUP BY file1, file2",
+        "nearest_semantic_differences": _semantic_differences(0.5, enrich=False)
+        .replace("fp AS (SELECT", _near(2, 0.05) + ", fp AS (SELECT", 1)
+        .replace("WHERE a.f < b.f)", "JOIN nb ON nb.file1 = a.f AND nb.file2 = b.f)", 1)
+        .replace("JOIN files b ON a.f < b.f)", "JOIN files b ON true JOIN nb ON nb.file1 = a.f AND nb.file2 = b.f)", 1),
+        "dense_concepts": CAT
+        + ", "
+        + _dense_terms(N.CONCEPT_TERMS, 0.25)
+        + ", cn AS (SELECT name, concept, max(similarity) AS similarity FROM ts GROUP BY ALL) "
+        "SELECT concept, file_name, column_name, similarity FROM cn JOIN cat ON column_name = name",
+        "dense_classes": CAT + ", " + _dense_classes(0.25) + " SELECT name AS column_name, concept FROM cl",
+        "dense_schema_pairs": CAT
+        + ", "
+        + _schema_scores(0.1, pairs=_dense_pairs(0.1))
+        + "SELECT file1, file2, 1 AS copies1, 1 AS copies2, similarity FROM sc",
+        "dense_naming_groups": _first_groups(dense_members, _dense_classes(0.6)),
+        "dense_naming_names": _naming_names(dense_members),
+        "dense_abbreviations": _short_names(_dense_pairs(0.25)),
+        "vector_pairs": f"WITH e AS (SELECT vec_id, {_VECTOR} FROM embeddings) SELECT a.vec_id AS vec1, b.vec_id AS vec2, {_COSINE} AS similarity "
+        f"FROM e a, e b WHERE a.vec_id < b.vec_id AND {_COSINE} >= 0.4",
         "profile_catalog": given + f" SELECT {_COUNTS} FROM cat",
         "profile_nulls": tenants + f" SELECT {_COUNTS} FROM cat",
         "profile_reference_labels": given

@@ -13,13 +13,16 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colscope.functions import labels, names, text
 from colscope.operators import (
     catalog,
     consistency,
+    dense,
+    naming,
+    nearest,
     relationships,
     search,
     semantic,
@@ -39,6 +42,8 @@ COUNTS = ["file_name", "column_name", "data_type", "null_count", "unique_count",
 # Thresholds that suit trigram similarities between column names, none of them enriched.
 LIKE = 0.6
 ALIKE = 0.5
+# Thresholds that suit the given vectors.
+NEAR, NAMES_NEAR = 0.4, 0.25
 DOCUMENT_JACCARD = 0.7
 WORD = "[ \t\r\n]+"
 
@@ -90,7 +95,7 @@ def document_sets(spark: SparkSession, folder: str) -> similar_sets.DistinctSets
 
 def on_catalog(operator: Callable[[DataFrame], DataFrame], *dropped: str) -> Query:
     """A query that applies an operator to the stored catalog; paths and times are left to the caller's lake."""
-    hidden = {"file_path", "path1", "path2", "short_path", "long_path", "first_path", "leader_path"}
+    hidden = {"file_path", "path1", "path2", "short_path", "long_path", "first_path", "leader_path", "near_path", "member_path"}
     hidden |= {"last_scanned", "last_scan_time", "file_size_mb", "avg_file_size_mb", *dropped}
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
@@ -349,6 +354,43 @@ def vector_similar(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.similar_vectors(queries, items, 0.25)
 
 
+def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of the given vectors, by the same join that compares names by a model's vectors."""
+    vectors = cut_lineage(dense.unit_vectors(given_table(spark, folder, "embeddings"), "vec_id", "embedding"))
+    found = dense.dense_pairs(vectors, vectors, "vec_id", NEAR, "embedding").filter("name1 < name2")
+    return found.select(F.col("name1").alias("vec1"), F.col("name2").alias("vec2"), "similarity")
+
+
+def given_meaning(spark: SparkSession, folder: str) -> dense.DenseVectors:
+    """A vector out of ``embeddings`` for every column name, term and phrase, picked by the text's digest."""
+    listed = [t for group in (names.CONCEPT_TERMS, names.CONCEPT_TEMPLATES) for terms in group.values() for t in terms]
+    texts = stored_catalog(spark, folder).select(F.col("column_name").alias("text"))
+    texts = texts.unionByName(spark.createDataFrame([(t,) for t in listed], "text string")).distinct()
+    vectors = given_table(spark, folder, "embeddings")
+    place = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint") % F.lit(vectors.count())
+    return dense.DenseVectors(
+        cut_lineage(texts.withColumn("vec_id", place).join(vectors, "vec_id").select("text", F.col("embedding").alias("vector")))
+    )
+
+
+def by_meaning(operator: Callable[[DataFrame, dense.DenseVectors], DataFrame]) -> Query:
+    """A query that compares the names of the stored catalog by given vectors."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        meaning = given_meaning(spark, folder)
+        return on_catalog(lambda c: operator(c, meaning))(spark, folder)
+
+    return query
+
+
+def neighbouring_differences(rows: DataFrame) -> DataFrame:
+    """Differences of every file and the next one by name."""
+    files = rows.select("file_name", "file_path").distinct()
+    following = F.lead("file_path").over(Window.orderBy("file_name", "file_path"))
+    pairs = files.select(F.col("file_path").alias("path1"), following.alias("path2")).filter("path2 IS NOT NULL")
+    return nearest.differences_between(rows, pairs)
+
+
 def content_lines(spark: SparkSession, folder: str) -> DataFrame:
     return given_table(spark, folder, "documents").select(
         "doc_id",
@@ -443,6 +485,25 @@ QUERIES: dict[str, Query] = {
     "naming_members": on_catalog(naming_members),
     "abbreviations": on_catalog(lambda c: semantic.abbreviations(c, ALIKE, similarity.NONE)),
     "semantic_differences": on_catalog(lambda c: semantic.semantic_differences(c, ALIKE, similarity.NONE)),
+    # per pair of names, per schema and its nearest ones
+    "naming_group_names": on_catalog(lambda c: naming.naming_group_names(c, LIKE, similarity.NONE)),
+    "naming_groups": on_catalog(lambda c: naming.naming_groups(c, LIKE, similarity.NONE)),
+    "abbreviation_names": on_catalog(lambda c: naming.abbreviation_names(c, ALIKE, similarity.NONE)),
+    "abbreviation_columns": on_catalog(lambda c: naming.abbreviation_columns(c, ALIKE, similarity.NONE)),
+    "nearest_schemas": on_catalog(lambda c: nearest.nearest_schemas(c, 2, 0.05)),
+    "nearest_differences": on_catalog(lambda c: nearest.nearest_differences(c, 2, 0.05)),
+    "neighbouring_differences": on_catalog(neighbouring_differences),
+    "nearest_semantic_differences": on_catalog(
+        lambda c: semantic.semantic_differences(c, ALIKE, similarity.NONE, near=lambda found: nearest.near_pairs(found, 2, 0.05))
+    ),
+    # meaning by a caller's vectors
+    "dense_concepts": by_meaning(lambda c, m: semantic.concept_groups(c, NAMES_NEAR, dense=m)),
+    "dense_classes": by_meaning(lambda c, m: semantic.classify_names(c, "column_name", NAMES_NEAR, dense=m)),
+    "dense_schema_pairs": by_meaning(lambda c, m: semantic.semantic_schema_pairs(c, 0.1, dense=m)),
+    "dense_naming_groups": by_meaning(lambda c, m: naming.naming_groups(c, NAMES_NEAR, dense=m)),
+    "dense_naming_names": by_meaning(lambda c, m: naming.naming_group_names(c, NAMES_NEAR, dense=m)),
+    "dense_abbreviations": by_meaning(lambda c, m: naming.abbreviation_names(c, NAMES_NEAR, dense=m)),
+    "vector_pairs": vector_pairs,
     # every branch of the tools, at its default
     "tool_common_columns": on_catalog(tools.find_relationships),
     "tool_similar_schemas": on_catalog(lambda c: tools.find_relationships(c, "similar_schemas")),

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from colscope.operators import consistency, relationships, search, stats
+from colscope.operators import consistency, naming, nearest, relationships, search, stats
 from colscope.operators import semantic as meaning
+from colscope.operators.dense import DenseVectors
 
 LARGEST_FILES = 10
 
@@ -36,34 +37,45 @@ def find_relationships(
     analysis_type: str = "common_columns",
     threshold: float | None = None,
     semantic: bool = False,
+    near: int | None = None,
+    dense: DenseVectors | None = None,
 ) -> DataFrame:
     """Relations by type; each has a default threshold of its own scale. ``semantic`` compares names by meaning.
 
+    ``near`` restricts differences to the so many nearest schemas of each, which keeps them linear; ``dense`` brings the
+    vectors of a model for the types on meaning.
+
     ``common_columns`` counts files (2). ``similar_schemas`` takes tenths of a Jaccard index (3). The types
     on meaning take a similarity.
     """
     given = {} if threshold is None else {"threshold": threshold}
     if analysis_type == "semantic_groups":
-        return meaning.concept_groups(catalog, **given)
+        return meaning.concept_groups(catalog, **given, dense=dense)
     if analysis_type == "concept_evolution":
-        return meaning.concept_evolution(catalog, **given)
+        return meaning.concept_evolution(catalog, **given, dense=dense)
     if analysis_type == "similar_schemas":
         if semantic:
-            return meaning.semantic_schema_pairs(catalog, **given)
+            return meaning.semantic_schema_pairs(catalog, **given, dense=dense)
         return relationships.schema_groups(catalog, relationships.legacy_threshold(3 if threshold is None else threshold))
     if analysis_type == "schema_differences":
+        chosen = None if near is None else lambda found: nearest.near_pairs(found, near)
         if semantic:
-            return meaning.semantic_differences(catalog, **given)
-        return relationships.schema_differences(catalog)
+            return meaning.semantic_differences(catalog, **given, dense=dense, near=chosen)
+        return relationships.schema_differences(catalog) if near is None else nearest.nearest_differences(catalog, near)
     if analysis_type == "common_columns":
         return relationships.common_columns(catalog, int(2 if threshold is None else threshold))
     raise ValueError(f"unknown analysis type: {analysis_type}")
 
 
 def detect_inconsistencies(
-    catalog: DataFrame, check_type: str | list[str] = "data_types", threshold: float | None = None
-) -> DataFrame:
-    """Checks by type; of a list the first counts. Each check on meaning has a default threshold of its own."""
+    catalog: DataFrame, check_type: str | list[str] = "data_types", threshold: float | None = None,
+    by_name: bool = False, dense: DenseVectors | None = None,
+) -> DataFrame:
+    """Checks by type; of a list the first counts. Each check on meaning has a default threshold of its own.
+
+    ``by_name`` tells naming groups and abbreviations per pair of names, with counts, instead of per column and pair of columns;
+    ``dense`` brings the vectors of a model for the checks on meaning.
+    """
     given = {} if threshold is None else {"threshold": threshold}
     if isinstance(check_type, list):
         check_type = check_type[0] if check_type else "data_types"
@@ -72,11 +84,13 @@ def detect_inconsistencies(
     if check_type == "naming_patterns":
         return consistency.naming_patterns(catalog)
     if check_type == "semantic_naming":
-        return meaning.naming_inconsistencies(catalog, **given)
+        groups = naming.naming_groups if by_name else meaning.naming_inconsistencies
+        return groups(catalog, **given, dense=dense)
     if check_type == "concept_consistency":
-        return meaning.concept_types(catalog, **given)
+        return meaning.concept_types(catalog, **given, dense=dense)
     if check_type == "abbreviation_detection":
-        return meaning.abbreviations(catalog, **given)
+        found = naming.abbreviation_names if by_name else meaning.abbreviations
+        return found(catalog, **given, dense=dense)
     raise ValueError(f"unknown check type: {check_type}")
 
 
