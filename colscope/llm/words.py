@@ -63,6 +63,7 @@ def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK) -> I
         last = max(first + 1, int(np.searchsorted(total, before + limit, side="right")))
         yield batch.slice(first, last - first)
         first = last
+    pa.default_memory_pool().release_unused()  # the executor's other tasks share what a worker keeps
 
 
 class Words:
