@@ -49,6 +49,11 @@ def _profile(source: str, file_name: str, columns: list[str]) -> list[str]:
     ]
 
 
+def _sampled(table: str, rows: int) -> str:
+    """The sampled rows of a table, as a subquery with their place ``ri``."""
+    return f"(SELECT * FROM (SELECT *, row_number() OVER () - 1 AS ri FROM {table}) ORDER BY md5('42:' || ri), ri LIMIT {rows})"
+
+
 def _given_profiles() -> list[str]:
     return [s for t, cols in GIVEN.items() for s in _profile(t, f"{t}.parquet", cols.split())]
 
@@ -615,6 +620,13 @@ def oracles() -> dict[str, str]:
         "null_count, unique_count, total_rows FROM cat",
         "scan_sampled": given
         + " SELECT file_name, least(max(total_rows), 1000) AS sampled_rows, count(*) AS column_count FROM cat GROUP BY ALL",
+        "scan_sampled_rows": "WITH "
+        + _catalog([s for t, cols in GIVEN.items() for s in _profile(_sampled(t, 200), f"{t}.parquet", cols.split())])
+        + f" SELECT {_COUNTS} FROM cat",
+        "sampled_places": " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, ri AS row, {key} AS key FROM {_sampled(t, 500)}"
+            for t, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))
+        ),
         "scan_rejected": " UNION ALL ".join(
             f"SELECT '{t}.parquet' AS file_name, 'File too large' AS reason, count(*) AS unread_rows FROM {t}" for t in GIVEN
         ),

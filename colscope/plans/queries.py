@@ -142,6 +142,20 @@ def scan_sampled(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def scan_sampled_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile of 200 rows of every table: which rows they are shows in the counts."""
+    return scan.scan_folder(spark, folder, sample_rows=200).schema_info.select(*COUNTS)
+
+
+def sampled_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Place and key of the sampled rows of the two largest tables."""
+    parts = []
+    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        rows = scan.seeded_samples(given_table(spark, folder, name).select(key, "_metadata"), 500)
+        parts.append(rows.select(F.lit(name).alias("table_name"), F.col(scan.ROW).alias("row"), F.col(key).alias("key")))
+    return parts[0].unionByName(parts[1])
+
+
 def scan_csv(spark: SparkSession, folder: str) -> DataFrame:
     """The tenant views written as CSV and scanned back, each folder of part files one table."""
     root = work_folder(spark, folder, "csv")
@@ -429,6 +443,8 @@ QUERIES: dict[str, Query] = {
     "scan_parquet": scan_parquet,
     "scan_csv": scan_csv,
     "scan_sampled": scan_sampled,
+    "scan_sampled_rows": scan_sampled_rows,
+    "sampled_places": sampled_places,
     "scan_rejected": scan_rejected,
     "catalog_round_trip": catalog_round_trip,
     "scan_parts": scan_parts,

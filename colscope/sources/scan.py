@@ -7,13 +7,14 @@ own file index does, never data.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colscope.functions import labels
@@ -24,6 +25,8 @@ from colscope.sources import csv_tables, discovery, parquet_tables
 GROUPS_PER_JOB = 50
 TABLES_PER_GROUP = 10_000
 _SAMPLE_SEED = 42
+# Columns that a sample tells its rows' places by.
+PATH, ROW = "_colscope_path", "_colscope_row"
 
 
 @dataclass
@@ -56,10 +59,30 @@ def head_sample(df: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def seeded_sample(df: DataFrame, rows: int) -> DataFrame:
-    """``rows`` rows without replacement, the same ones on every run (a top-n by seeded hash)."""
-    hashable = [F.to_json(F.struct(F.col("`" + c.replace("`", "``") + "`"))) for c in df.columns]
-    return df.orderBy(F.xxhash64(F.lit(_SAMPLE_SEED), *hashable), *hashable).limit(rows)
+def seeded_samples(df: DataFrame, rows: int, per_file: bool = True) -> DataFrame:
+    """``rows`` rows of every file of a Parquet scan, or of the scan as a whole, without replacement, the same ones on every run.
+
+    Rows are ranked by the digest of a seed and their place in the file. A first look, which reads no column, counts the rows
+    of each file; only those whose digest is low enough to be among the chosen are read on and ranked, some more than wanted.
+    Nothing is sorted as a whole, and any number of files is one job. The result has the columns ``PATH`` and ``ROW`` too.
+    """
+    own = F.col("_metadata.file_path") if per_file else F.lit("")
+    place = F.col("_metadata.row_index").cast("string")
+    place = place if per_file else F.concat(place, F.lit(":"), F.col("_metadata.file_path"))
+    digest = F.md5(F.concat(F.lit(f"{_SAMPLE_SEED}:"), place))
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    looked = df.select(own.alias(PATH), share.alias("share"))
+    counts = looked.groupBy(PATH).agg(F.count(F.lit(1)).alias("n"))
+    wanted = float(rows + 6 * math.sqrt(rows) + 20)
+    cut = cut_lineage(counts.withColumn("cut", F.least(F.lit(1.0), wanted / F.col("n"))))
+    # where chance left too few below the cut, all rows are ranked
+    found = looked.join(F.broadcast(cut), PATH).filter("share <= cut").groupBy(PATH).agg(F.count(F.lit(1)).alias("found"))
+    short = F.coalesce("found", F.lit(0)) < F.least(F.col("n"), F.lit(rows))
+    cut = cut_lineage(cut.join(found, PATH, "left").select(PATH, F.when(short, F.lit(1.0)).otherwise(F.col("cut")).alias("_cut")))
+    marked = df.select("*", own.alias(PATH), F.col("_metadata.row_index").alias(ROW), digest.alias("_digest"), share.alias("_share"))
+    chosen = marked.join(F.broadcast(cut), PATH).filter(F.col("_share") <= F.col("_cut"))
+    best = Window.partitionBy(PATH).orderBy("_digest", ROW)
+    return chosen.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= rows).drop("_rank", "_digest", "_share", "_cut")
 
 
 def _table_id(by_file: bool, uri: str) -> Column:
@@ -86,7 +109,7 @@ def _groups(
     text: bool,
 ) -> Iterator[TableGroup]:
     """Scans over tables known to share schema and dialect."""
-    by_file = layout == discovery.TABLE_PER_FILE and sample_rows is None
+    by_file = layout == discovery.TABLE_PER_FILE and (sample_rows is None or not text)
     size = TABLES_PER_GROUP if by_file else 1
 
     def group(part: list[Row]) -> TableGroup:
@@ -96,9 +119,9 @@ def _groups(
             frame = sample(frame, sample_rows)
         middle = len(part) // 2
         halves = (lambda: [group(part[:middle]), group(part[middle:])]) if middle else None
-        return TableGroup(
-            frame, _table_id(by_file, part[0].uri), _described(spark, part), fields, names, text, halves
-        )
+        sampled = sample_rows is not None and by_file
+        table_id = F.xxhash64(PATH) if sampled else _table_id(by_file, part[0].uri)
+        return TableGroup(frame, table_id, _described(spark, part), fields, names, text, halves)
 
     for start in range(0, len(tables), size):
         yield group(tables[start:start + size])
@@ -131,10 +154,13 @@ def _parquet_groups(
         frame = parquet_tables.read_parquet(spark, paths, merge=layout != discovery.TABLE_PER_FILE)
         return frame, frame.columns
 
+    def sampled(frame: DataFrame, rows: int) -> DataFrame:
+        return seeded_samples(frame, rows, layout == discovery.TABLE_PER_FILE)
+
     groups: list[TableGroup] = []
     for family in families.values():
         try:
-            groups.extend(_groups(spark, family, layout, sample_rows, read, seeded_sample, text=False))
+            groups.extend(_groups(spark, family, layout, sample_rows, read, sampled, text=False))
         except Exception as error:
             rejected.extend((t.file_path, t.file_name, _reason(error)) for t in family)
     return groups, rejected

@@ -1,9 +1,14 @@
+import hashlib
+import math
 import os
+from types import SimpleNamespace
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from colscope.functions import labels
-from colscope.sources import discovery, exports
+from colscope.sources import discovery, exports, scan
 from colscope.sources.catalog_store import CatalogStore
 from colscope.sources.csv_tables import column_names
 from colscope.sources.scan import scan_file, scan_folder
@@ -100,6 +105,39 @@ def test_samples(spark, lake):
     assert sorted(once) == sorted(twice)
 
 
+def _sampled_by_hand(n, rows):
+    digests = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i in range(n))
+    return {i for _, i in digests[:rows]}
+
+
+@pytest.mark.parametrize("root", [math.sqrt, lambda rows: -rows / 6 - 3])
+def test_seeded_samples_of_many_files(spark, tmp_path, monkeypatch, root):
+    """One job for all files of a schema; right too where the first cut leaves too few rows."""
+    monkeypatch.setattr(scan, "math", SimpleNamespace(sqrt=root))
+    sizes = [0, 1, 7, 30, 200, 3000]
+    for i, n in enumerate(sizes):
+        spark.range(n).withColumnRenamed("id", "a").coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        part = next((tmp_path / f"p{i}").glob("*.parquet"))
+        (tmp_path / f"t{i}.parquet").write_bytes(part.read_bytes())
+    files = [str(tmp_path / f"t{i}.parquet") for i in range(len(sizes))]
+    found = scan.seeded_samples(spark.read.parquet(*files), 30).collect()
+    by_file = {i: {r.a for r in found if r[scan.PATH].endswith(f"t{i}.parquet")} for i in range(len(sizes))}
+    assert by_file == {i: _sampled_by_hand(n, 30) for i, n in enumerate(sizes)}
+    assert all(r.a == r[scan.ROW] for r in found)
+    whole = scan.seeded_samples(spark.read.parquet(*files), 30, per_file=False)
+    assert whole.count() == 30 and sorted(whole.collect()) == sorted(whole.collect())
+
+
+def test_sampled_scan_groups_tables(spark, tmp_path):
+    for i in range(25):
+        pq.write_table(pa.table({"a": list(range(i * 4)), "b": ["x"] * (i * 4)}), tmp_path / f"t{i:02d}.parquet")
+    found = scan_folder(spark, str(tmp_path), sample_rows=10)
+    assert {(r.file_name, r.column_name): (r.total_rows, r.unique_count) for r in found.schema_info.collect()} == {
+        (f"t{i:02d}.parquet", c): (min(10, i * 4), min(10, i * 4) if c == "a" else min(1, i)) for i in range(25) for c in "ab"
+    }
+    assert found.rejected.count() == 0
+
+
 def test_errors_of_a_single_file(spark, lake):
     with pytest.raises(FileNotFoundError):
         scan_file(spark, f"{lake}/absent.csv")
