@@ -143,13 +143,13 @@ def _classes(source: str, name: str, threshold: float, prefix: str = "") -> str:
     """CTEs ending in ``cl`` (name, concept)."""
     p = f"c{prefix}"
     return (
-        f"{p}nm AS (SELECT DISTINCT {name} AS n FROM {source}), "
+        f"{p}nm AS MATERIALIZED (SELECT DISTINCT {name} AS n FROM {source}), "
         + _terms(N.CONCEPT_TEMPLATES)
         + ", "
         + _grams(f"{p}t", f"{p}nm", "n", _normal(_enriched("n")))
         + ", "
         + _grams(f"{p}q", "(SELECT DISTINCT term FROM terms)", "term", _normal("term"))
-        + f", {p}s AS (SELECT {p}t.k AS name, {p}q.k AS term, round(sum({p}q.w * {p}t.w), 6) AS similarity "
+        + f", {p}s AS MATERIALIZED (SELECT {p}t.k AS name, {p}q.k AS term, round(sum({p}q.w * {p}t.w), 6) AS similarity "
         f"FROM {p}q JOIN {p}t USING (g) GROUP BY ALL HAVING sum({p}q.w * {p}t.w) >= {max(threshold, 0.1) - 1e-6}), "
         f"{p}b AS (SELECT name, concept, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, concept_order) "
         f"AS r FROM {p}s JOIN terms USING (term) WHERE similarity >= {max(threshold, 0.1)}), "
