@@ -7,7 +7,9 @@ unlabelled model is fitted on each half, and on the other half the share of unla
 by the share of positives above it, is least where only positives are; that ratio bounds the prior from above.
 
 Bounds: ``POSITIVES`` and ``UNLABELLED`` texts are sampled (in expectation; trusted keys by a hash and one row of each, the
-others row by row, so that rows of one key count as any others) and only their features reach the driver. Every text is scored whole, by a model of fixed size.
+others row by row, so that rows of one key count as any others) and only their features reach the driver. Rows are told apart by
+their place in the scan, so the same model comes out again for the same files and split size only. Every text is scored whole, by
+a model of fixed size.
 
 Defined cases: a null text is empty, an empty or very long text gets a score like any other; a key labelled both ways
 is no positive; labels without a document, null labels and repeated rows do no harm; without any positive every
