@@ -33,7 +33,7 @@ from colscope.llm.words import blocks
 from colscope.session import skew_join
 
 # Bytes of text in a chunk; links listed at once; a group of more links than this is summed up by id first.
-CHUNK, LINKS, WIDE = 4 << 20, 1 << 21, 256
+CHUNK, LINKS, WIDE = 2 << 20, 1 << 20, 256
 # Bits of an id in a pair, and of a text's number in a chunk.
 _BITS = 21
 _MASK = (1 << _BITS) - 1
