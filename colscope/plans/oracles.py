@@ -618,6 +618,11 @@ def oracles() -> dict[str, str]:
         "scan_csv": tenants
         + f" SELECT replace(file_name, '.parquet', '.csv') AS file_name, column_name, {csv_type} AS data_type, "
         "null_count, unique_count, total_rows FROM cat",
+        "scan_csv_sampled": " UNION ALL ".join(
+            f"SELECT '{t}' AS file_name, least(count(*), 300) AS sampled_rows, {len(GIVEN[t].split())} AS column_count FROM {t}"
+            for t in ("customer", "orders", "part", "documents")
+        ),
+        "csv_spanning_rows": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, length(coalesce(text, '')) AS n_chars FROM documents",
         "scan_sampled": given
         + " SELECT file_name, least(max(total_rows), 1000) AS sampled_rows, count(*) AS column_count FROM cat GROUP BY ALL",
         "scan_sampled_rows": "WITH "

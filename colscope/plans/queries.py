@@ -33,7 +33,7 @@ from colscope.operators.profile import profile_tables
 from colscope.plans import tools
 from colscope.plans.tenants import TABLES, given_table, tenant_views
 from colscope.session import cut_lineage, shared_folder, spread
-from colscope.sources import discovery, exports, scan
+from colscope.sources import csv_records, csv_tables, discovery, exports, scan
 from colscope.sources.catalog_store import CatalogStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,31 @@ def scan_csv(spark: SparkSession, folder: str) -> DataFrame:
     return found.schema_info.select(*COUNTS)
 
 
+def scan_csv_sampled(spark: SparkSession, folder: str) -> DataFrame:
+    """The given tables without arrays written as CSV: how many first rows a sampled scan takes of each, by bounded reads."""
+    root = work_folder(spark, folder, "csv-sampled")
+    for name in ("customer", "orders", "part", "documents"):
+        given_table(spark, folder, name).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{root}/{name}")
+    found = scan.scan_folder(spark, root, layout=discovery.TABLE_PER_FOLDER, sample_rows=300).schema_info
+    return found.groupBy("file_name").agg(F.max("total_rows").alias("sampled_rows"), F.count(F.lit(1)).alias("column_count"))
+
+
+def csv_spanning_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that span lines, written as CSV and read back from ranges of a megabyte: ids, and the texts by digest and length."""
+    root = work_folder(spark, folder, "csv-spanning")
+    documents = given_table(spark, folder, "documents").select("doc_id", "text")
+    kept = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    documents.write.mode("overwrite").options(**kept).csv(root)
+    parts = discovery.describe(csv_tables.listing(spark, [root])).collect()
+    rows, _ = csv_records.read_split(
+        spark, [(p.uri, p.size_bytes) for p in parts], [p.file_path for p in parts], "UTF-8", ",", 1 << 20
+    )
+    text = F.coalesce(F.col("_1"), F.lit(""))
+    return rows.select(
+        F.col("_0").cast("bigint").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.length(text).cast("bigint").alias("n_chars")
+    )
+
+
 def row_counts(spark: SparkSession, folder: str) -> DataFrame:
     """file_name, total_rows of the given tables."""
     counts = [
@@ -442,6 +467,8 @@ QUERIES: dict[str, Query] = {
     "discover_files": discover_files,
     "scan_parquet": scan_parquet,
     "scan_csv": scan_csv,
+    "scan_csv_sampled": scan_csv_sampled,
+    "csv_spanning_rows": csv_spanning_rows,
     "scan_sampled": scan_sampled,
     "scan_sampled_rows": scan_sampled_rows,
     "sampled_places": sampled_places,

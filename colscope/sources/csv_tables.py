@@ -29,8 +29,14 @@ def _fields_in(header: Column, separator: str) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
 
 
+def listing(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The CSV files in given places, as the ``binaryFile`` source lists them."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", CSV_FILES)
+    return reader.load([glob_safe(p) for p in paths])
+
+
 def probe(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """uri, encoding, separator, multi_line, header of each CSV file.
+    """uri, encoding, separator, multi_line, header, size of each CSV file.
 
     The separator is the first that gives the header more than one field; a comma if none does. A field spans lines
     only if a quote that opens one has no partner in its line; a quote inside a field opens nothing.
@@ -46,6 +52,7 @@ def probe(spark: SparkSession, paths: list[str]) -> DataFrame:
         .select(
             "value",
             F.col("_metadata.file_path").alias("uri"),
+            F.col("_metadata.file_size").alias("size"),
             position.alias("position"),
             F.regexp_like(opening, F.lit(r'(^|[,;\t])\s*"')).cast("int").alias("open"),
         )
@@ -59,10 +66,11 @@ def probe(spark: SparkSession, paths: list[str]) -> DataFrame:
             F.min(F.is_valid_utf8("value")).alias("utf8"),
             (F.max("open") > 0).alias("multi_line"),
             F.min_by("value", "position").alias("header"),
+            F.max("size").alias("size"),
         )
         .withColumn("encoding", F.when(F.col("utf8"), ENCODINGS[0]).otherwise(ENCODINGS[1]))
         .withColumn("separator", separator)
-        .select("uri", "encoding", "separator", "multi_line", F.sha2("header", 256).alias("header"))
+        .select("uri", "encoding", "separator", "multi_line", F.sha2("header", 256).alias("header"), "size")
     )
 
 
@@ -92,6 +100,18 @@ def column_names(cells: list[str | None]) -> list[str]:
     return names
 
 
+def header_names(spark: SparkSession, path: str, encoding: str, separator: str, multi_line: bool) -> list[str]:
+    """Column names by the header of a file."""
+    header = _reader(spark, encoding, separator, multi_line).option("header", False).csv(glob_safe(path)).head(1)
+    return column_names(list(header[0])) if header else []
+
+
+def marked_surplus(cells: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """Cells with the last column, of what the header does not cover, as a mark called ``SURPLUS``."""
+    last = f"_{len(names)}"
+    return cells.withColumn(last, F.when(F.col(last).isNotNull(), F.lit("surplus"))), [*names, SURPLUS]
+
+
 def read_csv(
     spark: SparkSession, paths: list[str], encoding: str = "UTF-8", separator: str = ",", multi_line: bool = False
 ) -> tuple[DataFrame, list[str]]:
@@ -101,9 +121,7 @@ def read_csv(
     ``SURPLUS``, is set in rows that hold a cell beyond the header's.
     """
     safe = [glob_safe(p) for p in paths]
-    reader = _reader(spark, encoding, separator, multi_line)
-    header = reader.option("header", False).csv(safe[0]).head(1)
-    names = column_names(list(header[0])) if header else []
+    names = header_names(spark, paths[0], encoding, separator, multi_line)
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names) + 1)])
     if not names:
         return spark.createDataFrame([], T.StructType([])), []
@@ -114,8 +132,7 @@ def read_csv(
         .option("enforceSchema", True)
         .csv(safe)
     )
-    last = f"_{len(names)}"
-    return frame.withColumn(last, F.when(F.col(last).isNotNull(), F.lit("surplus"))), [*names, SURPLUS]
+    return marked_surplus(frame, names)
 
 
 def united(parts: list[tuple[DataFrame, list[str]]]) -> tuple[DataFrame, list[str]]:

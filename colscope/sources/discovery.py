@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,19 @@ def plain_path(uri: Column) -> Column:
     return F.regexp_replace(decoded, "^file:/+", "/")
 
 
+def arrow_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a file, and its path there; an error if none knows the scheme."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + unquote(uri[len("file:"):]).lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def arrow_file(uri: str) -> pa.NativeFile:
+    """A file opened for reading at any place."""
+    system, path = arrow_system(uri)
+    return system.open_input_file(path)
+
+
 def parent_folder(uri: Column) -> Column:
     """The folder of a file, above any ``key=value`` partition folders."""
     return F.regexp_replace(uri, r"(/[^/=]+=[^/]*)*/[^/]*$", "")

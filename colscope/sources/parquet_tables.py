@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from colscope.sources.discovery import glob_safe
+from colscope.sources.discovery import arrow_system, glob_safe
 
 PARQUET_FILES = "*.[pP][aA][rR][qQ][uU][eE][tT]"
 PROBED = "uri string, schema_key string, error string"
@@ -30,17 +30,12 @@ def read_parquet(spark: SparkSession, paths: list[str], merge: bool = False) ->
 
 def _probe_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import hashlib
-    from urllib.parse import unquote
 
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
     def probe(uri: str) -> tuple[str, str | None, str | None]:
         try:
-            if uri.startswith("file:"):
-                system, path = fs.LocalFileSystem(), "/" + unquote(uri[len("file:"):]).lstrip("/")
-            else:
-                system, path = fs.FileSystem.from_uri(uri)
+            system, path = arrow_system(uri)
         except Exception:
             return uri, BY_SPARK, None
         try:

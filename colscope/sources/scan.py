@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from colscope.functions import labels
 from colscope.operators.profile import TableGroup, profile
 from colscope.session import cut_lineage
-from colscope.sources import csv_tables, discovery, parquet_tables
+from colscope.sources import csv_records, csv_tables, discovery, parquet_tables
 
 GROUPS_PER_JOB = 50
 TABLES_PER_GROUP = 10_000
 _SAMPLE_SEED = 42
 # Columns that a sample tells its rows' places by.
-PATH, ROW = "_colscope_path", "_colscope_row"
+PATH, ROW = csv_records.PATH, "_colscope_row"
 
 
 @dataclass
@@ -100,27 +100,18 @@ def _described(spark: SparkSession, tables: list[Row]) -> DataFrame:
 
 
 def _groups(
-    spark: SparkSession,
-    tables: list[Row],
-    layout: str,
-    sample_rows: int | None,
-    read: Callable[[list[str]], tuple[DataFrame, list[str]]],
-    sample: Callable[[DataFrame, int], DataFrame],
-    text: bool,
+    spark: SparkSession, tables: list[Row], layout: str, read: Callable[[list[Row]], tuple[DataFrame, list[str]]], text: bool
 ) -> Iterator[TableGroup]:
-    """Scans over tables known to share schema and dialect."""
-    by_file = layout == discovery.TABLE_PER_FILE and (sample_rows is None or not text)
+    """Scans over tables known to share schema and dialect; a scan with ``PATH`` tells the file of a row by it."""
+    by_file = layout == discovery.TABLE_PER_FILE
     size = TABLES_PER_GROUP if by_file else 1
 
     def group(part: list[Row]) -> TableGroup:
-        frame, names = read([t.file_path for t in part])
-        fields = list(frame.schema.fields)
-        if sample_rows is not None:
-            frame = sample(frame, sample_rows)
+        frame, names = read(part)
+        fields = [f for f in frame.schema.fields if f.name not in (PATH, ROW)]
         middle = len(part) // 2
         halves = (lambda: [group(part[:middle]), group(part[middle:])]) if middle else None
-        sampled = sample_rows is not None and by_file
-        table_id = F.xxhash64(PATH) if sampled else _table_id(by_file, part[0].uri)
+        table_id = F.xxhash64(PATH) if by_file and PATH in frame.columns else _table_id(by_file, part[0].uri)
         return TableGroup(frame, table_id, _described(spark, part), fields, names, text, halves)
 
     for start in range(0, len(tables), size):
@@ -150,33 +141,48 @@ def _parquet_groups(
         else:
             families[table.schema_key].append(table)
 
-    def read(paths: list[str]) -> tuple[DataFrame, list[str]]:
-        frame = parquet_tables.read_parquet(spark, paths, merge=layout != discovery.TABLE_PER_FILE)
-        return frame, frame.columns
-
-    def sampled(frame: DataFrame, rows: int) -> DataFrame:
-        return seeded_samples(frame, rows, layout == discovery.TABLE_PER_FILE)
+    def read(part: list[Row]) -> tuple[DataFrame, list[str]]:
+        by_file = layout == discovery.TABLE_PER_FILE
+        frame = parquet_tables.read_parquet(spark, [t.file_path for t in part], merge=not by_file)
+        return frame if sample_rows is None else seeded_samples(frame, sample_rows, by_file), frame.columns
 
     groups: list[TableGroup] = []
     for family in families.values():
         try:
-            groups.extend(_groups(spark, family, layout, sample_rows, read, sampled, text=False))
+            groups.extend(_groups(spark, family, layout, read, text=False))
         except Exception as error:
             rejected.extend((t.file_path, t.file_name, _reason(error)) for t in family)
     return groups, rejected
 
 
+def _read_dialect(
+    spark: SparkSession, files: list[Row], dialect: tuple[str, str, bool], sample_rows: int | None
+) -> tuple[DataFrame, list[str]]:
+    """CSV files (part_uri, part_path, size) of one dialect and header; their first rows, if only a sample is wanted."""
+    uris, paths = [f.part_uri for f in files], [f.part_path for f in files]
+    reachable = csv_records.reachable(uris[0])
+    if sample_rows is not None and reachable:
+        return csv_records.read_heads(spark, uris, paths, sample_rows, *dialect)
+    if sample_rows is not None:
+        heads = [(head_sample(csv_tables.read_csv(spark, [p], *dialect)[0], sample_rows), u) for p, u in zip(paths, uris)]
+        names = csv_tables.read_csv(spark, paths, *dialect)[1]
+        return reduce(DataFrame.unionByName, [head.withColumn(PATH, F.lit(uri)) for head, uri in heads]), names
+    if dialect[2] and reachable:
+        return csv_records.read_split(spark, [(f.part_uri, f.size) for f in files], paths, *dialect[:2])
+    return csv_tables.read_csv(spark, paths, *dialect)
+
+
 def _csv_groups(
     spark: SparkSession, tables: DataFrame, layout: str, sample_rows: int | None
 ) -> tuple[list[TableGroup], list[tuple[str, str, str]]]:
     rejected: list[tuple[str, str, str]] = []
-    paths = [r.file_path for r in tables.select("file_path").collect()]
-    if not paths:
+    listed = tables.select("file_path", "uri").collect()
+    if not listed:
         return [], []
     by_file = layout == discovery.TABLE_PER_FILE
-    probed = csv_tables.probe(spark, paths).withColumnRenamed("uri", "file_uri")
-    probed = probed.withColumn("uri", F.col("file_uri") if by_file else discovery.parent_folder(F.col("file_uri")))
-    probed = probed.withColumn("part_path", discovery.plain_path(F.col("file_uri")))
+    probed = _probed(spark, [(r.file_path, r.uri) for r in listed], by_file, sample_rows).withColumnRenamed("uri", "part_uri")
+    probed = probed.withColumn("uri", F.col("part_uri") if by_file else discovery.parent_folder(F.col("part_uri")))
+    probed = probed.withColumn("part_path", discovery.plain_path(F.col("part_uri")))
     families: dict[tuple, list[Row]] = defaultdict(list)
     folders: dict[str, list[Row]] = defaultdict(list)
     for table in tables.join(probed, "uri", "left").orderBy("file_name", "file_path", "part_path").collect():
@@ -187,37 +193,45 @@ def _csv_groups(
         else:
             folders[table.uri].append(table)
 
-    def dialect(encoding: str, separator: str, multi_line: bool):
-        return lambda paths: csv_tables.read_csv(spark, paths, encoding, separator, multi_line)
+    def files_of(key: tuple) -> Callable[[list[Row]], tuple[DataFrame, list[str]]]:
+        return lambda part: _read_dialect(spark, part, key[:3], sample_rows)
 
-    def parts_of(rows: list[Row]):
+    def parts_of(rows: list[Row]) -> Callable[[list[Row]], tuple[DataFrame, list[str]]]:
         """A folder's parts, those of one dialect and header by one scan, matched by column name."""
-        alike: dict[tuple, list[str]] = defaultdict(list)
+        alike: dict[tuple, list[Row]] = defaultdict(list)
         for r in rows:
-            alike[(r.encoding, r.separator, r.multi_line, r.header)].append(r.part_path)
+            alike[(r.encoding, r.separator, r.multi_line, r.header)].append(r)
 
-        def read(_: list[str]) -> tuple[DataFrame, list[str]]:
-            parts = [dialect(*key[:3])(paths) for key, paths in alike.items()]
-            if sample_rows is not None:
-                parts = [(head_sample(frame, sample_rows), names) for frame, names in parts]
-            return parts[0] if len(parts) == 1 else csv_tables.united(parts)
+        def read(_: list[Row]) -> tuple[DataFrame, list[str]]:
+            parts = [files_of(key)(files) for key, files in alike.items()]
+            frame, names = csv_tables.united(parts)
+            return frame if sample_rows is None else frame.limit(sample_rows), names
 
         return read
 
-    def first_rows(frame: DataFrame, rows: int) -> DataFrame:
-        return head_sample(frame, rows) if by_file else frame.limit(rows)
-
-    scans = [(family, dialect(*key[:3])) for key, family in families.items()]
+    scans = [(family, files_of(key)) for key, family in families.items()]
     scans += [(rows[:1], parts_of(rows)) for rows in folders.values()]
     groups: list[TableGroup] = []
     for family, read in scans:
         try:
-            groups.extend(_groups(spark, family, layout, sample_rows, read, first_rows, text=True))
+            groups.extend(_groups(spark, family, layout, read, text=True))
         except Exception as error:
             rejected.extend((t.file_path, t.file_name, _reason(error)) for t in family)
     return groups, rejected
 
 
+def _probed(spark: SparkSession, listed: list[tuple[str, str]], by_file: bool, sample_rows: int | None) -> DataFrame:
+    """uri, encoding, separator, multi_line, header, size of the CSV files of the listed tables (path, uri)."""
+    paths = [path for path, _ in listed]
+    if sample_rows is None or not csv_records.reachable(listed[0][1]):
+        return csv_tables.probe(spark, paths)
+    uris = [uri for _, uri in listed]
+    if not by_file:
+        parts = discovery.describe(csv_tables.listing(spark, paths))
+        uris = [r.uri for r in parts.select("uri").collect()]
+    return csv_records.probe_heads(spark, uris, sample_rows).withColumn("size", F.lit(None).cast("bigint"))
+
+
 def _reason(error: Exception) -> str:
     return f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
 
