@@ -123,8 +123,9 @@ def _rejections(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFr
 
 
 def _parquet_groups(
-    spark: SparkSession, tables: DataFrame, layout: str, sample_rows: int | None
+    spark: SparkSession, tables: DataFrame, layout: str, sample_rows: int | None, footers: dict[str, int]
 ) -> tuple[list[TableGroup], list[tuple[str, str, str]]]:
+    """Scans of the Parquet tables, and what is turned away; ``footers`` is given the rows of each file by its footer."""
     rejected: list[tuple[str, str, str]] = []
     families: dict[str, list[Row]] = defaultdict(list)
     if layout == discovery.TABLE_PER_FILE:
@@ -132,7 +133,7 @@ def _parquet_groups(
     else:
         probed = tables.withColumn("schema_key", F.lit(parquet_tables.BY_SPARK)).withColumn(
             "error", F.lit(None).cast("string")
-        )
+        ).withColumn("footer_rows", F.lit(None).cast("bigint"))
     for table in probed.collect():
         if table.error:
             rejected.append((table.file_path, table.file_name, table.error))
@@ -143,11 +144,15 @@ def _parquet_groups(
 
     def read(part: list[Row]) -> tuple[DataFrame, list[str]]:
         by_file = layout == discovery.TABLE_PER_FILE
-        frame = parquet_tables.read_parquet(spark, [t.file_path for t in part], merge=not by_file)
+        # a sample cannot be compared with footers; what is damaged fails there
+        skip = sample_rows is None and all(t.footer_rows is not None for t in part)
+        frame = parquet_tables.read_parquet(spark, [t.file_path for t in part], merge=not by_file, skip_damaged=skip)
         return frame if sample_rows is None else seeded_samples(frame, sample_rows, by_file), frame.columns
 
     groups: list[TableGroup] = []
     for family in families.values():
+        if sample_rows is None:
+            footers.update((t.file_path, t.footer_rows) for t in family if t.footer_rows is not None)
         try:
             groups.extend(_groups(spark, family, layout, read, text=False))
         except Exception as error:
@@ -292,8 +297,11 @@ def scan_tables(
     with _case_sensitive(spark):
         groups: list[TableGroup] = []
         problems: list[tuple[str, str, str]] = []
-        for file_format, find in (("parquet", _parquet_groups), ("csv", _csv_groups)):
-            found, failed = find(spark, accepted.filter(F.col("format") == file_format), layout, sample_rows)
+        footers: dict[str, int] = {}
+        for found, failed in (
+            _parquet_groups(spark, accepted.filter("format = 'parquet'"), layout, sample_rows, footers),
+            _csv_groups(spark, accepted.filter("format = 'csv'"), layout, sample_rows),
+        ):
             groups += found
             problems += failed
         groups = [g for g in groups if g.fields]
@@ -307,7 +315,21 @@ def scan_tables(
             rejected += failed_tables
     empty = spark.createDataFrame([], labels.CATALOG_SCHEMA)
     found, surplus = _without_surplus(reduce(DataFrame.unionByName, done, empty))
-    return ScanResult(found, reduce(DataFrame.unionByName, [*rejected, surplus]))
+    found, damaged = _without_damaged(found, footers)
+    return ScanResult(found, reduce(DataFrame.unionByName, [*rejected, surplus, damaged]))
+
+
+def _without_damaged(found: DataFrame, footers: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """The catalog without the files of which fewer rows were read than their footers tell, and those as rejections.
+
+    The profiling pass leaves out what it cannot read, so damaged files, however many, cost no further pass.
+    """
+    told = found.sparkSession.createDataFrame(list(footers.items()), "file_path string, footer_rows bigint")
+    read = found.groupBy("file_path", "file_name").agg(F.max("total_rows").alias("rows"))
+    damaged = read.join(told, "file_path").filter("rows <> footer_rows").select(
+        "file_path", "file_name", F.format_string("damaged: %d of %d rows can be read", "rows", "footer_rows").alias("reason")
+    )
+    return found.join(damaged.select("file_path"), "file_path", "left_anti").select(*found.columns), damaged
 
 
 def _without_surplus(found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from colscope.functions import labels
+from colscope.operators.profile import profile
 from colscope.sources import discovery, exports, scan
 from colscope.sources.catalog_store import CatalogStore
 from colscope.sources.csv_tables import column_names
@@ -224,6 +225,31 @@ def test_a_damaged_file_rejects_only_itself(spark, tmp_path):
     assert [r.file_name for r in found.rejected.collect()] == ["two.parquet"]
 
 
+def test_damaged_files_cost_no_further_pass(spark, tmp_path, monkeypatch):
+    """Some damaged from the first page, one only towards its end, among many; a column of null and an empty file are none of them."""
+    for i in range(40):
+        _write_parquet(f"{tmp_path}/t{i:02d}.parquet", {"a": list(range(500 + i)), "b": [None if i == 7 else f"{i} {k}" for k in range(500 + i)]})
+    _write_parquet(f"{tmp_path}/empty.parquet", {"a": pa.array([], "int64"), "b": pa.array([], "string")})
+    large = pa.table({"a": list(range(60_000)), "b": [f"row {k}" for k in range(60_000)]})
+    pq.write_table(large, f"{tmp_path}/late.parquet", compression="none", use_dictionary=False, row_group_size=20_000)
+    late = pq.read_metadata(f"{tmp_path}/late.parquet").row_group(2).column(0).data_page_offset
+    for name, place in (("t03", 4), ("t31", 4), ("late", late)):
+        with open(f"{tmp_path}/{name}.parquet", "r+b") as file:
+            file.seek(place)
+            file.write(b"\xff" * 3000)
+    passes = []
+    monkeypatch.setattr(scan, "profile", lambda groups, *more: passes.append(len(groups)) or profile(groups, *more))
+    found = scan_folder(spark, str(tmp_path))
+    counts = {(r.file_name, r.column_name): r.total_rows for r in found.schema_info.collect()}
+    whole = {f"t{i:02d}.parquet": 500 + i for i in range(40) if i not in (3, 31)} | {"empty.parquet": 0}
+    assert counts == {(name, c): n for name, n in whole.items() for c in "ab"}
+    reasons = {r.file_name: r.reason for r in found.rejected.collect()}
+    assert reasons.keys() == {"t03.parquet", "t31.parquet", "late.parquet"}
+    assert all(r.startswith("damaged: ") for r in reasons.values()) and len(passes) == 1
+    with pytest.raises(ValueError, match="damaged"):
+        scan_file(spark, f"{tmp_path}/t03.parquet")
+
+
 def test_parts_of_a_folder_may_differ(spark, tmp_path):
     for folder in ("grown", "clash", "swapped", "wide"):
         (tmp_path / folder).mkdir()
