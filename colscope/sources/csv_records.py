@@ -193,13 +193,15 @@ def _with_states(ends: DataFrame) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, records: DataFrame, first: str, dialect: tuple[str, str, bool]) -> tuple[DataFrame, list[str]]:
-    """Records as cells named as ``read_csv`` names them, with the file of each row in ``PATH``."""
+    """Records as cells named as ``read_csv`` names them, the mark of ``read_lines``, and the file of each row in ``PATH``."""
     encoding, separator, multi_line = dialect
     names = csv_tables.header_names(spark, first, encoding, separator, multi_line)
     schema = ", ".join(f"_{i} string" for i in range(len(names) + 1))
-    options = {"sep": separator, "quote": '"', "escape": '"', "multiLine": str(multi_line).lower(), "lineSep": "\n"}
-    cells = records.select(PATH, F.from_csv("record", schema, options).alias("cells")).select(PATH, "cells.*")
-    return csv_tables.marked_surplus(cells, names)
+    cells = F.from_csv("record", schema, csv_tables.parser_options(separator, multi_line)).alias("cells")
+    mark = f"_{len(names) + 1}"
+    bad = F.when(F.col("record").contains("\ufffd"), F.lit("contradicted")).alias(mark)
+    frame, names = csv_tables.marked_surplus(records.select(PATH, cells, bad).select(PATH, "cells.*", mark), names)
+    return frame, [*names, csv_tables.CONTRADICTED]
 
 
 def read_split(
@@ -289,12 +291,13 @@ def probe_heads(spark: SparkSession, uris: list[str], rows: int) -> DataFrame:
             for uri in batch["uri"]:
                 try:
                     with arrow_file(uri) as source:
-                        dialect = _dialect(source, rows)
+                        dialect, size = _dialect(source, rows), source.size()
                 except OSError:
                     continue
                 if dialect:
-                    told.append((uri, *dialect))
-            yield pd.DataFrame(told, columns=["uri", "encoding", "separator", "multi_line", "header"])
+                    told.append((uri, *dialect, size))
+            yield pd.DataFrame(told, columns=["uri", "encoding", "separator", "multi_line", "header", "size"])
 
-    probed = _spread(spark, uris).mapInPandas(probe, "uri string, encoding string, separator string, multi_line boolean, header string")
+    told = "uri string, encoding string, separator string, multi_line boolean, header string, size bigint"
+    probed = _spread(spark, uris).mapInPandas(probe, told)
     return probed.withColumn("header", F.sha2("header", 256))

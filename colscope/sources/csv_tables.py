@@ -1,8 +1,8 @@
 """CSV: dialect probe and untyped reading.
 
-The probe is one distributed pass over the lines of all CSV files; it tells the encoding, whether
-quoted fields span lines, and the header, from which the separator follows. Files of one dialect
-and header are then read by one scan.
+A file's dialect is its encoding, whether quoted fields span lines, and the separator, which follows from the header. It is
+taken from the head of the file (``csv_records.probe_heads``), and rows that contradict it are marked as they are read; of
+those files alone ``probe`` reads all lines. Files of one dialect and header are read by one scan.
 """
 
 from __future__ import annotations
@@ -22,6 +22,11 @@ CSV_FILES = "*.[cC][sS][vV]"
 ENCODINGS = ["UTF-8", "ISO-8859-1"]
 # Stands for the cells beyond the header's; no header can hold this name.
 SURPLUS = "\x00surplus"
+# Stands for a mark on rows that are not what the head of their file led to expect.
+CONTRADICTED = "\x00contradicted"
+MARKS = [SURPLUS, CONTRADICTED]
+# Separates nothing: a line is one cell.
+_NO_SEPARATOR = "\x01\x02\x01"
 
 
 def _fields_in(header: Column, separator: str) -> Column:
@@ -29,6 +34,17 @@ def _fields_in(header: Column, separator: str) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
 
 
+def open_quote(line: Column) -> Column:
+    """Whether a line leaves a quoted field open: a quote that opens one has no partner; a quote inside a field opens nothing."""
+    opening = F.regexp_replace(line, r'(^|[,;\t])\s*"(?:[^"]|"")*"(?=\s*($|[,;\t]))', "$1")
+    return line.contains('"') & F.regexp_like(opening, F.lit(r'(^|[,;\t])\s*"'))
+
+
+def contradicted(line: Column) -> Column:
+    """A mark on a line with a field left open, or with bytes that its encoding does not know."""
+    return F.when(line.contains("\ufffd") | open_quote(line), F.lit("contradicted"))
+
+
 def listing(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The CSV files in given places, as the ``binaryFile`` source lists them."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", CSV_FILES)
@@ -41,7 +57,6 @@ def probe(spark: SparkSession, paths: list[str]) -> DataFrame:
     The separator is the first that gives the header more than one field; a comma if none does. A field spans lines
     only if a quote that opens one has no partner in its line; a quote inside a field opens nothing.
     """
-    opening = F.regexp_replace("value", r'(^|[,;\t])\s*"(?:[^"]|"")*"(?=\s*($|[,;\t]))', "$1")
     position = F.struct(
         F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     )
@@ -54,7 +69,7 @@ def probe(spark: SparkSession, paths: list[str]) -> DataFrame:
             F.col("_metadata.file_path").alias("uri"),
             F.col("_metadata.file_size").alias("size"),
             position.alias("position"),
-            F.regexp_like(opening, F.lit(r'(^|[,;\t])\s*"')).cast("int").alias("open"),
+            open_quote(F.col("value")).cast("int").alias("open"),
         )
     )
     separator = F.lit(SEPARATORS[0])
@@ -135,9 +150,36 @@ def read_csv(
     return marked_surplus(frame, names)
 
 
+def parser_options(separator: str, multi_line: bool) -> dict[str, str]:
+    """Options of ``from_csv`` that parse a record as ``read_csv`` does."""
+    return {"sep": separator, "quote": '"', "escape": '"', "multiLine": str(multi_line).lower(), "lineSep": "\n"}
+
+
+def read_lines(spark: SparkSession, paths: list[str], encoding: str, separator: str, path_column: str) -> tuple[DataFrame, list[str]]:
+    """What ``read_csv`` reads of files whose records are lines, with a second last column, ``CONTRADICTED``, and the file of a row.
+
+    The mark is set in rows by which a file is not what it was taken for: then what was read of it does not count.
+    """
+    names = header_names(spark, paths[0], encoding, separator, False)
+    if not names:
+        return spark.createDataFrame([], T.StructType([])), []
+    lines = (
+        _reader(spark, encoding, _NO_SEPARATOR, False).option("quote", "").schema("line string")
+        .option("header", True).option("enforceSchema", True).csv([glob_safe(p) for p in paths])
+    )
+    schema = ", ".join(f"_{i} string" for i in range(len(names) + 1))
+    cells = lines.select(
+        F.col("_metadata.file_path").alias(path_column),
+        F.from_csv("line", schema, parser_options(separator, False)).alias("cells"),
+        contradicted(F.col("line")).alias(f"_{len(names) + 1}"),
+    )
+    frame, names = marked_surplus(cells.select(path_column, "cells.*", f"_{len(names) + 1}"), names)
+    return frame, [*names, CONTRADICTED]
+
+
 def united(parts: list[tuple[DataFrame, list[str]]]) -> tuple[DataFrame, list[str]]:
     """Parts of one table, whose headers may differ, by column name; a column that a part lacks is null there."""
-    names = list(dict.fromkeys(n for _, own in parts for n in own if n != SURPLUS)) + [SURPLUS]
+    names = list(dict.fromkeys(n for _, own in parts for n in own if n not in MARKS)) + MARKS
     frames = []
     for frame, own in parts:
         place = {name: i for i, name in enumerate(own)}

@@ -24,6 +24,8 @@ from colscope.sources import csv_records, csv_tables, discovery, parquet_tables
 
 GROUPS_PER_JOB = 50
 TABLES_PER_GROUP = 10_000
+# Rows that the dialect of a CSV file is taken from; rows after them may contradict it.
+HEAD_ROWS = 100
 _SAMPLE_SEED = 42
 # Columns that a sample tells its rows' places by.
 PATH, ROW = csv_records.PATH, "_colscope_row"
@@ -161,9 +163,12 @@ def _parquet_groups(
 
 
 def _read_dialect(
-    spark: SparkSession, files: list[Row], dialect: tuple[str, str, bool], sample_rows: int | None
+    spark: SparkSession, files: list[Row], dialect: tuple[str, str, bool], sample_rows: int | None, by_heads: bool
 ) -> tuple[DataFrame, list[str]]:
-    """CSV files (part_uri, part_path, size) of one dialect and header; their first rows, if only a sample is wanted."""
+    """CSV files (part_uri, part_path, size) of one dialect and header; their first rows, if only a sample is wanted.
+
+    ``by_heads`` tells that the dialect is known of their heads only.
+    """
     uris, paths = [f.part_uri for f in files], [f.part_path for f in files]
     reachable = csv_records.reachable(uris[0])
     if sample_rows is not None and reachable:
@@ -174,18 +179,21 @@ def _read_dialect(
         return reduce(DataFrame.unionByName, [head.withColumn(PATH, F.lit(uri)) for head, uri in heads]), names
     if dialect[2] and reachable:
         return csv_records.read_split(spark, [(f.part_uri, f.size) for f in files], paths, *dialect[:2])
+    if by_heads and reachable:
+        return csv_tables.read_lines(spark, paths, *dialect[:2], PATH)
     return csv_tables.read_csv(spark, paths, *dialect)
 
 
 def _csv_groups(
-    spark: SparkSession, tables: DataFrame, layout: str, sample_rows: int | None
+    spark: SparkSession, tables: DataFrame, layout: str, sample_rows: int | None, by_heads: bool = True
 ) -> tuple[list[TableGroup], list[tuple[str, str, str]]]:
+    """Scans of the CSV tables, and what is turned away; dialects are taken from heads, or from all lines."""
     rejected: list[tuple[str, str, str]] = []
     listed = tables.select("file_path", "uri").collect()
     if not listed:
         return [], []
     by_file = layout == discovery.TABLE_PER_FILE
-    probed = _probed(spark, [(r.file_path, r.uri) for r in listed], by_file, sample_rows).withColumnRenamed("uri", "part_uri")
+    probed = _probed(spark, [(r.file_path, r.uri) for r in listed], by_file, sample_rows, by_heads).withColumnRenamed("uri", "part_uri")
     probed = probed.withColumn("uri", F.col("part_uri") if by_file else discovery.parent_folder(F.col("part_uri")))
     probed = probed.withColumn("part_path", discovery.plain_path(F.col("part_uri")))
     families: dict[tuple, list[Row]] = defaultdict(list)
@@ -199,7 +207,7 @@ def _csv_groups(
             folders[table.uri].append(table)
 
     def files_of(key: tuple) -> Callable[[list[Row]], tuple[DataFrame, list[str]]]:
-        return lambda part: _read_dialect(spark, part, key[:3], sample_rows)
+        return lambda part: _read_dialect(spark, part, key[:3], sample_rows, by_heads)
 
     def parts_of(rows: list[Row]) -> Callable[[list[Row]], tuple[DataFrame, list[str]]]:
         """A folder's parts, those of one dialect and header by one scan, matched by column name."""
@@ -225,16 +233,18 @@ def _csv_groups(
     return groups, rejected
 
 
-def _probed(spark: SparkSession, listed: list[tuple[str, str]], by_file: bool, sample_rows: int | None) -> DataFrame:
+def _probed(
+    spark: SparkSession, listed: list[tuple[str, str]], by_file: bool, sample_rows: int | None, by_heads: bool
+) -> DataFrame:
     """uri, encoding, separator, multi_line, header, size of the CSV files of the listed tables (path, uri)."""
     paths = [path for path, _ in listed]
-    if sample_rows is None or not csv_records.reachable(listed[0][1]):
+    if not (by_heads or sample_rows) or not csv_records.reachable(listed[0][1]):
         return csv_tables.probe(spark, paths)
     uris = [uri for _, uri in listed]
     if not by_file:
         parts = discovery.describe(csv_tables.listing(spark, paths))
         uris = [r.uri for r in parts.select("uri").collect()]
-    return csv_records.probe_heads(spark, uris, sample_rows).withColumn("size", F.lit(None).cast("bigint"))
+    return csv_records.probe_heads(spark, uris, sample_rows or HEAD_ROWS)
 
 
 def _reason(error: Exception) -> str:
@@ -304,15 +314,25 @@ def scan_tables(
         ):
             groups += found
             problems += failed
-        groups = [g for g in groups if g.fields]
-        done: list[DataFrame] = []
         rejected: list[DataFrame] = [oversize, _rejections(spark, problems)]
-        for start in range(0, len(groups), GROUPS_PER_JOB):
-            rows, failed_tables = _profile_or_split(
-                spark, groups[start:start + GROUPS_PER_JOB], labels_mode, exact
-            )
-            done += rows
-            rejected += failed_tables
+
+        def run(groups: list[TableGroup]) -> list[DataFrame]:
+            groups = [g for g in groups if g.fields]
+            rows: list[DataFrame] = []
+            for start in range(0, len(groups), GROUPS_PER_JOB):
+                part, failed = _profile_or_split(spark, groups[start:start + GROUPS_PER_JOB], labels_mode, exact)
+                rows += part
+                rejected.extend(failed)
+            return rows
+
+        done = run(groups)
+        contradicted = [] if sample_rows else _contradicted(done)
+        if contradicted:
+            wrong = spark.createDataFrame([(p,) for p in contradicted], "file_path string")
+            done = [rows.join(wrong, "file_path", "left_anti").select(*rows.columns) for rows in done]
+            found, failed = _csv_groups(spark, accepted.join(wrong, "file_path", "left_semi"), layout, None, by_heads=False)
+            rejected.append(_rejections(spark, failed))
+            done += run(found)
     empty = spark.createDataFrame([], labels.CATALOG_SCHEMA)
     found, surplus = _without_surplus(reduce(DataFrame.unionByName, done, empty))
     found, damaged = _without_damaged(found, footers)
@@ -332,14 +352,20 @@ def _without_damaged(found: DataFrame, footers: dict[str, int]) -> tuple[DataFra
     return found.join(damaged.select("file_path"), "file_path", "left_anti").select(*found.columns), damaged
 
 
+def _contradicted(done: list[DataFrame]) -> list[str]:
+    """Paths of the tables with rows that are not of the dialect their heads show."""
+    marked = [rows.filter((F.col("column_name") == csv_tables.CONTRADICTED) & (F.col("null_count") < F.col("total_rows"))) for rows in done]
+    return [r.file_path for r in reduce(DataFrame.unionByName, marked).select("file_path").distinct().collect()] if done else []
+
+
 def _without_surplus(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The catalog without the surplus column, and the tables that have cells in it as rejections."""
+    """The catalog without the marks, and the tables that have surplus cells as rejections."""
     marks = found.filter(F.col("column_name") == csv_tables.SURPLUS)
     surplus = marks.filter("null_count < total_rows").select(
         "file_path", "file_name",
         F.format_string("%d rows hold more cells than the header", F.col("total_rows") - F.col("null_count")).alias("reason"),
     )
-    kept = found.filter(F.col("column_name") != csv_tables.SURPLUS)
+    kept = found.filter(~F.col("column_name").isin(csv_tables.MARKS))
     return kept.join(surplus.select("file_path"), "file_path", "left_anti").select(*found.columns), surplus
 
 

@@ -35,8 +35,8 @@ def test_split_reads_equal_whole_reads(spark, tmp_path, sep, end, encoding, rang
     files = [(f"file://{p}", os.path.getsize(p)) for p in paths]
     whole, names = csv_tables.read_csv(spark, paths, encoding, sep, True)
     split, same_names = csv_records.read_split(spark, files, paths, encoding, sep, range_bytes)
-    assert names == same_names
-    assert sorted(map(repr, split.drop(csv_records.PATH).collect())) == sorted(map(repr, whole.collect()))
+    assert [*names, csv_tables.CONTRADICTED] == same_names
+    assert sorted(map(repr, split.drop(csv_records.PATH, f"_{len(names)}").collect())) == sorted(map(repr, whole.collect()))
     assert {r[0] for r in split.select(csv_records.PATH).distinct().collect()} <= {u for u, _ in files}
 
 
@@ -121,3 +121,44 @@ def test_a_first_line_that_is_blank(spark, tmp_path):
     sampled = {r.column_name: r.total_rows for r in scan_file(spark, f"{tmp_path}/a.csv", sample_rows=5).collect()}
     assert sampled == {"a": 1, "b": 1}
     assert scan.PATH == csv_records.PATH
+
+
+def test_lines_read_with_marks_equal_whole_reads(spark, tmp_path):
+    """Quotes that stay within their line: the rows of Spark's reader, and no mark."""
+    rng = random.Random(3)
+    paths = []
+    for i in range(3):
+        lines = [",".join(_cell(rng, ",", "") for _ in range(rng.choice([2, 3, 4]))) for _ in range(60)]
+        path = tmp_path / f"{i}.csv"
+        path.write_text("\n".join(["h1,h2,h3", *(line for line in lines if not csv_records.open_after(line.encode(), False, ","))]))
+        paths.append(str(path))
+    whole, names = csv_tables.read_csv(spark, paths)
+    lines, _ = csv_tables.read_lines(spark, paths, "UTF-8", ",", csv_records.PATH)
+    assert sorted(map(repr, lines.drop(csv_records.PATH, f"_{len(names)}").collect())) == sorted(map(repr, whole.collect()))
+
+
+@pytest.mark.parametrize("layout", ["file", "folder"])
+def test_only_contradicted_files_are_probed_in_full(spark, tmp_path, monkeypatch, layout):
+    """What a head does not show (an open quote, another encoding) shows in the profile; those files alone are read again."""
+    plain = "".join(f"{i},x{i}\n" for i in range(200))
+    late = {
+        "plain": plain,
+        "quote": plain + '200,"two\nlines"\n',
+        "latin": plain + "200,\xfc\n",
+        "both": '0,"a\nb"\n' + plain + "201,\xfc\n",
+        "inch": plain + '200,12" pipe\n',
+    }
+    for name, text in late.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.csv").write_bytes(("id,name\n" + text).encode("latin-1"))
+    probed, probe = [], csv_tables.probe
+    monkeypatch.setattr(csv_tables, "probe", lambda spark, paths: probed.extend(paths) or probe(spark, paths))
+    found = scan_folder(spark, str(tmp_path), layout=layout)
+    names = {r.file_name.removesuffix(".csv"): (r.data_type, r.null_count, r.unique_count, r.total_rows)
+             for r in found.schema_info.filter("column_name = 'name'").collect()}
+    assert names == {
+        "plain": ("string", 0, 200, 200), "quote": ("string", 0, 201, 201), "latin": ("string", 0, 201, 201),
+        "both": ("string", 0, 202, 202), "inch": ("string", 0, 201, 201),
+    }
+    assert {r.column_name for r in found.schema_info.collect()} == {"id", "name"} and found.rejected.count() == 0
+    assert {p.split("/")[-1].removesuffix(".csv") for p in probed} == {"quote", "latin", "both"}
