@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import unquote
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colscope.session import cut_lineage
+
 SUPPORTED = r"(?i)\.(csv|parquet)$"
 MIB = 1048576
 TABLE_PER_FILE = "file"
@@ -72,31 +77,57 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def unlisted(folder: str) -> list[tuple[str, str, str]]:
-    """(file_path, file_name, reason) of the supported files that Spark's listing leaves out: hidden and empty ones.
+def _listed(folder: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a folder, given as path or URI, and its path there."""
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder[len("file:"):].lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+def unlisted(spark: SparkSession, folder: str) -> DataFrame:
+    """file_path, file_name, reason of the supported files that Spark's listing leaves out: hidden and empty ones.
 
-    Names and sizes only, by the Arrow file systems; of a scheme they do not know nothing can be said.
+    Folders are listed on the executors, level by level; the driver learns how many folders a level has. A folder that cannot
+    be listed, or is of a scheme that the Arrow file systems do not know, is a row of its own.
     """
+    told = "file_path string, file_name string, reason string"
     try:
-        if folder.startswith("file:"):
-            system, root = fs.LocalFileSystem(), "/" + folder[len("file:"):].lstrip("/")
-        elif "://" in folder:
-            system, root = fs.FileSystem.from_uri(folder)
-        else:
-            system, root = fs.LocalFileSystem(), folder
-        entries = system.get_file_info(fs.FileSelector(root, recursive=True))
-    except Exception:
-        return []
+        system, root = _listed(folder)
+        if system.get_file_info(root).type != fs.FileType.Directory:
+            return spark.createDataFrame([], told)
+    except Exception as error:
+        reason = f"hidden and empty files are not listed: {type(error).__name__}"
+        return spark.createDataFrame([(folder, folder.rstrip("/").rsplit("/", 1)[-1], reason)], told)
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = _listed(folder)
+        for batch in batches:
+            for path, hidden in zip(batch["file_path"], batch["hidden"]):
+                rows = []
+                try:
+                    entries = system.get_file_info(fs.FileSelector(path))
+                except OSError as error:
+                    entries = []
+                    rows.append((path, path.rsplit("/", 1)[-1], f"folder not listed: {type(error).__name__}", False, False))
+                for entry in entries:
+                    name = entry.base_name
+                    unseen = bool(hidden) or name.startswith(".") or (name.startswith("_") and "=" not in name)
+                    if entry.type == fs.FileType.Directory:
+                        rows.append((entry.path, name, None, True, unseen))
+                    elif re.search(SUPPORTED, name) and (unseen or entry.size == 0):
+                        reason = "hidden from Spark's readers by its name" if unseen else "No columns to parse from file"
+                        rows.append((entry.path, name, reason, False, unseen))
+                yield pd.DataFrame(rows, columns=["file_path", "file_name", "reason", "folder", "hidden"])
+
+    level, folders = spark.createDataFrame([(root, False)], "file_path string, hidden boolean"), 1
     found = []
-    for entry in entries:
-        if entry.type != fs.FileType.File or not re.search(SUPPORTED, entry.base_name):
-            continue
-        steps = entry.path[len(root):].strip("/").split("/")
-        if any(s.startswith(".") or s.startswith("_") and "=" not in s for s in steps):
-            found.append((entry.path, entry.base_name, "hidden from Spark's readers by its name"))
-        elif entry.size == 0:
-            found.append((entry.path, entry.base_name, "No columns to parse from file"))
-    return sorted(found)
+    while folders:
+        tasks = min(folders, spark.sparkContext.defaultParallelism)
+        entries = cut_lineage(level.repartition(tasks).mapInPandas(children, f"{told}, folder boolean, hidden boolean"))
+        found.append(entries.filter("NOT folder").select("file_path", "file_name", "reason"))
+        level = entries.filter("folder").select("file_path", "hidden")
+        folders = level.count()
+    return reduce(DataFrame.unionByName, found)
 
 
 def tables_of(files: DataFrame, layout: str = TABLE_PER_FILE) -> DataFrame:

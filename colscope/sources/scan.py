@@ -287,8 +287,7 @@ def scan_folder(
     """
     tables = discovery.tables_of(discovery.discover(spark, folder), layout)
     result = scan_tables(spark, tables, layout, max_file_size_mb, sample_rows, labels_mode, exact)
-    left_out = _rejections(spark, discovery.unlisted(folder))
-    return ScanResult(result.schema_info, result.rejected.unionByName(left_out))
+    return ScanResult(result.schema_info, result.rejected.unionByName(discovery.unlisted(spark, folder)))
 
 
 def scan_tables(

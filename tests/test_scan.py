@@ -294,3 +294,22 @@ def test_estimates_of_csv_columns(spark, lake):
     exact = rows(scan_folder(spark, lake, labels_mode="reference").schema_info, "a.csv")
     estimated = rows(scan_folder(spark, lake, labels_mode="reference", exact=False).schema_info, "a.csv")
     assert estimated == exact  # so few values are counted without error
+
+
+def test_hidden_and_empty_files_at_any_depth(spark, tmp_path):
+    files = ["a.csv", "x/y/z/_h.csv", "x/.d/b.parquet", "x/_d/e/c.CSV", "x/k=_1/_p=2/d.csv", "x/w/.t.txt", "é ü/%41.csv"]
+    for name in files:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name in ("a.csv", "x/_d/e/c.CSV", "é ü/%41.csv") else "a,b\n1,2\n")
+    (tmp_path / "x/none").mkdir()
+    hidden, empty = "hidden from Spark's readers by its name", "No columns to parse from file"
+    expected = {
+        "x/y/z/_h.csv": hidden, "x/.d/b.parquet": hidden, "x/_d/e/c.CSV": hidden, "a.csv": empty, "é ü/%41.csv": empty,
+    }
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        found = discovery.unlisted(spark, folder).collect()
+        assert {r.file_path: r.reason for r in found} == {f"{tmp_path}/{name}": reason for name, reason in expected.items()}
+        assert all(r.file_path.endswith("/" + r.file_name) for r in found) and len(found) == len(expected)
+    assert discovery.unlisted(spark, f"{tmp_path}/x/y/z/_h.csv").count() == 0
+    unknown = discovery.unlisted(spark, "nowhere://host/lake").collect()
+    assert [(r.file_name, r.reason.startswith("hidden and empty files are not listed")) for r in unknown] == [("lake", True)]
