@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions import labels
+from colscope.operators import sketches
 
 _SECOND_SEED = 7919
 _TABLE = "_colscope_table"
@@ -160,7 +161,70 @@ def _approximate_counts(groups: Sequence[TableGroup]) -> DataFrame:
     return _union(frames).select("table_id", "column_pos", "total_rows", "null_count", "unique_count")
 
 
-_KINDS = ["integer", "float", "boolean", "string"]
+_KINDS = sketches.KINDS
+
+
+def _sketched_counts(groups: Sequence[TableGroup]) -> DataFrame:
+    """Rows, nulls and a sketch of the values per table and column, in the columns of ``_sketched_text_columns``."""
+    frames = []
+    for group in groups:
+        values = []
+        for f in group.fields:
+            whole = isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType))
+            value = _comparable(_quoted(f.name), f.dataType)
+            values.append(F.expr(f"cast({value} AS bigint)" if whole else value))
+        counts = group.frame.groupBy(group.table_id.alias("table_id")).agg(
+            F.count(F.lit(1)).alias("total_rows"),
+            *[F.count(v).alias(f"present_{i}") for i, v in enumerate(values)],
+            *[sketches.sketch(v).alias(f"sketch_{i}") for i, v in enumerate(values)],
+        )
+        per_column = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("column_pos"),
+                    (F.col("total_rows") - F.col(f"present_{i}")).alias("null_count"),
+                    F.col(f"sketch_{i}").alias("value_sketch"),
+                )
+                for i in range(len(values))
+            ]
+        )
+        frames.append(counts.select("table_id", "total_rows", F.inline(per_column)))
+    return _union(frames).select(
+        "table_id", "column_pos", "total_rows", "null_count", "value_sketch",
+        F.lit(None).cast("binary").alias("spelling_sketch"),
+        *[F.lit(None).cast("boolean").alias(f"has_{kind}") for kind in _KINDS],
+    )
+
+
+def _sketched_text_columns(groups: Sequence[TableGroup]) -> DataFrame:
+    """Per CSV column: rows, nulls, the kinds of cells and sketches of values and spellings, in one pass."""
+    cells = _union([_text_cells(g) for g in groups]).withColumn("kind", labels.cell_kind(F.col("cell")))
+    return (
+        cells.withColumn("value", labels.cell_value(F.col("cell"), F.col("kind")))
+        .groupBy("table_id", "column_pos")
+        .agg(
+            F.count(F.lit(1)).alias("total_rows"),
+            F.count_if(F.col("value").isNull()).alias("null_count"),
+            sketches.sketch(F.col("value")).alias("value_sketch"),
+            sketches.sketch(F.col("cell")).alias("spelling_sketch"),
+            *[F.coalesce(F.max(F.col("kind") == kind), F.lit(False)).alias(f"has_{kind}") for kind in _KINDS],
+        )
+    )
+
+
+def _sketched(typed: Sequence[TableGroup], text: Sequence[TableGroup], mode: str) -> list[DataFrame]:
+    """Counts with sketches; distinct counts are what the sketches estimate."""
+    frames = []
+    if typed:
+        values = F.hll_sketch_estimate("value_sketch").alias("unique_count")
+        frames.append(_sketched_counts(typed).select("*", values, F.lit(None).cast("string").alias("data_type")))
+    if text:
+        has = {kind: F.col(f"has_{kind}") for kind in _KINDS}
+        label = labels.csv_label(has, F.col("total_rows"), F.col("null_count"), mode)
+        columns = _sketched_text_columns(text).withColumn("data_type", label)
+        values, spellings = (F.hll_sketch_estimate(f"{name}_sketch") for name in ("value", "spelling"))
+        frames.append(columns.withColumn("unique_count", sketches.csv_unique(F.col("data_type"), values, spellings)))
+    return frames
 
 
 def _approximate_text_columns(groups: Sequence[TableGroup]) -> DataFrame:
@@ -233,11 +297,12 @@ def _columns_of(group: TableGroup, mode: str) -> DataFrame:
 
 
 def profile(
-    groups: Sequence[TableGroup], labels_mode: str = labels.NATIVE, exact: bool = True
+    groups: Sequence[TableGroup], labels_mode: str = labels.NATIVE, exact: bool = True, sketched: bool = False
 ) -> DataFrame:
     """Catalog rows (``CATALOG_SCHEMA``) of all tables of ``groups``.
 
     ``exact=False`` estimates the distinct counts in one pass without a shuffle of values: the mode for large lakes.
+    ``sketched`` does so too and adds the sketches (``SKETCHED_SCHEMA``), by which profiles of parts can be united.
     """
     groups = [g for g in groups if g.fields]
     if not groups:
@@ -245,11 +310,11 @@ def profile(
     described = _union([_columns_of(g, labels_mode) for g in groups])
     typed = [g for g in groups if not g.text]
     text = [g for g in groups if g.text]
-    counts = []
-    if typed:
+    counts = _sketched(typed, text, labels_mode) if sketched else []
+    if typed and not sketched:
         typed_counts = _typed_counts(typed) if exact else _approximate_counts(typed)
         counts.append(typed_counts.withColumn("data_type", F.lit(None).cast("string")))
-    if text:
+    if text and not sketched:
         counts.append(_text_counts(text, labels_mode, exact))
     known = described.join(_union(counts), ["table_id", "column_pos"], "left")
     label = F.coalesce("data_type", "label")
@@ -269,6 +334,7 @@ def profile(
         count_of("total_rows", zero_if_unknown=False),
         "file_size_mb",
         F.current_timestamp().alias("last_scanned"),
+        *([f.name for f in sketches.SKETCH_FIELDS] if sketched else []),
     )
 
 

@@ -1,8 +1,9 @@
 """The stored catalog: an append-only log of Parquet rows; of every file the rows of its newest version are current.
 
 An update costs what it brings, not the size of the catalog, and never touches what readers hold. Versions are clock
-readings, so writers need no listing and cannot claim the same folder; of two writers of one file the later wins.
-``compacted`` writes the current rows elsewhere, without history.
+readings, so writers need no listing and cannot claim the same folder; of two writers of one file the one with the later
+clock wins, so writers' clocks have to agree better than their updates of a file follow each other.
+A read takes the log once. ``compacted`` writes the current rows elsewhere, without history.
 """
 
 from __future__ import annotations
@@ -10,46 +11,43 @@ from __future__ import annotations
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions.labels import CATALOG_SCHEMA
 
-_LOG = T.StructType(
-    [*CATALOG_SCHEMA.fields, T.StructField("version", T.LongType()), T.StructField("removed", T.BooleanType())]
-)
-
-
 class CatalogStore:
     """Catalog rows keyed by (file_path, column_name)."""
 
+    schema = CATALOG_SCHEMA
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
 
     def _log(self) -> DataFrame:
+        fields = [*self.schema.fields, T.StructField("version", T.LongType()), T.StructField("removed", T.BooleanType())]
         try:
-            return self.spark.read.schema(_LOG).option("recursiveFileLookup", "true").parquet(self.root)
+            return self.spark.read.schema(T.StructType(fields)).option("recursiveFileLookup", "true").parquet(self.root)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], _LOG)
+            return self.spark.createDataFrame([], T.StructType(fields))
 
     def _newest(self) -> DataFrame:
-        """The log rows of every file's newest version, removals included."""
-        log = self._log()
-        newest = log.groupBy("file_path").agg(F.max("version").alias("version"))
-        return log.join(newest, ["file_path", "version"]).select(*_LOG.fieldNames())
+        """The log rows of every file's newest version, removals included; one shuffle of the log by file."""
+        newest = F.max("version").over(Window.partitionBy("file_path"))
+        return self._log().withColumn("newest", newest).filter("version = newest").drop("newest")
 
     def read(self) -> DataFrame:
         """The current catalog; an absent one is empty."""
-        return self._newest().filter("NOT removed").select(*CATALOG_SCHEMA.fieldNames())
+        return self._newest().filter("NOT removed").select(*self.schema.fieldNames())
 
     def _append(self, rows: DataFrame, removed: bool) -> DataFrame:
         (
             rows.select(
-                *CATALOG_SCHEMA.fieldNames(), F.lit(time.time_ns()).alias("version"), F.lit(removed).alias("removed")
+                *self.schema.fieldNames(), F.lit(time.time_ns()).alias("version"), F.lit(removed).alias("removed")
             )
             .repartitionByRange("file_path", "column_name")
             .sortWithinPartitions("file_path", "column_name")
@@ -65,7 +63,7 @@ class CatalogStore:
     def _remove(self, rows: DataFrame) -> DataFrame:
         """Append a removal for every file in ``rows``."""
         empty = [
-            F.lit(None).cast(f.dataType).alias(f.name) for f in CATALOG_SCHEMA.fields if f.name not in ("file_path", "file_name")
+            F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields if f.name not in ("file_path", "file_name")
         ]
         return self._append(rows.select("file_path", "file_name", *empty).distinct(), removed=True)
 

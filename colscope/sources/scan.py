@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions import labels
 from colscope.operators.profile import TableGroup, profile
+from colscope.operators.sketches import SKETCHED_SCHEMA
 from colscope.session import cut_lineage
 from colscope.sources import csv_records, csv_tables, discovery, parquet_tables
 
@@ -252,11 +253,11 @@ def _reason(error: Exception) -> str:
 
 
 def _profile_or_split(
-    spark: SparkSession, groups: list[TableGroup], mode: str, exact: bool
+    spark: SparkSession, groups: list[TableGroup], mode: str, exact: bool, sketched: bool
 ) -> tuple[list[DataFrame], list[DataFrame]]:
     """Profile a chunk; if it fails, halve it, then its scans, until the failing table is alone; reject that one."""
     try:
-        return [cut_lineage(profile(groups, mode, exact))], []
+        return [cut_lineage(profile(groups, mode, exact, sketched))], []
     except Exception as error:
         if len(groups) == 1 and groups[0].halves is not None:
             try:
@@ -267,7 +268,7 @@ def _profile_or_split(
             reason = F.lit(_reason(error))
             return [], [groups[0].tables.select("file_path", "file_name", reason.alias("reason"))]
     middle = len(groups) // 2
-    left, right = (_profile_or_split(spark, part, mode, exact) for part in (groups[:middle], groups[middle:]))
+    left, right = (_profile_or_split(spark, part, mode, exact, sketched) for part in (groups[:middle], groups[middle:]))
     return left[0] + right[0], left[1] + right[1]
 
 
@@ -298,8 +299,12 @@ def scan_tables(
     sample_rows: int | None = None,
     labels_mode: str = labels.NATIVE,
     exact: bool = True,
+    sketched: bool = False,
 ) -> ScanResult:
-    """``scan_folder`` of a given list of tables (``discovery.tables_of``)."""
+    """``scan_folder`` of a given list of tables (``discovery.tables_of``).
+
+    ``sketched`` estimates distinct counts by sketches, which the rows then hold (``sketches.SKETCHED_SCHEMA``).
+    """
     if sample_rows is not None and sample_rows <= 0:
         sample_rows = None
     accepted, oversize = discovery.size_gate(tables, max_file_size_mb)
@@ -319,7 +324,7 @@ def scan_tables(
             groups = [g for g in groups if g.fields]
             rows: list[DataFrame] = []
             for start in range(0, len(groups), GROUPS_PER_JOB):
-                part, failed = _profile_or_split(spark, groups[start:start + GROUPS_PER_JOB], labels_mode, exact)
+                part, failed = _profile_or_split(spark, groups[start:start + GROUPS_PER_JOB], labels_mode, exact, sketched)
                 rows += part
                 rejected.extend(failed)
             return rows
@@ -332,7 +337,7 @@ def scan_tables(
             found, failed = _csv_groups(spark, accepted.join(wrong, "file_path", "left_semi"), layout, None, by_heads=False)
             rejected.append(_rejections(spark, failed))
             done += run(found)
-    empty = spark.createDataFrame([], labels.CATALOG_SCHEMA)
+    empty = spark.createDataFrame([], SKETCHED_SCHEMA if sketched else labels.CATALOG_SCHEMA)
     found, surplus = _without_surplus(reduce(DataFrame.unionByName, done, empty))
     found, damaged = _without_damaged(found, footers)
     return ScanResult(found, reduce(DataFrame.unionByName, [*rejected, surplus, damaged]))
