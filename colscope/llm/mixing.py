@@ -5,10 +5,12 @@ runs straight. Integrating a source's share gives its part of all words, and a t
 times the source's size (the excess goes to the others by their parts). A source fills its target by whole passes
 over its documents in a fixed pseudo-random order, the last pass as far as it reaches, cutting one document.
 Inverting the source's cumulative demand turns the place of a document within its source into a position in
-training, by which the documents are range-sorted.
+training, by which the documents are range-sorted. ``tilt`` lets the sources of the first weight begin above their share and
+end below it, the others the other way round; over the whole training each keeps the part its weights give.
 
 Skew: a source may hold any share of the rows. The running total within a source is taken in ``BUCKETS`` slices of
-the pseudo-random order, so no task holds a source; slices are pre-aggregated.
+the pseudo-random order, so no task holds a source; slices are pre-aggregated. The order is that of a digest of doc_id and
+text, so rows without a doc_id, or with one id, are spread like others. Only rows equal in both stay in one slice.
 
 Defined cases: a null or wordless text has size 0 and is taken with 0 words; the null source is a source of its own,
 last in order; equal rows are separate documents; no rows in, no rows out; if no document has words every target is 0.
@@ -29,7 +31,7 @@ REPEAT = 3
 BUCKETS = 4096
 
 
-def _sources(sizes: DataFrame, knots: Sequence, repeat: int) -> DataFrame:
+def _sources(sizes: DataFrame, knots: Sequence, repeat: int, tilt: float) -> DataFrame:
     """One row per source: its size, the shares at the knots, its part of all words and its target.
 
     The table has a row per source, not per document; its windows run over that dimension only.
@@ -37,11 +39,15 @@ def _sources(sizes: DataFrame, knots: Sequence, repeat: int) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
     everything = Window.partitionBy()
     table = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", rank)
-    for i, (_, weights) in enumerate(knots):
+    for i, (time, weights) in enumerate(knots):
         cycle = F.array(*[F.lit(float(w)) for w in weights])
         weight = F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))
         table = table.withColumn(f"weight{i}", weight)
         table = table.withColumn(f"share{i}", F.col(f"weight{i}") / F.sum(f"weight{i}").over(everything))
+        first = F.when(F.col("rank") % len(weights) == 0, 1.0).otherwise(0.0)
+        lean = first - F.sum(F.col(f"share{i}") * first).over(everything)  # the shares' mean of it is 0
+        table = table.withColumn(f"lean{i}", lean)
+        table = table.withColumn(f"share{i}", F.col(f"share{i}") * (1 + tilt * (1 - 2 * float(time)) * F.col(f"lean{i}")))
     part = F.lit(0.0)
     for i in range(len(knots) - 1):
         span = float(knots[i + 1][0] - knots[i][0])
@@ -79,25 +85,27 @@ def _position(knots: Sequence, fraction: Column) -> Column:
     return out
 
 
-def mix(documents: DataFrame, columns: Sequence[str] = ("doc_id",), knots: Sequence = CONSTANT, repeat: int = REPEAT) -> DataFrame:
+def mix(
+    documents: DataFrame, columns: Sequence[str] = ("doc_id",), knots: Sequence = CONSTANT, repeat: int = REPEAT, tilt: float = 0.0
+) -> DataFrame:
     """One row per document: ``document`` (a struct of ``columns``), size, source_size, target, taken (words,
-    repeats counted), passes (array of epoch, words, position; empty if nothing is taken)."""
+    repeats counted), passes (array of epoch, words, position; empty if nothing is taken). ``tilt`` is 0 to 1."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    none = F.lit("")
+    place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), none), F.lit(":"), F.md5(F.coalesce("text", none))))
     rows = documents.select(
-        F.struct(*columns).alias("document"), F.col("source"), size.alias("size"), place.alias("place"),
-        F.xxhash64("text").alias("tie"),
-    )
+        F.struct(*columns).alias("document"), F.col("source"), size.alias("size"), place.alias("place")
+    )
     sizes = stored(
         rows.groupBy("source", F.conv(F.substring("place", 1, 3), 16, 10).cast("int").alias("bucket"))
         .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     )
-    sources = stored(_sources(sizes, knots, repeat))
+    sources = stored(_sources(sizes, knots, repeat, tilt))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begun = stored(sizes.select("source", "bucket", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("begun")))
     within = (
         Window.partitionBy("source", "bucket")
-        .orderBy("place", F.col("document.doc_id"), "size", "tie")
+        .orderBy("place", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     rows = rows.withColumn("bucket", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))

@@ -19,12 +19,17 @@ SELECT doc_id, keep_id, group_size, id = keep_row AS kept, sha256(bare) AS text_
     "op4_curriculum_mix": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents
-), s AS (
+), w AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS source_size,
          [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight
   FROM d GROUP BY source
+), s AS (
+  SELECT *, weight / sum(weight) OVER () AS part, CASE weight WHEN 5 THEN 1 ELSE 0 END
+         - sum(CASE weight WHEN 5 THEN weight ELSE 0 END) OVER () / sum(weight) OVER () AS lean,
+         sum(source_size) OVER () AS total
+  FROM w
 ), rounds AS (
   SELECT 0 AS round, source, source_size, weight, CAST(NULL AS DOUBLE) AS target, false AS stopped FROM s
   UNION ALL
@@ -36,18 +41,23 @@ WITH RECURSIVE d AS (
            / nullif(sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER (), 0) AS share FROM rounds
   ) WHERE round < 60
 ), t AS (
-  SELECT source, CAST(source_size AS BIGINT) AS source_size, coalesce(target, 0) AS target,
-         CAST(floor(coalesce(target, 0) + 1e-6) AS BIGINT) AS goal
-  FROM rounds WHERE round = 60
+  SELECT rounds.source, CAST(rounds.source_size AS BIGINT) AS source_size, coalesce(target, 0) AS target,
+         CAST(floor(coalesce(target, 0) + 1e-6) AS BIGINT) AS goal, s.part, s.total,
+         s.part * (1 + 0.5 * s.lean) AS share0, s.part * (1 - 0.5 * s.lean) AS share1
+  FROM rounds JOIN s ON rounds.source IS NOT DISTINCT FROM s.source WHERE round = 60
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN goal // t.source_size ELSE 0 END AS whole, goal,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - d.size AS start
+         CASE WHEN t.source_size > 0 THEN goal // t.source_size ELSE 0 END AS whole, goal, part, total, share0, share1,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY place, size ROWS UNBOUNDED PRECEDING) - d.size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target,
-       CAST(whole * size + greatest(least(goal - whole * source_size - start, size), 0) AS BIGINT) AS taken
-FROM r
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN CAST(floor(1e-6 + total * least(1,
+         2 * wanted / nullif(share0 + sqrt(greatest(share0 * share0 + 2 * (share1 - share0) * wanted, 0)), 0))) AS BIGINT) END AS position
+FROM (
+  SELECT *, CAST(whole * size + greatest(least(goal - whole * source_size - start, size), 0) AS BIGINT) AS taken,
+         CAST(start AS DOUBLE) / nullif(goal, 0) * part AS wanted
+  FROM r
+)
 """,
     "op2_parity_sketch_join": r"""
 WITH RECURSIVE d AS (

@@ -23,9 +23,15 @@ def op3_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+# How far sources lean to the beginning or the end of the training.
+TILT = 0.5
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.by_first_position(mixing.mix(table(spark, sf_dir, "documents")))
-    return mixed.select("document.doc_id", "size", "source_size", "target", "taken")
+    """``position``: the word of the training at which the document is first met, null if it is not taken."""
+    mixed = mixing.by_first_position(mixing.mix(table(spark, sf_dir, "documents"), tilt=TILT))
+    first = F.when(F.size("passes") > 0, F.floor(F.col("first_position") + 1e-6))
+    return mixed.select("document.doc_id", "size", "source_size", "target", "taken", first.alias("position"))
 
 
 def op5_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,21 @@ def test_curriculum_positions(docs):
     assert share == pytest.approx(0.8, abs=0.2)
 
 
+def test_tilted_schedule(docs):
+    """A tilt moves words in time and leaves targets and taken words alone; rows without a doc_id are placed by their texts."""
+    rows = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    flat, tilted = (mixing.mix(rows, ["doc_id", "source"], tilt=t).collect() for t in (0.0, 0.5))
+    assert Counter((r.document, r.size, r.taken) for r in flat) == Counter((r.document, r.size, r.taken) for r in tilted)
+    assert {(r.source_size, round(r.target, 6)) for r in flat} == {(r.source_size, round(r.target, 6)) for r in tilted}
+
+    def early(found):
+        passes = [(r.document.source, p.words) for r in found for p in r.passes if p.position < sum(x.taken for x in found) / 4]
+        first = min(r.document.source for r in found if r.document.source is not None)
+        return sum(w for s, w in passes if s == first) / sum(w for _, w in passes)
+
+    assert early(tilted) > early(flat) + 0.02
+
+
 @settings(deadline=None)
 @for_all(st.text(alphabet="<|s>/[INST]\\ \nabend_of_turn", max_size=60))
 def test_escape_is_reversible(text):
