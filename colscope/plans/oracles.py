@@ -644,6 +644,12 @@ UNION ALL SELECT 'orders', 'p', 'integer', count(*), 0, NULL FROM orders
 UNION ALL SELECT 'parts', NULL, NULL, NULL, NULL, 'clash of types'
 UNION ALL SELECT 'suppliers', NULL, NULL, NULL, NULL, count(*) || ' rows hold more cells than the header' FROM supplier
 """,
+        "profile_parts": "WITH " + _catalog(
+            _profile("(SELECT *, o_orderkey % 4 AS p FROM orders WHERE o_orderkey % 4 <> 3 OR o_orderstatus <> 'F')", "orders",
+                     [*GIVEN["orders"].split(), "p"])
+            + _profile("(SELECT * FROM customer WHERE c_custkey % 3 <> 2 OR c_acctbal > 0)", "customers", GIVEN["customer"].split())
+        )
+        + f" SELECT {_COUNTS}, true AS close, 1 AS read_again FROM cat",
         "catalog_round_trip": CAT
         + f" SELECT file_name, {list_columns} FROM cat WHERE file_name <> 'region.parquet' "
         "AND NOT (file_name = 'orders.parquet' AND column_name = 'o_orderstatus') GROUP BY ALL",

@@ -35,6 +35,7 @@ from colscope.plans.tenants import TABLES, given_table, tenant_views
 from colscope.session import cut_lineage, shared_folder, spread
 from colscope.sources import csv_records, csv_tables, discovery, exports, scan
 from colscope.sources.catalog_store import CatalogStore
+from colscope.sources.part_store import PartStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -246,6 +247,36 @@ def scan_parts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def profile_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables in parts, one part of each replaced: profiles of the stored parts united, and how many parts were read again.
+
+    ``close`` tells whether the estimate is within 8 % of the exact count, which a scan of the folders gives.
+    """
+    root = work_folder(spark, folder, "changing-parts") + f"/{uuid.uuid4().hex}"
+    orders = given_table(spark, folder, "orders").withColumn("p", F.col("o_orderkey") % 4)
+    customer = given_table(spark, folder, "customer").withColumn("p", F.col("c_custkey") % 3)
+
+    def part(rows: DataFrame, table: str, number: int, file_format: str) -> None:
+        chosen = rows.filter(F.col("p") == number).drop("p")
+        chosen.write.mode("overwrite").option("header", "true").format(file_format).save(f"{root}/{table}/p={number}")
+
+    for number in range(4):
+        part(orders, "orders", number, "parquet")
+    for number in range(3):
+        part(customer, "customers", number, "csv")
+    store = PartStore(spark, work_folder(spark, folder, "part-profiles") + f"/{uuid.uuid4().hex}", root)
+    store.refresh()
+    part(orders.filter("o_orderstatus <> 'F'"), "orders", 3, "parquet")
+    part(customer.filter("c_acctbal > 0"), "customers", 2, "csv")
+    again = store.refresh().schema_info.select(F.regexp_extract("file_path", "/([^/]*)/p=", 1).alias("file_name"), "file_path")
+    again = again.select("file_name", F.regexp_replace("file_path", "/[^/]*$", "").alias("part")).distinct()
+    again = again.groupBy("file_name").agg(F.count("part").alias("read_again"))
+    estimated = store.tables().schema_info.select("file_name", "column_name", F.col("unique_count").alias("estimate"))
+    exact = scan.scan_folder(spark, root, layout=discovery.TABLE_PER_FOLDER).schema_info.select(*COUNTS)
+    close = F.abs(F.col("estimate") - F.col("unique_count")) <= F.greatest(F.col("unique_count") * 0.08, F.lit(1))
+    return exact.join(estimated, ["file_name", "column_name"]).join(again, "file_name").select(*COUNTS, close.alias("close"), "read_again")
+
+
 def catalog_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Store all tables, replace one, remove one, and list what is left."""
     store = CatalogStore(spark, work_folder(spark, folder, "round-trip"))
@@ -475,6 +506,7 @@ QUERIES: dict[str, Query] = {
     "scan_rejected": scan_rejected,
     "catalog_round_trip": catalog_round_trip,
     "scan_parts": scan_parts,
+    "profile_parts": profile_parts,
     "exported_documents": exported_documents,
     "exported_rows": exported_rows,
     # catalog queries
