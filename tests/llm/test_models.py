@@ -114,6 +114,21 @@ def test_nearest(vectors):
     assert hits / total >= 0.9
 
 
+def test_recall_where_lengths_differ_much(spark):
+    random = np.random.default_rng(3)
+    x = random.standard_normal((6000, 32)) * (random.pareto(1.0, 6000) + 0.1)[:, None]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in ann.nearest(vectors, F.col("id") % 100 == 0, 20, sample=1000).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, 6000, 100):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hits += len(found[i] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits / (20 * 60) >= 0.98
+
+
 def test_nearest_with_few_rows(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (40, [3.0, 3.0])], "vec_id bigint, embedding array<double>")
     found = ann.nearest(one, F.col("id") % 20 == 0).collect()
