@@ -72,6 +72,28 @@ def test_similar_sets_equal_brute_force(spark, threshold, monkeypatch):
     assert groups == {i: leader[rep[i]] for i in rep}
 
 
+def test_few_pairs_of_sets_leave_their_buckets(spark, monkeypatch):
+    """Sets that share some rare elements but little else are no candidates, and crowded buckets lose no pair."""
+    monkeypatch.setattr(similar_sets, "CELL", 20)
+    monkeypatch.setattr(similar_sets, "TOGETHER", 10)
+    rng = random.Random(4)
+    sets = {i: {rng.randrange(400) for _ in range(60)} for i in range(300)}
+    for i in range(300, 360):  # near copies
+        sets[i] = set(sorted(sets[i % 7])[: rng.randrange(44, 60)])
+    frame = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()], "id long, s array<string>")
+    distinct = similar_sets.distinct_sets(frame, "id", "s")
+    expected = {}
+    reps = sorted(r.rep for r in distinct.sets.select("rep").collect())
+    for a, b in itertools.combinations(reps, 2):
+        shared, united = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if shared / united >= 0.7:
+            expected[(a, b)] = (shared, united)
+    found = similar_sets.similar_pairs(distinct, 0.7)
+    assert {(r.rep1, r.rep2): (r.shared, r.united) for r in found.collect()} == expected
+    whole = distinct.sets.select(F.col("set_key.a").alias("id"), "codes", F.lit(True).alias("wanted"))
+    assert len(expected) <= similar_sets._candidates(whole, 0.7).count() <= 2 * len(expected)
+
+
 def test_thresholds_outside_the_range(spark):
     empty = spark.createDataFrame([], "id long, s array<string>")
     with pytest.raises(ValueError):
