@@ -235,3 +235,13 @@ def test_dense_search_by_a_model_of_the_caller(make_catalog, tenants):
     found = similarity.similar_columns_dense(make_catalog(tenants), "customer", load_letter_counts, 0.7).collect()
     assert {r.column_name: pytest.approx(r.similarity, abs=2e-6) for r in found} == expected and expected
     assert [r.similarity for r in found] == sorted((r.similarity for r in found), reverse=True)
+
+
+def test_grams_of_many_names_are_made_in_parts(spark, monkeypatch):
+    names = spark.createDataFrame([(f"customer number{i}",) for i in range(200)] + [(None,), ("",)], "word string")
+    terms = spark.createDataFrame([("customer",)], "term string")
+    whole = similarity.term_matches(names, "word", terms, 0.3, similarity.NONE, fixed=True).collect()
+    monkeypatch.setattr(similarity, "NAMES_TOGETHER", 20)
+    parted = similarity.term_matches(names, "word", terms, 0.3, similarity.NONE, fixed=True)
+    assert parted.rdd.getNumPartitions() >= 10
+    assert sorted(parted.collect()) == sorted(whole) and len(whole) == 200
