@@ -2,11 +2,13 @@ import datetime
 import decimal
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions import labels
+from colscope.operators import profile
 from colscope.operators.profile import profile_tables
 
 
@@ -100,3 +102,42 @@ def test_long_texts_are_not_shuffled(spark):
     plan = profile_tables(spark, {"t": documents})._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and all("text" not in line for line in exchanges)
+
+
+def test_each_fingerprint_once():
+    """Also where two values share the first of their hashes."""
+    first, second = np.array([3, 1, 3, 3, 1, 3], dtype=np.uint64), np.array([1, 9, 2, 1, 9, 2], dtype=np.uint64)
+    assert [h.tolist() for h in profile.distinct_fingerprints([first, second])] == [[1, 3, 3], [9, 1, 2]]
+    assert profile.distinct_fingerprints([first])[0].tolist() == [1, 3]
+    assert [len(h) for h in profile.distinct_fingerprints([first[:0], second[:0]])] == [0, 0]
+    whole = np.array([0, -1, 1, 2**63 - 1, -(2**63), 7, 7])
+    assert len(set(profile._dealt(whole).tolist())) == 6
+
+
+@pytest.mark.parametrize("held", [1 << 12, 1 << 16, 128 << 20])
+def test_tasks_hold_bounded_runs(spark, monkeypatch, held):
+    """Counts are those of a task that holds everything, however often it hands on what it holds."""
+    monkeypatch.setattr(profile, "HELD", held)
+    n = 30_000
+    frame = spark.range(0, n, 1, 3).select(
+        (F.col("id") - 15_000).alias("key"), (F.col("id") % 7).cast("int").alias("few"),
+        F.when(F.col("id") % 5 != 0, F.col("id") % 9_001).alias("some"),
+        F.when(F.col("id") % 3 == 0, F.lit("NaN").cast("double")).otherwise((F.col("id") % 1_000 - 500) * -0.0).alias("zero"),
+        (F.col("id") * 0.5).cast("float").alias("real"), F.concat(F.lit("v"), F.col("id") % 20_000).alias("text"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    found = profile_tables(spark, {"t": frame, "u": frame.limit(10), "v": frame.limit(0)})
+    counted = {(r.file_name, r.column_name): (r.null_count, r.unique_count, r.total_rows) for r in found.collect()}
+    assert {c: counted["t", c] for c in frame.columns} == {
+        "key": (0, n, n), "few": (0, 7, n), "some": (6_000, 9_001, n), "zero": (10_000, 1, n), "real": (0, n, n), "text": (0, 20_000, n),
+        "none": (n, 0, n),
+    }
+    assert counted["u", "key"] == (0, 10, 10) and counted["v", "key"] == (0, 0, 0)
+
+
+def test_values_are_not_shuffled_one_by_one(spark):
+    """No aggregation by value, whose hash table grows with what a task reads."""
+    rows = spark.range(100_000).select("id", F.col("id").cast("string").alias("s"))
+    runs = profile._runs(profile.table_group(rows, "t"))
+    assert runs.count() <= 2 * (1 + 2**profile.BUCKET_BITS) * rows.rdd.getNumPartitions()
+    assert runs.filter("bucket < 0").agg(F.sum("total_rows")).first()[0] == 200_000
