@@ -67,6 +67,45 @@ def test_compared_pairs_at_three_scales(spark):
     assert share[2] < share[0]
 
 
+@pytest.mark.parametrize("left", [0.0, 2.0])
+def test_vectors_without_groups_travel_once_per_block(spark, monkeypatch, left):
+    """All groups are met; no vector is stored once per group, whichever way blocks are compared."""
+    monkeypatch.setattr(dense, "BLOCK", 150)
+    monkeypatch.setattr(dense, "TILE", 64)
+    monkeypatch.setattr(dense, "LEFT", left)
+    stored = []
+
+    def counted(df):
+        stored.append(df.count())
+        return df
+
+    monkeypatch.setattr(dense, "cut_lineage", counted)
+    random = np.random.default_rng(3)
+    x = random.standard_normal((500, 24))
+    x[40:60] = x[40]
+    x[60] = -x[40]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = _frame(spark, x)
+    for threshold in (0.3, 1.0):
+        found = dense.dense_pairs(frame, _frame(spark, x[:333]), "name", threshold).collect()
+        assert len(found) == len({(r.name1, r.name2) for r in found})
+        assert {(r.name1, r.name2): r.similarity for r in found} == pytest.approx(_brute(x, x[:333], threshold))
+        if threshold == 0.3:
+            assert max(stored) <= 500
+
+
+def test_single_precision_loses_no_pair():
+    """Pairs just at the threshold are among the candidates, in any number of columns."""
+    random = np.random.default_rng(4)
+    for width in (3, 64, 1_000):
+        x = random.standard_normal((300, width))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        dots = x @ x.T
+        for threshold in np.sort(dots.ravel())[-3_000::500].tolist():
+            candidates = set(zip(*(c.tolist() for c in dense.whole_above(x, x, threshold)), strict=True))
+            assert {(int(i), int(j)) for i, j in zip(*np.nonzero(dots >= threshold), strict=True)} <= candidates
+
+
 def _meaning(spark, names, groups):
     """Names of one group point the same way, others elsewhere."""
     axes = np.eye(len(groups) + len(names))
