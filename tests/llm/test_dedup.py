@@ -430,3 +430,54 @@ def test_rows_of_other_numbers_are_no_copies(spark):
              *(long.format(i) for i in (1, 2, 3, 12, 21)), long.format(2).replace("letters", "letter")]
     kept = _kept_lines(spark, texts)
     assert [i for i, t in enumerate(texts) if kept[i] != t] == [4, 10]
+
+
+@settings(deadline=None, max_examples=60)
+@for_all(st.lists(st.tuples(st.text(alphabet="ab1é", max_size=40), st.text(alphabet="ab1é", max_size=40)), max_size=8), st.integers(0, 99))
+def test_many_pairs_are_compared_as_one(pairs, seed):
+    random = np.random.default_rng(seed)
+    pairs = pairs + [(a * 9, _edited(random, [a * 9], [], "characters", min(len(a), 3))) for a, _ in pairs]
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    for similar in (0.5, 0.9, 0.95):
+        assert line_dedup.all_alike(left, right, similar).tolist() == [line_dedup.alike(a, b, similar) for a, b in pairs]
+
+
+def test_one_edit_in_a_short_line_and_a_word_in_a_long_one(spark):
+    """Copies of a similarity of 0.95 to 0.98, which went uncompared or unlinked."""
+    long = "the collected letters, notes and other papers that were found in the house after that long and very cold winter"
+    texts = ["Share this page on Facebook", "Share this page on Facebock", "Sign in to read the comments", "Sign in to read the comment",
+             long, long.replace("cold", "mild"), long.replace("letters", "ladders")]
+    kept = _kept_lines(spark, texts)
+    assert [i for i, t in enumerate(texts) if kept[i] != t] == [1, 3, 5, 6]
+
+
+@pytest.mark.parametrize("kind", ["words", "characters"])
+@pytest.mark.parametrize("n", [6, 12, 25, 60])
+def test_cells_find_lines_at_the_stated_similarity(n, kind):
+    """Nine in ten of the pairs at the similarity agree in two blocks within the bound, and are found once."""
+    random = np.random.default_rng(n)
+    vocabulary, lines, copies = _vocabulary(random), [], []
+    while len(lines) < 500:
+        words = [vocabulary[i] for i in random.integers(len(vocabulary), size=n)]
+        budget = int(len(" ".join(words)) * (1 - line_dedup.SIMILAR) + 1e-9)
+        if budget:
+            lines.append(" ".join(words))
+            copies.append(_edited(random, words, vocabulary, kind, budget))
+    s = line_dedup.Lines(pa.array(lines + copies)).simhashes(np.arange(1_000))
+    i, j, crowd = line_dedup._by_blocks(s, lambda i, j: np.ones(len(i), dtype=bool))
+    found = list(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True))
+    assert len(found) == len(set(found)) and (crowd < 0).all()
+    assert sum(b == a + 500 for a, b in found) >= 450
+
+
+def test_large_groups_are_cut_into_sides(spark, monkeypatch):
+    random = np.random.default_rng(5)
+    vocabulary, lines = _vocabulary(random), []
+    for _ in range(100):
+        words = [vocabulary[i] for i in random.integers(len(vocabulary), size=30)]
+        lines += [" ".join(words), _edited(random, words, vocabulary, "words", 4)]
+    whole = _kept_lines(spark, lines)
+    monkeypatch.setattr(line_dedup, "SIDE", 16)
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
+    parts = _kept_lines(spark, lines)
+    assert sum(t == "" for t in whole.values()) >= 95 and sum(whole[i] == parts[i] for i in whole) >= 195
