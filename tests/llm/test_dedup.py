@@ -442,6 +442,41 @@ def test_many_pairs_are_compared_as_one(pairs, seed):
         assert line_dedup.all_alike(left, right, similar).tolist() == [line_dedup.alike(a, b, similar) for a, b in pairs]
 
 
+def test_edits_are_looked_for_where_texts_differ(monkeypatch):
+    """Long lines cost what their edits cost: far fewer words of characters are compared than the table of distances has cells."""
+    compared, equal, random = [], line_dedup._equal, np.random.default_rng(11)
+    monkeypatch.setattr(line_dedup, "_equal", lambda differ, width: compared.append(len(differ)) or equal(differ, width))
+    vocabulary, pairs, expected = _vocabulary(random), [], []
+    for edits in (0, 1, 3, 8, 200):
+        for _ in range(20):
+            words = [vocabulary[i] for i in random.integers(len(vocabulary), size=150)]
+            pairs.append((" ".join(words), _edited(random, words, vocabulary, "characters", edits)))
+            expected.append(line_dedup.alike(*pairs[-1], 0.95))
+    assert line_dedup.all_alike([a for a, _ in pairs], [b for _, b in pairs], 0.95).tolist() == expected
+    cells = sum(len(a) * (2 * int(0.05 * len(a)) + 1) for a, _ in pairs)
+    assert 60 <= sum(expected) < len(pairs) and 0 < sum(compared) * 20 < cells
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pairs_of_blocks_in_large_cells(seed):
+    """Close rows that agree in two of the blocks, each pair once, against all pairs; crowds hold the rest."""
+    random = np.random.default_rng(seed)
+    s = random.integers(1 << 63, size=(300, 2), dtype=np.uint64)
+    s = np.concatenate([s, s[:150], s[:40], *[s[:1]] * 30])
+    flips = random.integers(128, size=(len(s), 20))
+    for row, n in enumerate(random.integers(21, size=len(s))):
+        for f in flips[row, :n]:
+            s[row, f // 64] ^= np.uint64(1) << np.uint64(f % 64)
+    blocks = np.stack([s[:, k] >> np.uint64(7 * i) & np.uint64(127) for k in range(2) for i in range(9)], axis=1)
+    apart = np.bitwise_count(s[:, None] ^ s[None]).sum(axis=2)
+    shared = (blocks[:, None] == blocks[None]).sum(axis=2)
+    expected = {(i, j) for i, j in zip(*np.nonzero((apart <= line_dedup.RADIUS) & (shared >= 2)), strict=True) if i < j}
+    left, right, crowd = line_dedup._by_blocks(s, lambda i, j: np.ones(len(i), dtype=bool))
+    found = [(min(i, j), max(i, j)) for i, j in zip(left, right, strict=True)]
+    assert len(found) == len(set(found)) and set(found) <= expected
+    assert all(crowd[i] == crowd[j] >= 0 for i, j in expected - set(found)) and (crowd >= 0).sum() >= 20
+
+
 def test_one_edit_in_a_short_line_and_a_word_in_a_long_one(spark):
     """Copies of a similarity of 0.95 to 0.98, which went uncompared or unlinked."""
     long = "the collected letters, notes and other papers that were found in the house after that long and very cold winter"
