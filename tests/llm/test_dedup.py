@@ -164,6 +164,18 @@ def test_ngram_join(spark, docs, texts, nothing):
     assert ngram_join.near_duplicates(nothing).count() == 0
 
 
+def test_small_sets_meet_by_rare_elements(spark):
+    """What many small sets hold is no key of any of them, as long as they hold enough of their own."""
+    common_words = " ".join(f"c{i}" for i in range(24))
+    rows = [(i, f"{common_words} " + " ".join(f"o{i}x{j}" for j in range(50))) for i in range(200)]
+    rows += [(200, rows[7][1] + " more")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    holders = Counter(Counter(r.key for r in ngram_join.signatures(frame).collect()).values())
+    assert set(holders) == {1, 2} and holders[2] >= 1
+    found = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame).collect()}
+    assert found == {i: i for i in range(200)} | {200: 7}
+
+
 def test_band_edges():
     sizes = np.arange(1, 5000)
     bands = ngram_join.band_of(sizes, (80, 100))
