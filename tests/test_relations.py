@@ -101,6 +101,17 @@ def test_thresholds_outside_the_range(spark):
     assert relationships.legacy_threshold(3) == 0.3 and relationships.legacy_threshold(11) == 0.3
 
 
+def test_pairs_that_share_many_elements_meet_once(spark):
+    """Near copies share nearly all of their prefix; a pair leaves the bucket of the first element it shares, and no other."""
+    rows = [(i, [f"w{j}" for j in range(100)] + [f"own{i}"]) for i in range(400)]
+    distinct = similar_sets.distinct_sets(spark.createDataFrame(rows, "id bigint, s array<string>"), "id", "s")
+    sets = distinct.sets.select(F.col("set_key.a").alias("id"), "codes", F.lit(True).alias("wanted"))
+    postings = similar_sets._postings(sets, 0.7, similar_sets._occurrences(sets))
+    assert similar_sets._meetings(postings, 0.7, None).count() == 400 * 399 // 2
+    found = similar_sets.similar_pairs(distinct, 0.7).collect()
+    assert {(r.rep1, r.rep2, r.shared, r.united) for r in found} == {(a, b, 100, 102) for b in range(400) for a in range(b)}
+
+
 def test_schema_groups_collapse_copies(make_catalog):
     columns = {"id": "integer", "a": "string", "b": "string"}
     files = {f"copy{i}": columns for i in range(5)} | {"near": {"id": "integer", "a": "float"}, "far": {"q": "string"}}
