@@ -517,6 +517,60 @@ def test_cells_find_lines_at_the_stated_similarity(n, kind):
     assert sum(b == a + 500 for a, b in found) >= 450
 
 
+def test_small_cells_lose_no_copy_at_the_stated_similarity(spark):
+    """Characters changed all over long lines move many SimHash bits; cells that compare all pairs find every copy."""
+    random = np.random.default_rng(7)
+    vocabulary, lines = _vocabulary(random), []
+    for n in (25, 60):
+        for _ in range(300):
+            words = [vocabulary[i] for i in random.integers(len(vocabulary), size=n)]
+            line = " ".join(words)
+            lines += [line, _edited(random, words, vocabulary, "characters", int(len(line) * (1 - line_dedup.SIMILAR) + 1e-9))]
+    kept = _kept_lines(spark, lines)
+    assert {i for i, t in kept.items() if t == ""} == set(range(1, len(lines), 2))
+
+
+def test_letters_modulo_256_bound_the_edits():
+    """Long lines have more than 255 of a letter; the bound is never more than the distance and rules out unlike lines."""
+    random = np.random.default_rng(1)
+    lines = ["".join(random.choice(list("etaoinshrdlu"), 6_000)) for _ in range(8)]
+    near = [_edited(random, [line], [], "characters", 250) for line in lines]
+    other = ["".join(random.choice(list("etaoinshrdlu"), 6_000, p=np.array([3, 2] * 6) / 30)) for _ in range(8)]
+    both = line_dedup.Lines(pa.array([*lines, *near, *other]))
+    counts, exact = both.counted().view(np.uint8), line_dedup.letters(pa.array([*lines, *near, *other]))
+    assert exact.max() > 500 and exact[:8].sum(axis=1).tolist() == [6_000] * 8
+    for j in (8, 16):
+        bound = line_dedup.least_of_bytes(counts[:8], counts[j : j + 8], both.chars[:8] - both.chars[j : j + 8])
+        assert (bound <= line_dedup.least_edits(exact[:8], exact[j : j + 8])).all()
+        assert (bound <= 250).all() if j == 8 else (bound > 300).all()
+
+
+def test_windows_tell_unlike_lines_and_no_others():
+    random = np.random.default_rng(3)
+    vocabulary = _vocabulary(random)
+    words = [[vocabulary[i] for i in random.integers(len(vocabulary), size=200)] for _ in range(20)]
+    lines = [" ".join(w) for w in words]
+    most = np.array([int(0.05 * len(x)) for x in lines])
+    near = [_edited(random, w, vocabulary, "characters", int(k)) for w, k in zip(words, most, strict=True)]
+    assert not line_dedup.windows_differ(lines, near, most).any()
+    assert line_dedup.windows_differ(lines, lines[1:] + lines[:1], most).all()
+
+
+@pytest.mark.parametrize("rows", [40, 400])
+def test_contents_of_many_lines_are_not_broadcast(spark, monkeypatch, rows):
+    """A document may hold any number of lines that are asked for: the lines are counted, not the documents."""
+    texts = ["\n".join(f"line {'abcdefghij'[i % 10]} of {'klmnopqrst'[i // 10]} in text {'uvwxyz'[t]}" for i in range(50)) for t in range(4)]
+    keyed = line_dedup._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    lines = line_dedup.lines_of(keyed, line_dedup.SIMILAR)
+    distinct = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "row_id")).alias("first"))
+    asked, broadcast = [], F.broadcast
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(line_dedup.F, "broadcast", lambda df: asked.append(df) or broadcast(df))
+    found = line_dedup.contents(distinct, distinct, keyed).collect()
+    assert sorted(r.content for r in found) == sorted(x for t in texts for x in t.split("\n"))
+    assert len(asked) == (rows >= 200)
+
+
 def test_large_groups_are_cut_into_sides(spark, monkeypatch):
     random = np.random.default_rng(5)
     vocabulary, lines = _vocabulary(random), []
